@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import blocks, prepare, text_column, written
 
@@ -168,7 +168,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
     """
     prepare(docs.sparkSession)
     kept = docs.drop("ids")
-    schema = kept.schema.add("ids", "array<int>")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return kept.mapInArrow(_encode(tokenizer, text_col), schema)
 
 
@@ -184,7 +184,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, out_col: str = "decoded") ->
 
     prepare(encoded.sparkSession)
     kept = encoded.drop(out_col)
-    return kept.mapInArrow(run, kept.schema.add(out_col, "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 # ---------------------------------------------------------------- counts
