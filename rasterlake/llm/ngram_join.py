@@ -15,6 +15,8 @@ from .common import blocks, buffers, connected_components, keyed_join, lists, mi
 RARE = 64
 #: Members of a bucket that one task compares with one another.
 BUCKET = 4096
+#: Hash bins whose counts bound what two sets may share.
+BINS = 256
 
 
 def _sets(k: int, id_col: str, text_col: str, share: int, full: bool):
@@ -30,7 +32,10 @@ def _sets(k: int, id_col: str, text_col: str, share: int, full: bool):
                 keys = np.array([int.from_bytes(hashlib.blake2b(h[b - c : b].tobytes(), digest_size=8).digest(), "little", signed=True) for b, c in zip(ends, n)], np.int64)
                 some = np.ones(len(h), bool) if full else h % np.uint64(share) == 0
                 before = np.concatenate([[0], np.cumsum(some)])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(keys), lists(h[some].view(np.int64), before[ends] - before[ends - n], pa.int64())], names=["id", "n", "key", "tokens"])
+                out = {"id": ids.slice(i, j - i), "n": pa.array(n), "key": pa.array(keys), "tokens": lists(h[some].view(np.int64), before[ends] - before[ends - n], pa.int64())}
+                if full:
+                    out["bins"] = pa.array([np.minimum(np.bincount(h[b - c : b] >> np.uint64(56), minlength=BINS), 255).astype(np.uint8).tobytes() for b, c in zip(ends, n)], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -84,53 +89,62 @@ def _signatures(num: int, den: int):
 
 
 def _bucket_pairs(num: int, den: int):
-    """Pairs of different components, in buckets that arrive whole and in order, that their sizes and unshared shingles allow."""
+    """Pairs of different components, in buckets that arrive whole and in order, that no bound rules out.
+
+    Two sets share at most the shingles that occur in more than one set, and at most the sum over hash
+    bins of the lesser count of each. Few pairs below the threshold pass the second bound unless both
+    sets are far larger than the bins are many.
+    """
+
+    def coarse(c):
+        return c["bins"].reshape(len(c["bins"]), 32, BINS // 32).sum(axis=2, dtype=np.int32)
 
     def pairs(a, b, same):
+        sums = coarse(a), coarse(b)
         for i in range(len(a["key"])):
-            x = {c: v[i] for c, v in a.items()}
-            both = np.minimum(x["n"] - x["single"], b["n"] - b["single"])
-            ok = (den * both >= num * (x["n"] + b["n"] - both)) & (b["comp"] != x["comp"]) & ((b["side"] != x["side"]) if not same else (np.arange(len(b["key"])) > i))
-            yield x["key"], b["key"][ok]
-
-    def flush(held, seen, out):
+            both = np.minimum(a["n"][i] - a["single"][i], b["n"] - b["single"])
+            ok = (den * both >= num * (a["n"][i] + b["n"] - both)) & (b["comp"] != a["comp"][i])
+            if same:
+                ok[: i + 1] = False
+            at = np.flatnonzero(ok)
+            for left, right in ((sums[0][i], sums[1]), (a["bins"][i].astype(np.int32), b["bins"])):
+                size = a["n"][i] + b["n"][at]
+                both = (size - np.abs(right[at] - left).sum(axis=1)) // 2
+                at = at[den * both >= num * (size - both)]
+                if not len(at):
+                    break
+            if len(at):
+                yield a["key"][i], b["key"][at]
+
+    def flush(held, seen):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        if c["lo"][0] == c["hi"][0]:
-            found = pairs(c, c, True)
-        else:
-            one, two = ({k: v[c["side"] == s] for k, v in c.items()} for s in (0, 1))
-            found = pairs(one, two, False)
-        for x, ys in found:
-            for y in ys:
-                p = (min(x, y), max(x, y))
-                if p not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(p)
-                    out.append(p)
+        one, two = (c, c) if c["lo"][0] == c["hi"][0] else ({k: v[c["side"] == s] for k, v in c.items()} for s in (0, 1))
+        new = []
+        for x, ys in pairs(one, two, one is two):
+            new += [p for y in ys.tolist() if (p := (min(int(x), y), max(int(x), y))) not in seen]
+        if len(seen) > 500_000:
+            seen.clear()
+        seen.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
         held, at, seen = [], None, set()
         for batch in batches:
-            c = {k: batch[k].to_numpy() for k in ("sig", "lo", "hi", "side", "key", "n", "single", "comp")}
             if not len(batch):
                 continue
+            c = {k: batch[k].to_numpy() for k in ("sig", "lo", "hi", "side", "key", "n", "single", "comp")}
+            c["bins"] = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(len(batch), BINS)
             change = np.flatnonzero((np.diff(c["sig"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
-            out: list = []
             for i, j in zip([0, *change], [*change, len(batch)]):
                 part = {k: v[i:j] for k, v in c.items()}
                 now = (part["sig"][0], part["lo"][0], part["hi"][0])
                 if held and now != at:
-                    flush(held, seen, out)
+                    yield flush(held, seen)
                     held = []
                 held.append(part)
                 at = now
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
         if held:
-            out = []
-            flush(held, seen, out)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            yield flush(held, seen)
 
     return run
 
@@ -181,8 +195,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # One text of each class left; its id and key pick it out, so a class of null ids is found as well.
     first = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(alive, "key")
     texts = keyed_join(src.where("id is not null"), first.select("id").where("id is not null").distinct(), "id", "left_semi", n_alive)
-    again = texts.unionByName(src.where("id is null")).mapInArrow(_sets(k, "id", "text", 1, True), form)
-    full = written(keyed_join(again, alive.select("key"), "key", "left_semi", n_alive).dropDuplicates(["key"]).select("key", "n", "tokens"), "full")
+    again = texts.unionByName(src.where("id is null")).mapInArrow(_sets(k, "id", "text", 1, True), f"{form}, bins binary")
+    full = written(keyed_join(again, alive.select("key"), "key", "left_semi", n_alive).dropDuplicates(["key"]).select("key", "n", "tokens", "bins"), "full")
 
     tokens = full.select("key", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -207,8 +221,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     cuts = F.expr(f"cast((size + {BUCKET - 1}) div {BUCKET} as int)")
     own = F.pmod(F.xxhash64("key"), cuts).cast("int")
-    rows = at.join(mixed, "sig").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    rows = rows.select("sig", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp")
+    rows = at.join(mixed, "sig").join(full.select("key", "bins"), "key").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    rows = rows.select("sig", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp", "bins")
     rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
     rest = verified(rows.mapInArrow(_bucket_pairs(num, den), "a long, b long").distinct())
     comp = connected_components(links.union(rest))
