@@ -16,6 +16,8 @@ from .common import blocks, buffers, keyed_join, mix, powers, prefix_hash, prepa
 MOST = 4096
 #: Bytes of segments in a block, about.
 BLOCK = 1 << 20
+#: Bytes of packed places or spans that may be broadcast; more are joined by a shuffle of the texts.
+BROADCAST_BYTES = 24 << 20
 _NO_ID = (1 << 63) - 1
 
 
@@ -33,21 +35,40 @@ def _slide(x: np.ndarray, span: int, pick) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """Places in a block of texts where a gram is the least of some window of length bytes."""
+    """Of a block of texts, (place, first, last): the windows of length bytes that start from first to last have
+    their least gram at place, which is the leftmost such place in each of them."""
     n, span = len(data), length - gram + 1
     if n < length:
         return None
     sums, down = prefix_hash(data), powers(n + 1)[1]
     grams = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-    least = np.zeros(len(grams) + span - 1, np.uint64)
     room = np.repeat(off[1:], np.diff(off))[: n - length + 1] - np.arange(n - length + 1)
-    np.multiply(_slide(grams, span, np.minimum), room >= length, out=least[span - 1 : span - 1 + len(room)])
-    return np.flatnonzero((_slide(least, span, np.maximum) == grams) & (grams != 0)), grams, sums, down
+    starts = np.flatnonzero(room >= length)
+    if not len(starts):
+        return None
+    least = _slide(grams, span, np.minimum)[starts]
+    new = np.flatnonzero((least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
+    begin, end = starts[np.concatenate([[0], new])], starts[np.concatenate([new - 1, [len(starts) - 1]])]
+    value = least[np.concatenate([[0], new])]
+    # where the runs' least grams lie: the places of each value, in order
+    kinds, kind = np.unique(value, return_inverse=True)
+    most = np.zeros(len(grams) + span - 1, np.uint64)
+    most[starts + span - 1] = least
+    at = np.flatnonzero(_slide(most, span, np.maximum) == grams)
+    near = np.searchsorted(kinds, grams[at])
+    fits = (near < len(kinds)) & (kinds[np.minimum(near, len(kinds) - 1)] == grams[at])
+    key = np.sort(near[fits].astype(np.int64) << 32 | at[fits])
+    lo, hi = np.searchsorted(key, kind << 32 | begin), np.searchsorted(key, kind << 32 | end)
+    each = hi - lo + 1
+    run = np.repeat(np.arange(len(begin)), each)
+    i = np.arange(len(run)) - np.repeat(np.cumsum(each) - each, each) + lo[run]
+    place = key[i] & 0xFFFFFFFF
+    first = np.where(i > lo[run], (key[i - 1] & 0xFFFFFFFF) + 1, begin[run])
+    return place, first, np.minimum(place, end[run]), grams, sums, down
 
 
 def _rows(length: int, gram: int):
     def run(batches):
-        reach = length - gram
         for batch in batches:
             col = text_column(batch, "text")
             ids, th = batch["id"].to_numpy(), batch["th"].to_numpy()
@@ -57,31 +78,55 @@ def _rows(length: int, gram: int):
                 found = _anchors(data[off[i] : off[j]], own, length, gram)
                 if found is None:
                     continue
-                at, grams, sums, down = found
+                at, first, last, grams, sums, down = found
                 doc = np.searchsorted(own, at, "right") - 1
-                lo, hi = np.maximum(own[doc], at - reach), np.minimum(own[doc + 1], at + length)
-                seg = mix((sums[hi] - sums[lo]) * down[lo] + mix((at - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)))
+                hi = last + length
+                seg = mix((sums[hi] - sums[first]) * down[first] + mix((at - first).astype(np.uint64) << np.uint64(32) | (hi - first).astype(np.uint64)))
                 for x in range(0, len(at), 50_000):
                     y = slice(x, x + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (mix(grams[at[y]]).view(np.int64), seg[y].view(np.int64), ids[i + doc[y]], th[i + doc[y]], (at - own[doc])[y].astype(np.int32), (at - lo)[y].astype(np.int16), (hi - at)[y].astype(np.int16))], names=["h", "seg", "id", "th", "pos", "left", "right"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (mix(grams[at[y]]).view(np.int64), seg[y].view(np.int64), ids[i + doc[y]], th[i + doc[y]], (at - own[doc])[y].astype(np.int32), (at - first)[y].astype(np.int16), (hi - at)[y].astype(np.int16))], names=["h", "seg", "id", "th", "pos", "left", "right"])
 
     return run
 
 
+_PLACE = np.dtype([("h", "<i8"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2")])
+
+
+def _packed(batches):
+    """A document's places as one binary value."""
+    for batch in batches:
+        lo, flat = batch["at"].offsets.to_numpy(), batch["at"].values
+        x = np.zeros(len(flat), _PLACE)
+        for c in _PLACE.names:
+            x[c] = flat.field(c).to_numpy()
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array([x[i:j].tobytes() for i, j in zip(lo, lo[1:])], pa.binary())], names=["id", "th", "at"])
+
+
 def _segments(batches):
     for batch in batches:
-        texts, ids, th = text_column(batch, "text"), batch["id"], batch["th"]
+        texts, ids, th = text_column(batch, "text"), batch["id"].to_numpy(), batch["th"].to_numpy()
         data, off = buffers(texts)
         raw = data.tobytes()
-        lo = batch["at"].offsets.to_numpy()
-        flat = batch["at"].flatten()
-        h, pos, left, right = (flat.field(c).to_numpy() for c in ("h", "pos", "left", "right"))
-        doc = np.repeat(np.arange(len(batch)), np.diff(lo))
-        a = off[doc] + pos - left
-        b = off[doc] + pos + right
-        for x in range(0, len(doc), 20_000):
-            y = slice(x, x + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[y]), pa.array(ids.to_numpy()[doc[y]]), pa.array(th.to_numpy()[doc[y]]), pa.array((pos - left)[y].astype(np.int32)), pa.array(left[y].astype(np.int32)), pa.array([raw[p:q] for p, q in zip(a[y], b[y])], pa.binary())], names=["h", "id", "th", "start", "left", "seg"])
+        own = [np.frombuffer(x, _PLACE) for x in batch["at"].to_pylist()]
+        doc, x = np.repeat(np.arange(len(own)), [len(v) for v in own]), np.concatenate(own)
+        start = x["pos"] - x["left"]
+        a, b = off[doc] + start, off[doc] + x["pos"] + x["right"]
+        for i in range(0, len(doc), 20_000):
+            y = slice(i, i + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x["h"][y]), pa.array(ids[doc[y]]), pa.array(th[doc[y]]), pa.array(start[y].astype(np.int32)), pa.array(x["left"][y].astype(np.int32)), pa.array([raw[p:q] for p, q in zip(a[y], b[y])], pa.binary())], names=["h", "id", "th", "start", "left", "seg"])
+
+
+def _merged(batches):
+    """A document's marks as disjoint spans, packed into one binary value of pairs of 32-bit integers."""
+    for batch in batches:
+        lo, flat = batch["marks"].offsets.to_numpy(), batch["marks"].values
+        start, end, out = flat.field("start").to_numpy(), flat.field("end").to_numpy(), []
+        for i, j in zip(lo, lo[1:]):
+            o = np.argsort(start[i:j], kind="stable")
+            a, b = start[i:j][o], np.maximum.accumulate(end[i:j][o])
+            new = np.flatnonzero(a[1:] > b[:-1]) + 1
+            out.append(np.stack([a[np.concatenate([[0], new])], b[np.concatenate([new - 1, [len(b) - 1]])]], 1).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array(out, pa.binary())], names=["id", "th", "marks"])
 
 
 def equal_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +150,21 @@ def equal_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     while depth * 2 <= per:
         key = (key << (bits * depth)) | np.concatenate([key[depth:], np.zeros(min(depth, n), np.int64)])[:n]
         depth *= 2
+    slot = (n + 1).bit_length()
+    packed = False
     while True:
-        order = np.argsort(key, kind="stable") if depth > length else np.argsort(key)
-        by = key[order]
+        if packed:  # two ranks and the place share a word, which sorts faster than places alone
+            key = np.sort(key << slot | np.arange(n))
+            order, by = key & (1 << slot) - 1, key >> slot
+        else:
+            order = np.argsort(key)
+            by = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], by[1:] != by[:-1]]))
         if depth > length:
             break
-        key = (rank + 1 << 31) | np.concatenate([rank[depth:] + 1, np.zeros(min(depth, n), np.int64)])[:n]
+        packed = 3 * slot <= 63
+        key = (rank + 1 << (slot if packed else 31)) | np.concatenate([rank[depth:] + 1, np.zeros(min(depth, n), np.int64)])[:n]
         depth *= 2
 
     last = code[order - 1].astype(np.uint16)  # the transform; the text's first symbol is preceded by its last
@@ -161,8 +213,10 @@ def _repeats(length: int):
         cols = {c: np.concatenate([r[c] for r in rows]) for c in ("id", "th", "start")}
         segments = [s for r in rows for s in r["seg"]]
         seg, offset, kind = equal_windows(segments, length)
-        _, doc = np.unique(np.stack([cols["id"], cols["th"]]), axis=1, return_inverse=True)
-        key = doc.reshape(-1)[seg].astype(np.int64) << 32 | (cols["start"][seg] + offset)
+        order = np.lexsort((cols["th"], cols["id"]))
+        doc = np.zeros(len(order), np.int64)
+        doc[order[1:]] = np.cumsum((np.diff(cols["id"][order]) != 0) | (np.diff(cols["th"][order]) != 0))
+        key = doc[seg] << 32 | (cols["start"][seg] + offset)
         first = np.full(int(kind.max(initial=0)) + 1, _NO_ID)
         np.minimum.at(first, kind, key)
         hit = np.flatnonzero(key > first[kind])
@@ -235,22 +289,26 @@ def _split(segs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFram
 
 
 def _cut(batches):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        texts = text_column(batch, "text").cast(pa.large_binary()).to_pylist()
-        spans, kept, removed = [], [], []
-        for raw, marks in zip(texts, batch["marks"].to_pylist()):
-            own = []
-            for m in sorted((m["start"], m["end"]) for m in marks or ()):
-                if own and m[0] <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], m[1])
-                else:
-                    own.append([*m])
-            edges = [0, *(x for m in own for x in m), len(raw)]
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if own else raw)
-            removed.append(sum(b - a for a, b in own))
-            spans.append([{"start": a, "end": b} for a, b in own])
         names = [c for c in batch.schema.names if c not in ("text", "marks")]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
+        texts = text_column(batch, "text").cast(pa.large_binary())
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        for i, j in blocks(off):
+            spans, kept, removed = [], [], []
+            for raw, marks in zip(texts.slice(i, j - i).to_pylist(), batch["marks"].slice(i, j - i).to_pylist()):
+                flat = np.frombuffer(marks or b"", "<i4").tolist()
+                edges = [0, *flat, len(raw)]
+                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if flat else raw)
+                removed.append(len(raw) - len(kept[-1]))
+                spans.append([{"start": a, "end": b} for a, b in zip(flat[::2], flat[1::2])])
+            yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in names), pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
+
+
+def _beside(texts: DataFrame, packed: DataFrame, col: str, how: str) -> DataFrame:
+    """texts with the packed values of their ids, which are broadcast only if their measured size is small."""
+    n, size = packed.agg(F.count("*"), F.sum(F.length(col))).first()
+    return keyed_join(texts, packed, ["id", "th"], how, n if (size or 0) <= BROADCAST_BYTES else 1 << 62)
 
 
 def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -285,15 +343,17 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     found = written(found.select("h", "id", "th", "pos", "left", "right", (F.col("rn") > 1).alias("later")), "anchors")
     whole = found.where("later").select("id", "th", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).where(f"end - start >= {length}")
 
-    places = written(found.where("not later").groupBy("id", "th").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("at")), "places")
-    segs = keyed_join(once, places, ["id", "th"], "inner", places.count()).select("id", "th", "text", "at").mapInArrow(_segments, "h long, id long, th long, start int, left int, seg binary")
+    places = found.where("not later").groupBy("id", "th").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("at"))
+    places = written(places.mapInArrow(_packed, "id long, th long, at binary"), "places")
+    segs = _beside(once, places, "at", "inner").select("id", "th", "text", "at").mapInArrow(_segments, "h long, id long, th long, start int, left int, seg binary")
     segs = written(segs.where(F.length("seg") >= length), "segments")
     groups, more = _split(segs, length, gram)
     within = groups.select("g", "id", "th", "start", "seg").repartition("g").sortWithinPartitions("g").mapInArrow(_repeats(length), "id long, th long, start int, end int")
     marks = whole.unionByName(within)
     marks = marks if more is None else marks.unionByName(more)
-    marks = written(marks.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("marks")), "marks")
-    out = keyed_join(src, marks, ["id", "th"], "left", marks.count())
+    marks = marks.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marks = written(marks.mapInArrow(_merged, "id long, th long, marks binary"), "marks")
+    out = _beside(src, marks, "marks", "left")
     kinds = ", ".join(f"`_{c}` {dict(docs.dtypes)[c]}" for c in extra)
     out = out.select("id", "no_id", *[f"_{c}" for c in extra], "text", "marks").mapInArrow(_cut, f"id long, no_id boolean, {kinds + ', ' if kinds else ''}n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), *[F.col(f"_{c}").alias(c) for c in extra], "n_bytes", "n_removed", "spans", "kept")
