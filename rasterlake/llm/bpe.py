@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import sys
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -37,17 +37,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _later_characters() -> "regex.Pattern":
+def _later_characters() -> frozenset[str]:
     """Characters unassigned in the standard library's Unicode version, whose classes libraries disagree on."""
-    spans, start = [], None
-    for c in range(0x370, 0x110001):
-        odd = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if odd and start is None:
-            start = c
-        elif not odd and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return regex.compile("[" + "".join(spans) + "]")
+    return frozenset(c for c in map(chr, range(0x370, 0x110000)) if unicodedata.category(c) == "Cn")
 
 
 class Bpe:
@@ -70,6 +62,7 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
         self.later = _later_characters()
+        self.unusual = re.compile("[^\0-\u036f]").search
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = dict(zip(plain, map(chr, plain)))
         for b in range(256):
@@ -95,7 +88,7 @@ class Bpe:
         return out, seen
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() or not self.later.search(text):
+        if text.isascii() or not self.unusual(text) or self.later.isdisjoint(set(text)):
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
