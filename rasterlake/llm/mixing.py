@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,6 +10,8 @@ from .common import keyed_join, prepare, written
 
 #: Documents of one source that one flight phase balances; what it leaves goes to the next level.
 BLOCK = 4000
+#: Documents of a source that are settled together at the end.
+LAND = 14
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, total: float = 1.0) -> DataFrame:
@@ -33,20 +33,21 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     return rows.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, keep: int = 2) -> np.ndarray:
     """Moves inclusion probabilities to 0 or 1 along directions that keep the sums of p and of p * size.
 
     Two constraints leave a direction among any three units; where two sizes are equal, two units do. Each step
-    settles one unit at least, so that at most two are left between 0 and 1.
+    settles one unit at least, so that at most two are left between 0 and 1, or keep if that is more.
     """
     p = p.astype(float).copy()
     open_ = [i for i in range(len(p)) if 1e-12 < p[i] < 1 - 1e-12]
     draw = iter(rng.random(3 * len(open_) + 8).tolist())
     hand: list[int] = []
-    queue = iter(open_)
-    while True:
+    queue, ahead = iter(open_), len(open_)
+    while len(hand) + ahead > keep:
         while len(hand) < 3 and (i := next(queue, None)) is not None:
             hand.append(i)
+            ahead -= 1
         same = next(((a, b) for x, a in enumerate(hand) for b in hand[x + 1 :] if size[a] == size[b]), None)
         if same:
             unit, move = list(same), [1.0, -1.0]
@@ -54,7 +55,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
             a, b, c = (float(size[i]) for i in hand)
             unit, move = hand[:], [b - c, c - a, a - b]
         else:
-            return p
+            break
         up = min((1 - p[i]) / m if m > 0 else -p[i] / m for i, m in zip(unit, move) if m)
         down = min(p[i] / m if m > 0 else (p[i] - 1) / m for i, m in zip(unit, move) if m)
         step = up if next(draw) * (up + down) < down else -down
@@ -64,14 +65,16 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
                 p[i] = round(p[i])
                 if i in hand:
                     hand.remove(i)
+    return p
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settles the few units left: of all choices, the one whose size is nearest to the expected, then whose count is."""
+    """Settles the LAND units left at most: of all choices, the one whose size is nearest to the expected, then whose count is."""
     left = np.flatnonzero((p > 0) & (p < 1))
-    best = min(product((0, 1), repeat=len(left)), key=lambda x: (abs(float(np.dot(x, size[left]) - np.dot(p[left], size[left]))), abs(sum(x) - p[left].sum()), x))
+    choice = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    off = np.abs(choice @ size[left] - float(np.dot(p[left], size[left])))
     out = p.copy()
-    out[left] = best
+    out[left] = choice[np.lexsort((np.abs(choice.sum(axis=1) - p[left].sum()), off))[0]]
     return out
 
 
@@ -80,7 +83,7 @@ def _settle(seed: int, level: int, last: bool):
         # the largest first, so that what is left to settle is small
         rows = rows.sort_values(["size", "u", "id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.Generator(np.random.PCG64([seed, level, int(key[0]), int(key[1])]))
-        p = flight(rows["p"].to_numpy(), rows["size"].to_numpy(), rng)
+        p = flight(rows["p"].to_numpy(), rows["size"].to_numpy(), rng, LAND if last else 2)
         rows["p"] = landing(p, rows["size"].to_numpy()) if last else p
         return rows.drop(columns="block")
 
@@ -93,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
     size counts the words of the text, runs of characters other than 0x20 and 0x09 to 0x0D. A document is
     taken whole, as often as its source's target goes into the source's size, and once more with the
     probability that is left over, drawn by the cube method: first in blocks of a source, then over what the
-    blocks leave, until a source is one block, whose last one or two documents are settled by their size.
+    blocks leave, until a source is one block, whose last LAND documents are settled together.
     Draws depend on seed, ids and sizes only, so reruns agree.
 
     Null and empty texts have size 0 and are never taken. A null source is a source. Null ids and repeated
