@@ -62,6 +62,13 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, rules, page_links(pages)).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_quality, train
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return classify_quality(docs, train(docs, labels)).withColumnRenamed("id", "doc_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -75,6 +82,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
