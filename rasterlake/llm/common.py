@@ -46,11 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what written() and scratch_path() have left. Only for callers that hold no unread result."""
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes these folders and empties the list. Only for callers that hold no unread result over them."""
     jvm = spark.sparkContext._jvm
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

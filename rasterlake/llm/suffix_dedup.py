@@ -288,21 +288,27 @@ def _split(segs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFram
         part, slack = written(sides[0].unionByName(sides[1]), "split"), slack - half
 
 
-def _cut(batches):
+def _cut(as_text: bool):
+    """The bytes that stay; as text, what a cut has left of a character goes too."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        names = [c for c in batch.schema.names if c not in ("text", "marks")]
-        texts = text_column(batch, "text").cast(pa.large_binary())
-        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        for i, j in blocks(off):
-            spans, kept, removed = [], [], []
-            for raw, marks in zip(texts.slice(i, j - i).to_pylist(), batch["marks"].slice(i, j - i).to_pylist()):
-                flat = np.frombuffer(marks or b"", "<i4").tolist()
-                edges = [0, *flat, len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if flat else raw)
-                removed.append(len(raw) - len(kept[-1]))
-                spans.append([{"start": a, "end": b} for a, b in zip(flat[::2], flat[1::2])])
-            yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in names), pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
+
+    def run(batches):
+        for batch in batches:
+            names = [c for c in batch.schema.names if c not in ("text", "marks")]
+            texts = text_column(batch, "text").cast(pa.large_binary())
+            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            for i, j in blocks(off):
+                spans, kept, removed = [], [], []
+                for raw, marks in zip(texts.slice(i, j - i).to_pylist(), batch["marks"].slice(i, j - i).to_pylist()):
+                    flat = np.frombuffer(marks or b"", "<i4").tolist()
+                    edges = [0, *flat, len(raw)]
+                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if flat else raw)
+                    removed.append(len(raw) - len(kept[-1]))
+                    spans.append([{"start": a, "end": b} for a, b in zip(flat[::2], flat[1::2])])
+                left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in names), pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, kind), left], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
+
+    return run
 
 
 def _beside(texts: DataFrame, packed: DataFrame, col: str, how: str) -> DataFrame:
@@ -311,7 +317,7 @@ def _beside(texts: DataFrame, packed: DataFrame, col: str, how: str) -> DataFram
     return keyed_join(texts, packed, ["id", "th"], how, n if (size or 0) <= BROADCAST_BYTES else 1 << 62)
 
 
-def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(id, carried columns, n_bytes, n_removed, spans, kept) for every row: bytes in repeats of min_len are cut.
 
     A byte goes if it lies in a string of min_len bytes that also starts earlier: in a smaller id, or
@@ -323,6 +329,8 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
        an anchor, all but the first are repeats throughout. The first ones of each go on if there are two.
     3. Their strings are compared by equal_windows in blocks of whole anchors; large anchors are split.
 
+    kept is binary, since a cut may split a character; as_text gives a string without such remains.
+
     Null and empty texts: 0 bytes, nothing removed. Null ids come after all others. Rows that share an id
     are ordered by a hash of their texts; rows equal in both are one text and get the same result.
     """
@@ -355,5 +363,5 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     marks = written(marks.mapInArrow(_merged, "id long, th long, marks binary"), "marks")
     out = _beside(src, marks, "marks", "left")
     kinds = ", ".join(f"`_{c}` {dict(docs.dtypes)[c]}" for c in extra)
-    out = out.select("id", "no_id", *[f"_{c}" for c in extra], "text", "marks").mapInArrow(_cut, f"id long, no_id boolean, {kinds + ', ' if kinds else ''}n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    out = out.select("id", "no_id", *[f"_{c}" for c in extra], "text", "marks").mapInArrow(_cut(as_text), f"id long, no_id boolean, {kinds + ', ' if kinds else ''}n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), *[F.col(f"_{c}").alias(c) for c in extra], "n_bytes", "n_removed", "spans", "kept")
