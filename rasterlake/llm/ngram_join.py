@@ -218,12 +218,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     comp = written(connected_components(links), "comp")
 
     at = index.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    cuts = F.expr(f"cast((size + {BUCKET - 1}) div {BUCKET} as int)")
+    # Buckets with the same least member hold much the same sets: one task has them all and writes a pair once.
+    # Large ones are cut by a hash of the member into a power of two, so that a pair meets at the same place in each.
+    mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("head")).where("x <> y").select("sig", "head")
+    cuts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / BUCKET, F.lit(1.0))))).cast("int")
     own = F.pmod(F.xxhash64("key"), cuts).cast("int")
     rows = at.join(mixed, "sig").join(full.select("key", "bins"), "key").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    rows = rows.select("sig", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp", "bins")
-    rows = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    rows = rows.select("sig", "head", cuts.alias("cuts"), F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp", "bins")
+    rows = rows.repartition("head", "cuts", "lo", "hi").sortWithinPartitions("head", "cuts", "lo", "hi", "sig").drop("head", "cuts")
     rest = verified(rows.mapInArrow(_bucket_pairs(num, den), "a long, b long").distinct())
     comp = connected_components(links.union(rest))
 
