@@ -6,9 +6,9 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, prepare, text_column, written
+from .common import blocks, lists, prepare, text_column, written
 
 # Fixed value: the published pre-token pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,6 +42,25 @@ def _later_characters() -> frozenset[str]:
     return frozenset(c for c in map(chr, range(0x370, 0x110000)) if unicodedata.category(c) == "Cn")
 
 
+class _Known(dict):
+    """Ids of the pre-tokens met, as bytes of 32-bit integers; what was met lately outlives a clearing."""
+
+    def __init__(self, bpe: "Bpe"):
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = array("i", [self.bpe.special[word]] if word in self.bpe.special else self.bpe.merge(word)).tobytes()
+        self[word] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+
+
 class Bpe:
     """A vocabulary, its merges, and the encoder over them."""
 
@@ -71,8 +90,13 @@ class Bpe:
         self.byte_ids = [vocab[shown[b]] for b in range(256)]
         self.bytes_of = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in [*vocab.items(), *self.special.items()]}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.size = 1 + max(self.bytes_of)
+        #: Rank of each pair, known by left id * size + right id, and the id that each rank makes.
+        self.ranks = {vocab[a] * self.size + vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.makes = [vocab[a + b] for a, b in pairs]
+        of_bytes = [[self.ranks.get(a * self.size + b, -1) for b in self.byte_ids] for a in self.byte_ids]
+        self.first_rank = lambda a, b: of_bytes[a][b]
+        self.known = _Known(self)
 
     def pre_tokens(self, text: str) -> tuple[list[str], Counter]:
         """Pre-tokens in order, with special strings among them, and the counts of these."""
@@ -92,43 +116,52 @@ class Bpe:
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token: merges leave a heap by rank, then place; the symbols are a doubly linked list."""
-        ids = [self.byte_ids[b] for b in word.encode()]
-        n, merges = len(ids), self.merges
+    def merge(self, word: str) -> list[int]:
+        """Ids of one pre-token: merges leave a heap by rank, then place; the symbols are a doubly linked list.
+
+        now holds the rank that the pair beginning at a place has at present, which tells stale entries.
+        """
+        raw = word.encode()
+        ids = list(map(self.byte_ids.__getitem__, raw))
+        n = len(ids)
         if n < 2:
-            return tuple(ids)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := merges.get((a, b)))]
+            return ids
+        shift = 20 if n < 1 << 20 else n.bit_length()
+        place, size, rank, makes = (1 << shift) - 1, self.size, self.ranks.get, self.makes
+        now = list(map(self.first_rank, raw, raw[1:]))
+        now.append(-1)
+        heap = [r << shift | i for i, r in enumerate(now) if r >= 0]
         heapify(heap)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, new, i, a, b = heappop(heap)
+            e = heappop(heap)
+            i, r = e & place, e >> shift
+            if now[i] != r:
+                continue  # stale: one of the two has been merged since
             j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue  # stale: a neighbour has been merged since
-            ids[i], ids[j] = new, -1
+            ids[i] = new = makes[r]
+            ids[j] = now[j] = -1
             right[i] = k = right[j]
-            if k >= 0:
+            if k < n:
                 left[k] = i
-                if m := merges.get((new, ids[k])):
-                    heappush(heap, (*m, i, new, ids[k]))
+                now[i] = r = rank(new * size + ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r << shift | i)
+            else:
+                now[i] = -1
             h = left[i]
-            if h >= 0 and (m := merges.get((ids[h], new))):
-                heappush(heap, (*m, h, ids[h], new))
-        return tuple(x for x in ids if x >= 0)
-
-    def encode(self, text: str) -> list[int]:
-        words, _ = self.pre_tokens(text)
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = (self.special[w],) if w in self.special else self.merge(w)
-        return list(chain.from_iterable(map(known.__getitem__, words)))
-
-    def decode(self, ids: list[int]) -> str:
+            if h >= 0:
+                now[h] = r = rank(ids[h] * size + new, -1)
+                if r >= 0:
+                    heappush(heap, r << shift | h)
+        return [x for x in ids if x >= 0]
+
+    def encode(self, text: str) -> np.ndarray:
+        """32-bit ids; every distinct pre-token is merged once as long as the worker remembers it."""
+        self.known.trim()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.pre_tokens(text)[0])), np.int32)
+
+    def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -146,9 +179,7 @@ def _encode(tokenizer: str, text_col: str):
             off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             for i, j in blocks(off):
                 ids = [bpe.encode(t) for t in texts.slice(i, j - i).to_pylist()]
-                sizes = np.array([len(x) for x in ids])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                own = lists(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), own], names=[*batch.schema.names, "ids"])
 
     return run
@@ -171,9 +202,13 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, out_col: str = "decoded") ->
     def run(batches):
         bpe = loaded(tokenizer)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [bpe.decode(x or ()) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            ids = batch["ids"].fill_null([])
+            off = ids.offsets.to_numpy()
+            for i in range(0, len(ids), 200):
+                edges = off[i : i + 201]
+                flat = ids.values[edges[0] : edges[-1]].to_numpy().tolist()
+                texts = [bpe.decode(flat[a - edges[0] : b - edges[0]]) for a, b in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, len(texts)) for c in batch.columns), pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
     prepare(encoded.sparkSession)
     kept = encoded.drop(out_col)
