@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import prepare, scratch_path, text_column, written
+from .common import prepare, scratch_path, text_column
 
 #: Pixels in a row of the images, and so the unit of a payload.
 WIDTH = 576
@@ -126,8 +126,9 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prepare(docs.sparkSession)
     folder = scratch_path(docs.sparkSession, "media")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    manifest = written(rows.mapInArrow(_archives(folder), "archive string, members long, bytes long"), "media-manifest")
-    return folder, manifest.inputFiles()[0].rsplit("/", 1)[0] if manifest.inputFiles() else ""
+    manifest = scratch_path(docs.sparkSession, "media-manifest")
+    rows.mapInArrow(_archives(folder), "archive string, members long, bytes long").write.parquet(manifest)
+    return folder, manifest
 
 
 @dataclass
