@@ -77,6 +77,13 @@ def profile(df: DataFrame, features: list[str]) -> DataFrame:
     return got.select("feature", "min", "max", "mean", "median", "std", skew.alias("skew"), kurt.alias("kurtosis"), "count", "missing", "n_unique")
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson's coefficient over the rows that have both; NULL where either does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(df: DataFrame, features: list[str], method: str = "pearson") -> DataFrame:
     """(a, b, corr) for every pair of features; spearman ranks ties by their mean; kendall is tau-b."""
     pairs = list(combinations(sorted(features), 2))
@@ -84,15 +91,15 @@ def correlations(df: DataFrame, features: list[str], method: str = "pearson") ->
         for f in features:
             w = Window.orderBy(F.col(f))
             df = df.withColumn(f"_r_{f}", F.when(F.col(f).isNotNull(), F.rank().over(w) + (F.count("*").over(Window.partitionBy(f)) - 1) / 2))
-        got = df.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        got = df.agg(*[_corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     elif method == "kendall":
         rows = df.select(*[F.col(f).cast("double").alias(f) for f in features]).withColumn("_i", F.monotonically_increasing_id())
         other = rows.select(F.col("_i").alias("_j"), *[F.col(f).alias(f"o_{f}") for f in features])
         both = rows.join(other, F.col("_i") < F.col("_j"))
         sign = {f: F.signum(F.col(f) - F.col(f"o_{f}")) for f in features}
-        got = both.agg(*[(F.sum(sign[a] * sign[b]) / F.sqrt(F.sum(F.abs(sign[a])) * F.sum(F.abs(sign[b])))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        got = both.agg(*[(F.sum(sign[a] * sign[b]) / F.nullif(F.sqrt(F.sum(F.abs(sign[a])) * F.sum(F.abs(sign[b]))), F.lit(0.0))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     else:
-        got = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        got = df.agg(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return got.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rasterlake.grid import Transform
 from rasterlake.operators import tables
@@ -27,8 +27,8 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     named = lines.where(is_header).select("raster_id", F.lower(F.split("value", r"\s+")[0]).alias("k"), F.expr(r"try_cast(split(value, '\\s+')[1] as double)").alias("v"))
     heads = named.groupBy("raster_id").agg(*[F.coalesce(F.max(F.when(F.col("k").isin(*spellings), F.col("v"))), F.lit(DEFAULTS.get(k))).alias(k) for k, spellings in HEADER.items()])
     body = lines.where(~is_header)
-    first = body.groupBy("raster_id").agg(F.min("line").alias("first"))
-    rows = body.join(first, "raster_id").select("raster_id", F.posexplode(F.split("value", r"\s+")).alias("k", "token"), (F.col("line") - F.col("first")).alias("row"))
+    number = F.row_number().over(Window.partitionBy("raster_id").orderBy("line")) - 1
+    rows = body.withColumn("row", number).select("raster_id", F.posexplode(F.split("value", r"\s+")).alias("k", "token"), "row")
     values = rows.select("raster_id", F.col("row").alias("r"), F.col("k").alias("c"), F.expr("try_cast(token as double)").alias("v"))
     frame = heads.select("raster_id", "ncols", "nodata", F.explode(F.sequence(F.lit(0), F.col("nrows").cast("int") - 1)).alias("r")).select("raster_id", "nodata", "r", F.explode(F.sequence(F.lit(0), F.col("ncols").cast("int") - 1)).alias("c"))
     cells = frame.join(values, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.when((F.col("v") != F.col("nodata")) & ~F.isnan("v"), F.col("v")).alias("z"))
