@@ -92,5 +92,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_HOST = r"translate(CASE WHEN contains({0}, '://') THEN regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"CASE WHEN contains({0}, '://') THEN regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END"
+_Q = r"[\x22\x27]"
+
+#: Links by the same tags, classes by the set of URLs that reach one another, rules by a join on suffix and prefix.
+OP6_SQL = rf"""WITH RECURSIVE rules AS (SELECT * FROM (VALUES {", ".join(str(r) for r in RULES)}) t(own, rh, rp)),
+tags AS (SELECT url, coalesce(
+  nullif(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*{_Q}?canonical{_Q}?[^>]*\bhref\s*=\s*{_Q}?([^\x22\x27\s>]+)', 1), ''),
+  nullif(regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*{_Q}?([^\x22\x27\s>]+){_Q}?[^>]*\brel\s*=\s*{_Q}?canonical\b', 1), '')) AS to_ FROM pages WHERE contains(url, '://')
+  UNION ALL SELECT url, nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*{_Q}?refresh{_Q}?[^>]*\burl\s*=\s*{_Q}?([^\x22\x27\s>]+)', 1), '') FROM pages WHERE contains(url, '://')),
+found AS (SELECT url AS src, CASE WHEN contains(to_, '://') THEN to_ WHEN starts_with(to_, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || to_ WHEN starts_with(to_, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || to_ END AS dst FROM tags WHERE to_ IS NOT NULL),
+links AS (SELECT src, dst FROM found WHERE dst IS NOT NULL AND src <> dst),
+both_ AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
+reach AS (SELECT a, a AS b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b),
+urls AS (SELECT DISTINCT url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM (SELECT url FROM pages UNION SELECT b FROM reach)),
+decided AS (SELECT url, first(rh || rp ORDER BY length(rh || rp) DESC, own, rh || rp) AS rule, first(own ORDER BY length(rh || rp) DESC, own, rh || rp) AS own FROM urls JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url),
+classes AS (SELECT r.a AS url, bool_or(d.own = 'allow') AS allowed, bool_or(d.own = 'block') AS blocked FROM reach r JOIN decided d ON d.url = r.b GROUP BY r.a)
+SELECT p.page_id, {_HOST.format("coalesce(p.url, '')")} AS host, {_PATH.format("coalesce(p.url, '')")} AS path, d.rule, coalesce(d.own, CASE WHEN c.allowed THEN 'allow' WHEN c.blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN decided d ON d.url = p.url LEFT JOIN classes c ON c.url = p.url"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL only where it says all and is quick on whole tables; the tests hold the others against brute force."""
+    return {"op6_url_filters": OP6_SQL}
