@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rows of at most a few dozen bytes that a broadcast may hold; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a numpy kernel works on at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _scratch: list[str] = []
 
@@ -89,6 +92,21 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 # ---------------------------------------------------------------- texts in Arrow batches
 
 
+def lean(run):
+    """A task's function that gives memory back at its end: Spark keeps the worker, and the next stage needs the room."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every platform has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as large strings without nulls; null texts are empty."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()).fill_null("")

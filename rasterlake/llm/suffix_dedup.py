@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import blocks, buffers, keyed_join, mix, powers, prefix_hash, prepare, text_column, written
+from .common import blocks, buffers, keyed_join, lean, mix, powers, prefix_hash, prepare, text_column, written
 
 #: Segments of one anchor that a block may hold together; an anchor with more is split by its context.
 MOST = 4096
@@ -68,12 +68,16 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
 
 
 def _rows(length: int, gram: int):
+    """Anchors with their segments. Of equal ones in a batch only the first needs to meet the rest of the corpus:
+    the others are repeats already, and go by keys of their own, so that a segment common to many texts is no hot key."""
+
     def run(batches):
         for batch in batches:
             col = text_column(batch, "text")
             ids, th = batch["id"].to_numpy(), batch["th"].to_numpy()
             data, off = buffers(col)
-            for i, j in blocks(off, 1 << 19):
+            parts = []
+            for i, j in blocks(off):
                 own = off[i : j + 1] - off[i]
                 found = _anchors(data[off[i] : off[j]], own, length, gram)
                 if found is None:
@@ -82,16 +86,25 @@ def _rows(length: int, gram: int):
                 doc = np.searchsorted(own, at, "right") - 1
                 hi = last + length
                 seg = mix((sums[hi] - sums[first]) * down[first] + mix((at - first).astype(np.uint64) << np.uint64(32) | (hi - first).astype(np.uint64)))
-                for x in range(0, len(at), 50_000):
-                    y = slice(x, x + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (mix(grams[at[y]]).view(np.int64), seg[y].view(np.int64), ids[i + doc[y]], th[i + doc[y]], (at - own[doc])[y].astype(np.int32), (at - first)[y].astype(np.int16), (hi - at)[y].astype(np.int16))], names=["h", "seg", "id", "th", "pos", "left", "right"])
+                parts.append((mix(grams[at]), seg, i + doc, at - own[doc], at - first, hi - at))
+            if not parts:
+                continue
+            h, seg, doc, pos, left, right = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((pos, th[doc], ids[doc], seg, h))
+            later = np.zeros(len(h), bool)
+            later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (seg[order[1:]] == seg[order[:-1]])
+            h[later] = mix((ids[doc[later]] ^ th[doc[later]]).view(np.uint64) + mix(pos[later].astype(np.uint64)))
+            for x in range(0, len(h), 50_000):
+                y = slice(x, x + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[y].view(np.int64), seg[y].view(np.int64), ids[doc[y]], th[doc[y]], pos[y].astype(np.int32), left[y].astype(np.int16), right[y].astype(np.int16), later[y])], names=["h", "seg", "id", "th", "pos", "left", "right", "known"])
 
-    return run
+    return lean(run)
 
 
 _PLACE = np.dtype([("h", "<i8"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2")])
 
 
+@lean
 def _packed(batches):
     """A document's places as one binary value."""
     for batch in batches:
@@ -102,6 +115,7 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array([x[i:j].tobytes() for i, j in zip(lo, lo[1:])], pa.binary())], names=["id", "th", "at"])
 
 
+@lean
 def _segments(batches):
     for batch in batches:
         texts, ids, th = text_column(batch, "text"), batch["id"].to_numpy(), batch["th"].to_numpy()
@@ -116,6 +130,7 @@ def _segments(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x["h"][y]), pa.array(ids[doc[y]]), pa.array(th[doc[y]]), pa.array(start[y].astype(np.int32)), pa.array(x["left"][y].astype(np.int32)), pa.array([raw[p:q] for p, q in zip(a[y], b[y])], pa.binary())], names=["h", "id", "th", "start", "left", "seg"])
 
 
+@lean
 def _merged(batches):
     """A document's marks as disjoint spans, packed into one binary value of pairs of 32-bit integers."""
     for batch in batches:
@@ -252,7 +267,7 @@ def _repeats(length: int):
         if held and (out := block(held)) is not None:
             yield out
 
-    return run
+    return lean(run)
 
 
 def _split(segs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
@@ -308,7 +323,7 @@ def _cut(as_text: bool):
                 left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in names), pa.array(np.diff(off[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, kind), left], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
 
-    return run
+    return lean(run)
 
 
 def _beside(texts: DataFrame, packed: DataFrame, col: str, how: str) -> DataFrame:
@@ -344,11 +359,11 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     src = (keyed_join(src, several, "id", "left", n_several) if n_several else src.withColumn("more", F.lit(None).cast("int"))).withColumn("th", F.when(F.col("more") == 1, F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("more")
     once = src.select("id", "th", "text").dropDuplicates(["id", "th"]) if n_several else src.select("id", "th", "text")
 
-    rows = once.mapInArrow(_rows(length, gram), "h long, seg long, id long, th long, pos int, left smallint, right smallint")
+    rows = once.mapInArrow(_rows(length, gram), "h long, seg long, id long, th long, pos int, left smallint, right smallint, known boolean")
     in_seg = Window.partitionBy("h", "seg").orderBy("id", "th", "pos")
     in_h = Window.partitionBy("h")
-    found = rows.withColumn("rn", F.row_number().over(in_seg)).withColumns({"x": F.min("seg").over(in_h), "y": F.max("seg").over(in_h)}).where("rn > 1 or x <> y")
-    found = written(found.select("h", "id", "th", "pos", "left", "right", (F.col("rn") > 1).alias("later")), "anchors")
+    found = rows.withColumn("rn", F.row_number().over(in_seg)).withColumns({"x": F.min("seg").over(in_h), "y": F.max("seg").over(in_h)}).where("known or rn > 1 or x <> y")
+    found = written(found.select("h", "id", "th", "pos", "left", "right", (F.col("known") | (F.col("rn") > 1)).alias("later")), "anchors")
     whole = found.where("later").select("id", "th", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).where(f"end - start >= {length}")
 
     places = found.where("not later").groupBy("id", "th").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("at"))
