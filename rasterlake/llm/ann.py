@@ -6,12 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import prepare, written
+from .common import keyed_join, prepare, written
 
 #: Vectors that the pivots are chosen from at most, those of the least hashes of their ids.
 SAMPLE = 4096
 #: Vectors in a shard and queries in a block; one task handles a shard and a block at a time.
 SHARD, QUERIES = 8192, 1024
+#: Blocks of queries that may be broadcast to the shards, each some hundred KB; more are joined by a shuffle.
+BLOCKS = 32
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -110,9 +112,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, each)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
 
     index = written(dealt(rows, shards), "shards")
-    asked = written(dealt(rows.where(F.col("id") % every == 0), cuts).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("perm").alias("q_perm")), "queries")
+    asked = written(dealt(rows.where(F.col("id") % every == 0), cuts).select(F.col("cut").alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("perm").alias("q_perm")), "queries")
     # one row for each shard and block of queries: the stated query set against all rows, in blocks
-    pairs = index.repartition(shards, "cut").crossJoin(asked)
+    shard_and_block = index.repartition(shards, "cut").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))))
+    pairs = keyed_join(shard_and_block, asked, "block", "inner", cuts if cuts <= BLOCKS else 1 << 62)
     found = pairs.select("ids", "x", "perm", "q_ids", "q_x", "q_perm").mapInArrow(search, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
