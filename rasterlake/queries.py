@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterlake import grid as G
-from rasterlake.operators import hydrology, ml, spatial, spectral, tables, terrain, texture, window
+from rasterlake.operators import basic, hydrology, ml, spatial, spectral, tables, terrain, texture, window
 from rasterlake.streaming import player_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,11 @@ query("transect", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z +
 )
 
 
+_BG = "m AS (SELECT max(r) AS mr, max(c) AS mc FROM g), f AS (SELECT r, c, z IS NOT NULL AS valid, coalesce(z, 0) AS z FROM g), w AS (SELECT a.r, a.c, a.z AS o, b.z AS v FROM f a CROSS JOIN m CROSS JOIN range(-2, 3) x(dr) CROSS JOIN range(-2, 3) y(dc) JOIN f b ON b.r = greatest(0, least(mr, a.r + dr)) AND b.c = greatest(0, least(mc, a.c + dc))), k AS (SELECT r, c, avg(abs(v - o)) AS tri, max(o) - avg(v) AS tpi, max(v) - min(v) AS span, stddev_pop(v) AS sd, avg(v) AS mean, median(v) AS med FROM w GROUP BY r, c)"
+_BASIC = {"slope": f"sqrt(pow({_DX}, 2) + pow({_DY}, 2))", "aspect": f"atan2({_DY}, {_DX})", "tri": "tri", "tpi": "tpi", "roughness": "span", "range": "span", "std": "sd", "mean": "mean", "median": "med", "laplacian": "z2 + z4 + z6 + z8 - 4 * z5"}
+plain("basic_features", f"WITH {_g()}, {_BG}, {_near(True, 'f')} SELECT r, c, " + ", ".join(f"CASE WHEN valid THEN round({v}, 6) ELSE 0 END + 0.0 AS basic_{k}" for k, v in _BASIC.items()) + " FROM s JOIN k USING (r, c)", basic.basic_features, *[f"basic_{k}" for k in _BASIC])
+
+
 def _laplacian(cells: DataFrame) -> DataFrame:
     from rasterlake.functions import stencil
 

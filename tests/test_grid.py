@@ -281,3 +281,19 @@ def test_stream_to_cells(spark, tmp_path):
     finally:
         q.stop()
     assert {(r.r, r.c, r.n, r.z) for r in spark.table("cells").collect()} == {(1, 2, 2, 5.0), (3, 3, 1, 1.0)}
+
+
+def test_extract(spark, sample, tmp_path):
+    from rasterlake import extract
+
+    g = cells(spark, np.nan_to_num(sample))
+    s = extract.Settings(patch=3)
+    table = extract.extract(g, ("terrain", "stats", "spatial", "ml"), s, more={"own": lambda c: c.select(*G.KEYS, (F.col("z") * 2).alias("twice"))})
+    assert table.count() == g.count() and len(table.columns) == len(set(table.columns)) > 25
+    row = table.orderBy("id").first()
+    assert row.twice == 2 * row.elevation and {"slope", "entropy", "morans_I", "pca_1"} <= set(table.columns)
+    with pytest.raises(ValueError):
+        extract.extract(g, ("nothing",))
+    sources.write_ascii_grid(cells(spark, sample, "x"), str(tmp_path / "in"))
+    assert extract.main([str(tmp_path / "in/*/*.txt"), str(tmp_path / "out"), "--features", "stats,basic", "--metadata", str(tmp_path / "meta")]) == 0
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == np.isfinite(sample).sum()
