@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from array import array
 from collections import Counter
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -16,12 +17,12 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, lists, prepare, text_column, written
+from .common import blocks, lean, lists, prepare, text_column, written
 
 # Fixed value: the published pre-token pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose ids a worker remembers; beyond, it starts anew.
-CACHE = 300_000
+CACHE = 250_000
 #: Bytes of text that share one dictionary of pre-tokens in token_counts.
 CHUNK_BYTES = 32 << 20
 
@@ -37,9 +38,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _later_characters() -> frozenset[str]:
-    """Characters unassigned in the standard library's Unicode version, whose classes libraries disagree on."""
-    return frozenset(c for c in map(chr, range(0x370, 0x110000)) if unicodedata.category(c) == "Cn")
+def _later_characters() -> bytes:
+    """1 at each character unassigned in the standard library's Unicode version, whose classes libraries disagree on."""
+    return bytes(unicodedata.category(chr(c)) == "Cn" for c in range(0x110000))
 
 
 class _Known(dict):
@@ -65,17 +66,13 @@ class Bpe:
     """A vocabulary, its merges, and the encoder over them."""
 
     def __init__(self, name: str):
-        from tokenizers import Tokenizer
-
         path = vocabulary_path(name)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec["pre_tokenizer"] or {}
         if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or spec["normalizer"] or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: only byte-level BPE without normalizer and prefix space")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -98,6 +95,16 @@ class Bpe:
         self.first_rank = lambda a, b: of_bytes[a][b]
         self.known = _Known(self)
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, where its answer is asked for."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def pre_tokens(self, text: str) -> tuple[list[str], Counter]:
         """Pre-tokens in order, with special strings among them, and the counts of these."""
         if self.split is None or not any(s in text for s in self.special):
@@ -112,7 +119,7 @@ class Bpe:
         return out, seen
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() or not self.unusual(text) or self.later.isdisjoint(set(text)):
+        if text.isascii() or not self.unusual(text) or not any(map(self.later.__getitem__, map(ord, set(text)))):
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -182,7 +189,7 @@ def _encode(tokenizer: str, text_col: str):
                 own = lists(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), own], names=[*batch.schema.names, "ids"])
 
-    return run
+    return lean(run)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -212,7 +219,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, out_col: str = "decoded") ->
 
     prepare(encoded.sparkSession)
     kept = encoded.drop(out_col)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 # ---------------------------------------------------------------- counts
@@ -264,7 +271,7 @@ def _chunks(tokenizer: str, buckets: int):
         if docs:
             yield from close(chunk, docs, words)
 
-    return run
+    return lean(run)
 
 
 _SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("codes", pa.binary()), ("times", pa.binary())])
@@ -288,9 +295,10 @@ def _pieces(tokenizer: str):
                 pieces = np.fromiter(map(known.__getitem__, words), np.uint32, len(words)).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([first.as_py()], pa.int32()), pa.array([pieces])], names=["chunk", "first", "pieces"])
 
-    return run
+    return lean(run)
 
 
+@lean
 def _sums(batches):
     for batch in batches:
         for row in range(len(batch)):

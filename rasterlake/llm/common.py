@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def prepare(spark: SparkSession) -> None:
     """Keeps the Arrow batches of this session small, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -97,6 +97,9 @@ def lean(run):
 
     @functools.wraps(run)
     def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: what is large goes back as soon as it is free
         try:
             yield from run(batches)
         finally:

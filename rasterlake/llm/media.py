@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import prepare, scratch_path, text_column
+from .common import lean, prepare, scratch_path, text_column
 
 #: Pixels in a row of the images, and so the unit of a payload.
 WIDTH = 576
@@ -115,7 +115,7 @@ def _archives(folder: str):
         if out is not None:
             yield close()
 
-    return run
+    return lean(run)
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, str]:
@@ -239,7 +239,7 @@ def read_media(spark: SparkSession, folder: str, manifest: str = "") -> DataFram
     prepare(spark)
     spark.dataSource.register(ArchiveSource)
     members = spark.read.format("archive").option("path", folder).option("manifest", manifest).load()
-    return members.select("member", "content").mapInArrow(run, "id long, n_bytes long, payload binary, media binary, feature string")
+    return members.select("member", "content").mapInArrow(lean(run), "id long, n_bytes long, payload binary, media binary, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

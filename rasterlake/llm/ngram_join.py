@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import blocks, buffers, connected_components, keyed_join, lists, mix, prepare, shingle_sets, text_column, written
+from .common import blocks, buffers, connected_components, keyed_join, lean, lists, mix, prepare, shingle_sets, text_column, written
 
 #: A shingle of up to RARE sets is indexed alone; up to RARE * RARE in pairs; beyond in triples.
 RARE = 64
@@ -37,7 +37,7 @@ def _sets(k: int, id_col: str, text_col: str, share: int, full: bool):
                     out["bins"] = pa.array([np.minimum(np.bincount(h[b - c : b] >> np.uint64(56), minlength=BINS), 255).astype(np.uint8).tobytes() for b, c in zip(ends, n)], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return run
+    return lean(run)
 
 
 def _signatures(num: int, den: int):
@@ -85,7 +85,7 @@ def _signatures(num: int, den: int):
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in out], names=["sig", "key", "n", "single"])
 
-    return run
+    return lean(run)
 
 
 def _bucket_pairs(num: int, den: int):
@@ -146,7 +146,7 @@ def _bucket_pairs(num: int, den: int):
         if held:
             yield flush(held, seen)
 
-    return run
+    return lean(run)
 
 
 def _verify(num: int, den: int):
@@ -161,7 +161,7 @@ def _verify(num: int, den: int):
                 keep.append(den * both >= num * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", share: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, buffers, keyed_join, mix, powers, prefix_hash, prepare, text_column, written
+from .common import blocks, buffers, keyed_join, lean, mix, powers, prefix_hash, prepare, text_column, written
 
 #: Labelled documents that the classifier is fitted on at most, picked by a hash of the id.
 SAMPLE = 20_000
@@ -89,7 +89,7 @@ def _scored(weights: np.ndarray | None):
                 new = pa.array(list(x), pa.list_(pa.float64())) if weights is None else pa.array(x @ weights)
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in names), new], names=[*names, "score"])
 
-    return run
+    return lean(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
