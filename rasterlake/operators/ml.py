@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.functions import exploded
 from rasterlake.grid import KEYS
+from rasterlake.plans import cut
 
 
 def patches(cells: DataFrame, size: int = 7) -> DataFrame:
@@ -42,16 +44,55 @@ def clusters(vectors: DataFrame, k: int = 3, column: str = "patch", seed: int =
     return model.transform(rows).select(*KEYS, label.alias("cluster_label"))
 
 
-def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 5, column: str = "patch") -> DataFrame:
-    """Clusters by power iteration over the similarities of vectors that are near in the grid."""
-    rows = vectors.select(F.struct(*KEYS).alias("cell"), column, F.xxhash64(*KEYS).alias("id"), *KEYS)
-    other = rows.select("raster_id", (F.col("r")).alias("r2"), (F.col("c")).alias("c2"), F.col(column).alias("p2"), F.col("id").alias("dst"))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("y"), F.lit(j).alias("x")) for i in range(0, neighbours // 2 + 1) for j in range(-(neighbours // 2), neighbours // 2 + 1) if (i, j) > (0, 0)]))
-    pairs = rows.withColumn("o", steps).withColumns({"r2": F.col("r") + F.col("o.y"), "c2": F.col("c") + F.col("o.x")}).join(other, ["raster_id", "r2", "c2"])
-    gap = F.aggregate(F.zip_with(column, "p2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = pairs.withColumn("gap", gap)
-    scale = pairs.agg(F.avg("gap").alias("scale"))
-    edges = pairs.crossJoin(F.broadcast(scale)).select(F.col("id").alias("src"), "dst", F.exp(-F.col("gap") / F.greatest("scale", F.lit(1e-12))).alias("weight"))
+def nearest(vectors: DataFrame, k: int, column: str = "patch", id_col: str = "id", block: int = 8192) -> DataFrame:
+    """(src, dst, gap): the k nearest other vectors of each by squared distance; of equals the least id. Exact.
+
+    Vectors are dealt into blocks by a hash of the id, and every two blocks meet in one task: the work grows with the
+    square of the rows, but a task holds two blocks and a strip of their distances only.
+    """
+    n = vectors.count()
+    parts = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v"), own.alias("own")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.select("id", "v", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        sides = [(g["id"].to_numpy(), np.stack(g["v"].to_numpy())) for s in dict.fromkeys(key) if len(g := part[part["own"] == s])]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for (ia, a), (ib, b) in [(sides[0], sides[0])] if len(set(key)) == 1 else [(x, y) for x in sides for y in sides if x is not y]:
+            square = (b * b).sum(axis=1)
+            for i in range(0, len(a), 256):
+                far = square - 2 * (a[i : i + 256] @ b.T)  # less the row's own square, which orders nothing
+                if ia is ib:
+                    far[np.arange(len(far)), np.arange(i, i + len(far))] = np.inf
+                m = min(k, len(b) - (ia is ib))
+                if not m:
+                    continue
+                # all that is as near as the m-th, so that equals are told apart by id and not by their place
+                at, to = np.nonzero(far <= np.partition(far, m - 1, axis=1)[:, m - 1 : m])
+                order = np.lexsort((ib[to], far[at, to], at))
+                at, to = at[order], to[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < m
+                at, to = at[first] + i, to[first]
+                out.append((ia[at], ib[to], ((a[at] - b[to]) ** 2).sum(axis=1)))
+        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("src", "dst", "gap"))})
+
+    found = rows.groupBy("lo", "hi").applyInPandas(run, "src long, dst long, gap double")
+    best = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "dst"))), 1, k).alias("best"))
+    return best.select("src", F.explode("best").alias("b")).select("src", "b.dst", "b.gap")
+
+
+def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, column: str = "patch") -> DataFrame:
+    """Clusters by power iteration over the graph of nearest neighbours among the vectors, wherever in the grid they are.
+
+    A vector counts among its own neighbours; a link weighs 1 if both ends name each other, and a half otherwise.
+    """
+    rows = cut(vectors.select(F.struct(*KEYS).alias("cell"), column, F.xxhash64(*KEYS).alias("id")))
+    if rows.limit(2).count() < 2:
+        return rows.select("cell.*", F.lit(0).alias("cluster_label"))
+    ends = nearest(rows, neighbours - 1, column).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    edges = cut(ends.groupBy("src", "dst").agg((F.count("*") / 2).alias("weight")))
     labels = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight").assignClusters(edges)
     return rows.join(labels, "id").select("cell.*", F.col("cluster").alias("cluster_label"))
 

@@ -316,7 +316,7 @@ query("patches", f"WITH {_g(False)}, {_win(5)} SELECT r, c, sum(v * ((dr + 2) *
 )
 query("pca")(lambda spark, d: _out(ml.pca(ml.patches(emb(spark, d, False), 3))[0], "pca_1", "pca_2"))
 query("kmeans")(lambda spark, d: ml.clusters(ml.patches(emb(spark, d, False), 3)).select("r", "c", "cluster_label"))
-query("spectral_clusters")(lambda spark, d: ml.spectral_clusters(ml.patches(emb(spark, d, False).where("r < 64"), 3)).select("r", "c", "cluster_label"))
+query("spectral_clusters")(lambda spark, d: ml.spectral_clusters(ml.patches(emb(spark, d, False), 3)).select("r", "c", "cluster_label"))
 query("autoencoder")(lambda spark, d: _out(ml.autoencoder(ml.patches(emb(spark, d, False), 3)), "autoencoder_latent_1", "autoencoder_latent_2"))
 
 # ---------------------------------------------------------------- feature tables

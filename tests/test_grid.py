@@ -220,6 +220,32 @@ def test_components_and_clusters(spark, sample):
     assert ml.autoencoder(v, steps=20).count() == v.count() == ml.spectral_clusters(v).count()
 
 
+def test_spectral_clusters_of_like_patches(spark, sample):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, 9, (40, 4)), rng.integers(0, 9, (40, 4)) + 500]).astype(float)
+    v = spark.createDataFrame([("t", 7 * i, 0, p.tolist()) for i, p in enumerate(x)], "raster_id string, r int, c int, patch array<double>")
+    got = defaultdict(dict)
+    for r in ml.nearest(v.withColumn("id", F.col("r").cast("long")), 5, block=16).collect():
+        got[r.src // 7][r.dst // 7] = r.gap
+    for i in range(80):
+        gap = ((x - x[i]) ** 2).sum(1)
+        best = sorted((g, j) for j, g in enumerate(gap) if j != i)[:5]
+        assert got[i] == {j: g for g, j in best}
+    # no two are near in the grid, and yet each group is labelled
+    labels = {r.r // 7: r.cluster_label for r in ml.spectral_clusters(v, k=2).collect()}
+    assert len(labels) == 80
+    assert ml.spectral_clusters(v.limit(1)).count() == 1 and ml.spectral_clusters(v.limit(0)).count() == 0
+
+
+def test_spectral_clusters_query_has_all_rows(spark):
+    from rasterlake.queries import QUERIES, emb
+
+    base = "/root/testdata/sf0.001"
+    got = QUERIES["spectral_clusters"](spark, base)
+    box = emb(spark, base, False).agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    assert got.count() == (box.r - 1) * (box.c - 1)
+
+
 def test_ascii_grid(spark, sample, tmp_path):
     lines = ["NCOLS 4", "nrows 3", "xllcenter 10", "nodata -1", "1 2 x 4", "", "5 -1 7"]
     (tmp_path / "a.asc").write_text("\n".join(lines))
