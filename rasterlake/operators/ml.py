@@ -97,30 +97,55 @@ def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, colu
     return rows.join(labels, "id").select("cell.*", F.col("cluster").alias("cluster_label"))
 
 
-def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 200, sample: int = 4096, seed: int = 42, column: str = "patch") -> DataFrame:
-    """autoencoder_latent_1 to _k: a network of one hidden layer each way, fitted on a bounded sample, applied to all rows."""
-    data = np.array([r[0] for r in vectors.orderBy(F.xxhash64(*KEYS, F.lit(seed))).select(column).limit(sample).collect()])
+def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 200, seed: int = 42, column: str = "patch") -> DataFrame:
+    """autoencoder_latent_1 to _k: a network of one hidden layer each way, fitted on all rows and applied to them.
+
+    Each step sums the gradients of all rows by partition; only the small weights and their gradients meet the driver.
+    """
     names = [f"autoencoder_latent_{i + 1}" for i in range(k)]
-    if not len(data):
+    rows = cut(vectors.select(*KEYS, column))
+    head = rows.select(F.size(column).alias("width")).first()
+    if head is None:
         return vectors.select(*KEYS, *[F.lit(None).cast("double").alias(n) for n in names])
-    mean, std = data.mean(axis=0), np.maximum(data.std(axis=0), 1e-9)
-    x, rng = (data - mean) / std, np.random.default_rng(seed)
-    sizes = [x.shape[1], hidden, k, hidden, x.shape[1]]
+    width = head.width
+    row = rows.agg(F.count("*"), *[F.avg(F.col(column)[i]) for i in range(width)], *[F.stddev_pop(F.col(column)[i]) for i in range(width)]).first()
+    n, mean, std = row[0], np.array(row[1 : width + 1], float), np.maximum(np.array(row[width + 1 :], float), 1e-9)
+
+    def pack(batches):
+        for part in batches:
+            if len(part):
+                yield pd.DataFrame({"x": [((np.stack(part[column].to_numpy()) - mean) / std).tobytes()]})
+
+    packed = cut(rows.select(column).mapInPandas(pack, "x binary"))
+    sizes, rng = [width, hidden, k, hidden, width], np.random.default_rng(seed)
     w = [rng.normal(0, (2 / (a + b)) ** 0.5, (a, b)) for a, b in zip(sizes, sizes[1:])]
     b = [np.zeros(n) for n in sizes[1:]]
     m, v = [[np.zeros_like(p) for p in w + b] for _ in range(2)]
+
+    def gradients(batches):
+        total = None
+        for part in batches:
+            for raw in part["x"]:
+                x = np.frombuffer(raw).reshape(-1, width)
+                at = [x]
+                for i in range(4):
+                    y = at[-1] @ w[i] + b[i]
+                    at.append(np.tanh(y) if i in (0, 2) else y)
+                d, gw, gb = 2 * (at[-1] - x) / (n * width), [None] * 4, [None] * 4
+                for i in range(3, -1, -1):
+                    if i in (0, 2):
+                        d = d * (1 - at[i + 1] ** 2)
+                    gw[i], gb[i] = at[i].T @ d, d.sum(axis=0)
+                    d = d @ w[i].T
+                total = [g + t for g, t in zip(gw + gb, total)] if total else gw + gb
+        if total:
+            yield pd.DataFrame({"g": [np.concatenate([g.ravel() for g in total]).tobytes()]})
+
+    ends = np.cumsum([p.size for p in w + b])[:-1]
     for t in range(1, steps + 1):
-        at = [x]
-        for i in range(4):
-            y = at[-1] @ w[i] + b[i]
-            at.append(np.tanh(y) if i in (0, 2) else y)
-        d, gw, gb = 2 * (at[-1] - x) / x.size, [None] * 4, [None] * 4
-        for i in range(3, -1, -1):
-            if i in (0, 2):
-                d = d * (1 - at[i + 1] ** 2)
-            gw[i], gb[i] = at[i].T @ d, d.sum(axis=0)
-            d = d @ w[i].T
-        for j, (p, g) in enumerate(zip(w + b, gw + gb)):
+        sums = sum(np.frombuffer(r.g) for r in packed.mapInPandas(gradients, "g binary").collect())
+        for j, (p, g) in enumerate(zip(w + b, np.split(sums, ends))):
+            g = g.reshape(p.shape)
             m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g
             p -= 0.01 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
 
@@ -129,4 +154,4 @@ def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 2
             z = np.tanh((np.stack(part[column].to_numpy()) - mean) / std @ w[0] + b[0]) @ w[1] + b[1]
             yield part[list(KEYS)].assign(**{n: z[:, i] for i, n in enumerate(names)})
 
-    return vectors.select(*KEYS, column).mapInPandas(encode, "raster_id string, r int, c int, " + ", ".join(f"{n} double" for n in names))
+    return rows.mapInPandas(encode, "raster_id string, r int, c int, " + ", ".join(f"{n} double" for n in names))

@@ -246,6 +246,32 @@ def test_spectral_clusters_query_has_all_rows(spark):
     assert got.count() == (box.r - 1) * (box.c - 1)
 
 
+def test_autoencoder_is_fitted_on_all_rows(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(5000, 3))
+    a[:40] *= 50  # few rows that shape mean, deviation and axes
+    v = spark.createDataFrame([("t", i, 0, p.tolist()) for i, p in enumerate(a)], "raster_id string, r int, c int, patch array<double>")
+    got = {r.r: (r.autoencoder_latent_1, r.autoencoder_latent_2) for r in ml.autoencoder(v, hidden=4, steps=3).collect()}
+
+    x, rng = (a - a.mean(axis=0)) / a.std(axis=0), np.random.default_rng(42)
+    sizes = [3, 4, 2, 4, 3]
+    w = [rng.normal(0, (2 / (p + q)) ** 0.5, (p, q)) for p, q in zip(sizes, sizes[1:])] + [np.zeros(q) for q in sizes[1:]]
+    m, s = [[np.zeros_like(p) for p in w] for _ in range(2)]
+    for t in range(1, 4):
+        h1 = np.tanh(x @ w[0] + w[4])
+        z = h1 @ w[1] + w[5]
+        h2 = np.tanh(z @ w[2] + w[6])
+        d3 = 2 * (h2 @ w[3] + w[7] - x) / x.size
+        d2 = d3 @ w[3].T * (1 - h2**2)
+        d1 = d2 @ w[2].T
+        d0 = d1 @ w[1].T * (1 - h1**2)
+        for j, g in enumerate((x.T @ d0, h1.T @ d1, z.T @ d2, h2.T @ d3, d0.sum(0), d1.sum(0), d2.sum(0), d3.sum(0))):
+            m[j], s[j] = 0.9 * m[j] + 0.1 * g, 0.999 * s[j] + 0.001 * g * g
+            w[j] = w[j] - 0.01 * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)
+    z = np.tanh(x @ w[0] + w[4]) @ w[1] + w[5]
+    assert np.allclose([got[i] for i in range(5000)], z, atol=1e-9)
+
+
 def test_ascii_grid(spark, sample, tmp_path):
     lines = ["NCOLS 4", "nrows 3", "xllcenter 10", "nodata -1", "1 2 x 4", "", "5 -1 7"]
     (tmp_path / "a.asc").write_text("\n".join(lines))
