@@ -43,15 +43,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one with the least id stays.
+    """Of rows linked by a Jaccard similarity of 0.8 over five-word shingles, the one with the least id stays.
 
-    Rows that repeat an id are one document; rows without an id stay.
+    A row is known by its id and text, so texts that share an id, or have none, are judged apart; of rows without
+    an id one stays only where its component has no id at all. Rows without words are linked with nothing: all stay.
     """
-    found = common.written(jaccard_components(docs, k=5, num=80, den=100), "near")
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = keyed_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
-    repeated = found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if repeated else kept
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("_key")
+    found = common.written(jaccard_components(docs.select("doc_id", "text", key), k=5, num=80, den=100, id_col="_key").where("n_shingles > 0"), "near")
+    members = found.select(F.col("id").alias("_key"), F.col("component_id").alias("_component")).distinct()
+    names = docs.select(key, "doc_id").distinct().join(members, "_key")
+    first = names.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")).select("first._key")
+    gone = common.written(members.select("_key").join(first, "_key", "left_anti"), "gone")
+    kept = keyed_join(docs.select(*COLUMNS, key), gone, "_key", "left_anti")
+    # exact copies under one id have one key: one of them stays
+    repeated = common.written(found.groupBy(F.col("id").alias("_key")).count().where("count > 1").select("_key"), "repeated")
+    if repeated.limit(1).count():
+        same = keyed_join(kept, repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = keyed_join(kept, repeated, "_key", "left_anti").unionByName(same)
+    return kept.select(*COLUMNS)
 
 
 @_stage

@@ -71,6 +71,17 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
         assert (at.count() > 0) == (start is odd)
 
 
+def test_near_duplicates_by_row(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c + "more"), (None, c), (7, b + "more"), (8, ""), (None, None), (None, None), (9, "x y"), (9, "x y"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, BASE).collect()]
+    text = [(i, t) for i, t in got if t]
+    assert [t for i, t in text if i is None] in ([c], [c + "more"])
+    assert sorted((i, t) for i, t in text if i is not None) == [(3, a), (5, b), (9, "x y")]
+    assert sorted((i is None, i or 0, t is None) for i, t in got if not t) == [(False, 6, True), (False, 8, False), (True, 0, True), (True, 0, True)]
+
+
 def test_entry_without_the_subpackage():
     code = "import sys; sys.modules['rasterlake.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'slope_horn' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
