@@ -30,6 +30,22 @@ DESCRIPTIONS = {
     "fractal_dimension": "Fractal dimension (box-counting method)", "morans_I": "Moran's I spatial autocorrelation statistic",
     "gearys_C": "Geary's C spatial autocorrelation statistic", "spatial_lag": "Spatial lag (weighted average of neighboring values)",
     "lbp": "Local Binary Pattern texture descriptor", "flow_direction": "D8 flow direction (encoded as powers of 2)", "cluster_label": "Cluster label",
+    "local_moran_mean": "Local Moran's I statistic", "getis_ord_G_star": "Getis-Ord G* statistic",
+    "glcm_contrast": "GLCM contrast (local intensity variations)", "glcm_dissimilarity": "GLCM dissimilarity (variation of grey level pairs)",
+    "glcm_homogeneity": "GLCM homogeneity (closeness of element distribution)", "glcm_energy": "GLCM energy (sum of squared elements)",
+    "glcm_correlation": "GLCM correlation (linear dependency of grey levels)", "lbp_hist_mean": "Mean of LBP histogram",
+    "lbp_hist_var": "Variance of LBP histogram", "lbp_hist_skew": "Skewness of LBP histogram",
+    "sift_keypoints": "SIFT keypoint density", "orb_keypoints": "ORB keypoint density",
+    "fft_peak": "Peak frequency in FFT spectrum", "fft_mean": "Mean value of FFT spectrum", "fft_entropy": "Entropy of FFT spectrum",
+    "wavelet_energy": "Wavelet energy", "wavelet_approx_ratio": "Ratio of approximation coefficients energy",
+    "wavelet_detail_ratio": "Ratio of detail coefficients energy", "multiscale_entropy_1": "Entropy at original scale",
+    "multiscale_entropy_slope": "Slope of entropy across scales",
+    "flow_accumulation": "Flow accumulation (number of cells flowing into each cell)", "flow_accumulation_log": "Log-transformed flow accumulation",
+    "edge_detection": "Edge magnitude (using Sobel filter)", "drainage_network": "Drainage network (1 for network, 0 otherwise)",
+    "betweenness_centrality": "Betweenness centrality in drainage network", "upstream_degree": "Number of upstream cells in drainage network",
+    "downstream_degree": "Number of downstream cells in drainage network", "drainage_connectivity": "Connectivity index in drainage network",
+    "pca_1": "First principal component", "pca_2": "Second principal component",
+    "autoencoder_latent_1": "First latent dimension from autoencoder", "autoencoder_latent_2": "Second latent dimension from autoencoder",
 }
 
 

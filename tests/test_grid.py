@@ -272,6 +272,71 @@ def test_autoencoder_is_fitted_on_all_rows(spark):
     assert np.allclose([got[i] for i in range(5000)], z, atol=1e-9)
 
 
+NAMED = {
+    "slope": "Slope angle in degrees",
+    "aspect": "Aspect angle in degrees (0-360, clockwise from north)",
+    "hillshade": "Hillshade value (0-255)",
+    "curvature": "Curvature (positive for convex, negative for concave)",
+    "roughness": "Terrain roughness (standard deviation of elevation)",
+    "TPI": "Topographic Position Index",
+    "TRI": "Terrain Ruggedness Index",
+    "max_slope_angle": "Maximum slope angle in local window",
+    "mean": "Mean elevation in local window",
+    "stddev": "Standard deviation of elevation in local window",
+    "min": "Minimum elevation in local window",
+    "max": "Maximum elevation in local window",
+    "skewness": "Skewness of elevation in local window",
+    "kurtosis": "Kurtosis of elevation in local window",
+    "entropy": "Shannon entropy of elevation in local window",
+    "valid_count": "Number of valid cells in local window",
+    "fractal_dimension": "Fractal dimension (box-counting method)",
+    "morans_I": "Moran's I spatial autocorrelation statistic",
+    "gearys_C": "Geary's C spatial autocorrelation statistic",
+    "local_moran_mean": "Local Moran's I statistic",
+    "getis_ord_G_star": "Getis-Ord G* statistic",
+    "spatial_lag": "Spatial lag (weighted average of neighboring values)",
+    "glcm_contrast": "GLCM contrast (local intensity variations)",
+    "glcm_dissimilarity": "GLCM dissimilarity (variation of grey level pairs)",
+    "glcm_homogeneity": "GLCM homogeneity (closeness of element distribution)",
+    "glcm_energy": "GLCM energy (sum of squared elements)",
+    "glcm_correlation": "GLCM correlation (linear dependency of grey levels)",
+    "lbp": "Local Binary Pattern texture descriptor",
+    "lbp_hist_mean": "Mean of LBP histogram",
+    "lbp_hist_var": "Variance of LBP histogram",
+    "lbp_hist_skew": "Skewness of LBP histogram",
+    "sift_keypoints": "SIFT keypoint density",
+    "orb_keypoints": "ORB keypoint density",
+    "fft_peak": "Peak frequency in FFT spectrum",
+    "fft_mean": "Mean value of FFT spectrum",
+    "fft_entropy": "Entropy of FFT spectrum",
+    "wavelet_energy": "Wavelet energy",
+    "wavelet_approx_ratio": "Ratio of approximation coefficients energy",
+    "wavelet_detail_ratio": "Ratio of detail coefficients energy",
+    "multiscale_entropy_1": "Entropy at original scale",
+    "multiscale_entropy_slope": "Slope of entropy across scales",
+    "flow_direction": "D8 flow direction (encoded as powers of 2)",
+    "flow_accumulation": "Flow accumulation (number of cells flowing into each cell)",
+    "flow_accumulation_log": "Log-transformed flow accumulation",
+    "edge_detection": "Edge magnitude (using Sobel filter)",
+    "drainage_network": "Drainage network (1 for network, 0 otherwise)",
+    "betweenness_centrality": "Betweenness centrality in drainage network",
+    "upstream_degree": "Number of upstream cells in drainage network",
+    "downstream_degree": "Number of downstream cells in drainage network",
+    "drainage_connectivity": "Connectivity index in drainage network",
+    "pca_1": "First principal component",
+    "pca_2": "Second principal component",
+    "cluster_label": "Cluster label",
+    "autoencoder_latent_1": "First latent dimension from autoencoder",
+    "autoencoder_latent_2": "Second latent dimension from autoencoder",
+}
+
+
+def test_descriptions(spark):
+    more = {"pca_7": "Principal component 7", "autoencoder_latent_3": "Autoencoder latent dimension 3", "wavelet_detail_3": "Ratio of detail coefficients energy at level 3", "multiscale_entropy_8": "Entropy at scale 8", "local_glcm_energy": "Local GLCM energy in window", "elevation": "Feature derived from elevation data"}
+    names = spark.createDataFrame([(f,) for f in NAMED | more], "feature string")
+    assert {r.feature: r.d for r in names.select("feature", tables.description(F.col("feature")).alias("d")).collect()} == NAMED | more and len(NAMED) == 55
+
+
 def test_ascii_grid(spark, sample, tmp_path):
     lines = ["NCOLS 4", "nrows 3", "xllcenter 10", "nodata -1", "1 2 x 4", "", "5 -1 7"]
     (tmp_path / "a.asc").write_text("\n".join(lines))
