@@ -195,6 +195,11 @@ plain("multi_resolution", f"WITH {_g()}, {_win(3, name='w3')}, {_win(9, name='w9
 query("transect", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN range(-4, 5) t(i) JOIN g b ON b.r = a.r + CAST(round(i * sin(radians(30))) AS INTEGER) AND b.c = a.c + CAST(round(i * cos(radians(30))) AS INTEGER) WHERE b.z IS NOT NULL AND i % 2 = 0")(
     lambda spark, d: _out(window.transect(emb(spark, d), 9, 30.0).where("i % 2 = 0"), "z", keys=("r", "c", "i"))
 )
+#: All nine positions of each cell: the operator's offsets as literals, since at odd i they lie at halves.
+_T = ", ".join(f"({i}, {round(i * __import__('math').sin(__import__('math').radians(30)))}, {round(i * __import__('math').cos(__import__('math').radians(30)))})" for i in range(-4, 5))
+query("transect_whole", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN (VALUES {_T}) t(i, dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc WHERE b.z IS NOT NULL")(
+    lambda spark, d: _out(window.transect(emb(spark, d), 9, 30.0), "z", keys=("r", "c", "i"))
+)
 
 
 _BG = "m AS (SELECT max(r) AS mr, max(c) AS mc FROM g), f AS (SELECT r, c, z IS NOT NULL AS valid, coalesce(z, 0) AS z FROM g), w AS (SELECT a.r, a.c, a.z AS o, b.z AS v FROM f a CROSS JOIN m CROSS JOIN range(-2, 3) x(dr) CROSS JOIN range(-2, 3) y(dc) JOIN f b ON b.r = greatest(0, least(mr, a.r + dr)) AND b.c = greatest(0, least(mc, a.c + dc))), k AS (SELECT r, c, avg(abs(v - o)) AS tri, max(o) - avg(v) AS tpi, max(v) - min(v) AS span, stddev_pop(v) AS sd, avg(v) AS mean, median(v) AS med FROM w GROUP BY r, c)"

@@ -272,6 +272,13 @@ def test_autoencoder_is_fitted_on_all_rows(spark):
     assert np.allclose([got[i] for i in range(5000)], z, atol=1e-9)
 
 
+def test_transect_has_all_positions(spark):
+    from rasterlake.queries import QUERIES
+
+    got = QUERIES["transect_whole"](spark, "/root/testdata/sf0.001")
+    assert {r.i for r in got.select("i").distinct().collect()} == set(range(-4, 5))
+
+
 NAMED = {
     "slope": "Slope angle in degrees",
     "aspect": "Aspect angle in degrees (0-360, clockwise from north)",
