@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ _scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, a new temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a new temporary one, but in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rasterlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -73,7 +76,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), name)
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     links = written(links, name)
-    before = None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -81,10 +83,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         links = written(small, name)
-        now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
+        # done once every node has one link to a node that has none: its component's least, since links go downwards
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        before = now
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -172,6 +174,16 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return sums
 
 
+def word_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[s:e], from BLAKE2 of its bytes: unlike sums of powers, no text can be made to collide."""
+    off = np.empty(2 * len(s), np.int64)
+    off[::2], off[1::2] = s, e
+    every = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+    words = every.take(pa.array(np.arange(0, len(off) - 1, 2))).dictionary_encode()
+    keys = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()), np.uint64)
+    return keys[words.indices.to_numpy()]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -198,8 +210,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
     if not len(s):
         return np.zeros(0, np.uint64), counts
-    sums = prefix_hash(low)
-    words = mix((sums[e] - sums[s]) * powers(n + 1)[1][s] + (e - s).astype(np.uint64))
+    words = word_keys(low, s, e)
     doc = np.searchsorted(off, s, "right") - 1
     per = np.bincount(doc, minlength=m)
     last = np.cumsum(per)

@@ -13,14 +13,16 @@ from .common import blocks, buffers, connected_components, keyed_join, lean, lis
 
 #: A shingle of up to RARE sets is indexed alone; up to RARE * RARE in pairs; beyond in triples.
 RARE = 64
-#: Members of a bucket that one task compares with one another.
+#: Members of a bucket that are put in order together.
 BUCKET = 4096
+#: Members of a bucket that are compared with one another, or with as many others, at once.
+PART = 1024
 #: Hash bins whose counts bound what two sets may share.
 BINS = 256
 
 
 def _sets(k: int, id_col: str, text_col: str, share: int, full: bool):
-    """Per text: id, set size, set key and, of its shingles, all or one share of the hash range."""
+    """Per text: id, set size, both halves of the set's 128-bit key and, of its shingles, all or one share of the hash range."""
 
     def run(batches):
         for batch in batches:
@@ -29,10 +31,10 @@ def _sets(k: int, id_col: str, text_col: str, share: int, full: bool):
             for i, j in blocks(off):
                 h, n = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 ends = np.cumsum(n)
-                keys = np.array([int.from_bytes(hashlib.blake2b(h[b - c : b].tobytes(), digest_size=8).digest(), "little", signed=True) for b, c in zip(ends, n)], np.int64)
+                keys = np.frombuffer(b"".join(hashlib.blake2b(h[b - c : b].tobytes(), digest_size=16).digest() for b, c in zip(ends, n)), np.int64).reshape(-1, 2)
                 some = np.ones(len(h), bool) if full else h % np.uint64(share) == 0
                 before = np.concatenate([[0], np.cumsum(some)])
-                out = {"id": ids.slice(i, j - i), "n": pa.array(n), "key": pa.array(keys), "tokens": lists(h[some].view(np.int64), before[ends] - before[ends - n], pa.int64())}
+                out = {"id": ids.slice(i, j - i), "n": pa.array(n), "key": pa.array(keys[:, 0].copy()), "key2": pa.array(keys[:, 1].copy()), "tokens": lists(h[some].view(np.int64), before[ends] - before[ends - n], pa.int64())}
                 if full:
                     out["bins"] = pa.array([np.minimum(np.bincount(h[b - c : b] >> np.uint64(56), minlength=BINS), 255).astype(np.uint8).tobytes() for b, c in zip(ends, n)], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
@@ -40,6 +42,14 @@ def _sets(k: int, id_col: str, text_col: str, share: int, full: bool):
     return lean(run)
 
 
+def _told_apart(sets: DataFrame, twins: DataFrame | None) -> DataFrame:
+    """sets with one key: of the first half's twins, which name more than one set, it is made anew from both halves."""
+    if twins is None:
+        return sets.drop("key2")
+    marked = sets.join(twins.withColumn("twin", F.lit(True)), "key", "left")
+    return marked.withColumn("key", F.when(F.col("twin"), F.xxhash64("key", "key2")).otherwise(F.col("key"))).select(*[c for c in sets.columns if c != "key2"])
+
+
 def _signatures(num: int, den: int):
     """The prefix signatures of each set, from its shingles with their set counts.
 
@@ -47,8 +57,14 @@ def _signatures(num: int, den: int):
     from a partner. A prefix covers a partner for certain once it holds more than d shingles counted as
     follows: a rare one counts 1; of a sub-class whose members are indexed as k-combinations, all but the
     first k - 1 count. Sub-classes are cut by hash, in number proportional to the set's size band, so that
-    combinations stay linear in the size; a set near a band's lower end is indexed in the band below too.
+    combinations stay linear in the size; a set is indexed in every band that a partner of its may lie in. In bands of
+    sets so small that the uncounted shingles could use up what two partners share, each shingle is indexed alone. A set
+    too small for any partner but its equal is left out.
     """
+
+    def singly(b):
+        return -(-(1 << (b - 1)) * num // den) <= 3 * max(1, (1 << b) // 64)
+
     def run(batches):
         for batch in batches:
             key, n = batch["key"].to_numpy(), batch["n"].to_numpy()
@@ -59,18 +75,17 @@ def _signatures(num: int, den: int):
                 f, t = df[lo[r] : lo[r + 1]], tok[lo[r] : lo[r + 1]]
                 single = int(n[r]) - len(t)
                 d = int(n[r]) + (-int(n[r]) * num // den)
-                if single > d:
+                if single > d or int(n[r]) * den < num * (int(n[r]) + 1):
                     continue
                 order = np.lexsort((t, f))
                 f, t = f[order], t[order]
-                band = int(n[r]).bit_length()
-                for b in [band, band - 1] if (1 << (band - 1)) * den > int(n[r]) * num else [band]:
+                for b in range((-(-int(n[r]) * num // den)).bit_length(), int(n[r]).bit_length() + 1):
                     cuts = max(1, (1 << b) // 64)
                     cover, held, found = single, {}, []
                     for x, c in zip(t, f):
                         if cover > d:
                             break
-                        k = 1 if c <= RARE else 2 if c <= RARE * RARE else 3
+                        k = 1 if c <= RARE or singly(b) else 2 if c <= RARE * RARE else 3
                         if k == 1:
                             found.append(x)
                             cover += 1
@@ -116,35 +131,30 @@ def _bucket_pairs(num: int, den: int):
             if len(at):
                 yield a["key"][i], b["key"][at]
 
-    def flush(held, seen):
+    def flush(held):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         one, two = (c, c) if c["lo"][0] == c["hi"][0] else ({k: v[c["side"] == s] for k, v in c.items()} for s in (0, 1))
-        new = []
-        for x, ys in pairs(one, two, one is two):
-            new += [p for y in ys.tolist() if (p := (min(int(x), y), max(int(x), y))) not in seen]
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.update(new)
+        new = [(min(int(x), y), max(int(x), y)) for x, ys in pairs(one, two, one is two) for y in ys.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        held, at, seen = [], None, set()
+        held, at = [], None
         for batch in batches:
             if not len(batch):
                 continue
-            c = {k: batch[k].to_numpy() for k in ("sig", "lo", "hi", "side", "key", "n", "single", "comp")}
+            c = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("joint", "bucket", "lo", "hi", "side", "key", "n", "single", "comp")}
             c["bins"] = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(len(batch), BINS)
-            change = np.flatnonzero((np.diff(c["sig"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
+            own = [c[k] for k in ("joint", "bucket", "lo", "hi")]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in own], axis=0)) + 1
             for i, j in zip([0, *change], [*change, len(batch)]):
-                part = {k: v[i:j] for k, v in c.items()}
-                now = (part["sig"][0], part["lo"][0], part["hi"][0])
+                now = tuple(x[i] for x in own)
                 if held and now != at:
-                    yield flush(held, seen)
+                    yield flush(held)
                     held = []
-                held.append(part)
+                held.append({k: v[i:j] for k, v in c.items()})
                 at = now
         if held:
-            yield flush(held, seen)
+            yield flush(held)
 
     return lean(run)
 
@@ -167,23 +177,34 @@ def _verify(num: int, den: int):
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", share: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) for every row: components of the links Jaccard >= num / den.
 
-    1. Equal sets form a class, known by a 64-bit fingerprint of the set; only classes go on.
+    1. Equal sets form a class, known by a 128-bit fingerprint of the set; only classes go on. Their key is its
+       first half, but where two sets share that, a hash of both halves.
     2. A class is out if more than d of its shingles occur in no other class, d being the most that a
        partner may lack. First this is tried on a fixed share of the hash range for all classes, then on
        all shingles of the classes left, whose counts also give the order of the prefixes.
     3. The classes left are indexed by their prefix signatures (see _signatures).
-    4. Neighbours by size in each bucket are verified and joined first. What remains are pairs of
-       different components that share a bucket; every one that sizes allow is verified. Links inside a
-       component found before add nothing to the result, so none is lost that does.
+    4. Neighbours by size in each bucket are verified and joined first; a large bucket is dealt into parts for that,
+       whose first members are neighbours in turn. What remains are pairs of different components that share a
+       bucket; every one that sizes allow is verified. Links inside a component found before add nothing to the
+       result, so none is lost that does. Buckets with the same least member that hold much the same sets are
+       compared as one, where that takes fewer comparisons; any bucket of more than PART is cut into parts
+       that meet in pairs, each in a group of its own.
+
+    num / den must be over 0.1. Texts are read whole, however long. An empty table gives an empty result.
 
     Null text and text without words: n_shingles 0, linked with nothing. A null id keeps its row, may
     link others, and gets the smallest id of its component (null if there is none). Rows repeated, or
     sharing an id, each keep a row. Ties cannot arise. Columns of docs other than the two are not read.
     """
+    if not 0.1 < num / den <= 1:
+        raise ValueError("num / den must be over 0.1 and at most 1")
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    form = "id long, n long, key long, tokens array<long>"
+    form = "id long, n long, key long, key2 long, tokens array<long>"
     sets = written(src.mapInArrow(_sets(k, "id", "text", share, False), form), "sets")
+    twins = written(sets.groupBy("key").agg(F.min("key2").alias("x"), F.max("key2").alias("y")).where("x <> y").select("key"), "twins")
+    twins = None if twins.isEmpty() else twins
+    sets = _told_apart(sets, twins)
     classes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("members"))
     most = F.expr(f"n - (n * {num} + {den - 1}) div {den}")
 
@@ -195,7 +216,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # One text of each class left; its id and key pick it out, so a class of null ids is found as well.
     first = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(alive, "key")
     texts = keyed_join(src.where("id is not null"), first.select("id").where("id is not null").distinct(), "id", "left_semi", n_alive)
-    again = texts.unionByName(src.where("id is null")).mapInArrow(_sets(k, "id", "text", 1, True), f"{form}, bins binary")
+    again = _told_apart(texts.unionByName(src.where("id is null")).mapInArrow(_sets(k, "id", "text", 1, True), f"{form}, bins binary"), twins)
     full = written(keyed_join(again, alive.select("key"), "key", "left_semi", n_alive).dropDuplicates(["key"]).select("key", "n", "tokens", "bins"), "full")
 
     tokens = full.select("key", F.explode("tokens").alias("token"))
@@ -210,22 +231,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         named = pairs.join(full.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
         return written(named.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "src long, dst long"), "links")
 
-    by_size = Window.partitionBy("sig").orderBy("n", "key")
-    near = index.withColumns({c: F.lag(f).over(by_size) for c, f in (("a", "key"), ("na", "n"), ("sa", "single"))}).where("a is not null")
-    both = F.expr("least(na - sa, n - single)")
-    near = near.where(den * both >= num * (F.col("na") + F.col("n") - both)).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    fits = F.expr(f"{den} * least(na - sa, n - single) >= {num} * (na + n - least(na - sa, n - single))")
+
+    def neighbours(rows: DataFrame, *parts: str) -> DataFrame:
+        by_size = Window.partitionBy(*parts).orderBy("n", "key")
+        beside = rows.withColumns({c: F.lag(f).over(by_size) for c, f in (("a", "key"), ("na", "n"), ("sa", "single"))}).where("a is not null")
+        return beside.where(fits).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+
+    dealt = index.withColumn("part", F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BUCKET))).otherwise(0))
+    heads = dealt.where(F.col("size") > BUCKET).groupBy("sig", "part").agg(F.min(F.struct("n", "key", "single")).alias("m")).select("sig", "m.*")
+    near = neighbours(dealt, "sig", "part").union(neighbours(heads, "sig")).distinct()
     links = verified(near)
     comp = written(connected_components(links), "comp")
 
-    at = index.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    # Buckets with the same least member hold much the same sets: one task has them all and writes a pair once.
-    # Large ones are cut by a hash of the member into a power of two, so that a pair meets at the same place in each.
+    at = index.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("head")).where("x <> y").select("sig", "head")
-    cuts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / BUCKET, F.lit(1.0))))).cast("int")
+    at = written(at.join(mixed, "sig"), "mixed")
+    # Buckets with the same least member: what they cost one by one, and as one.
+    singly = at.select("head", "sig", "size").distinct().groupBy("head").agg(F.count("*").alias("buckets"), F.sum(F.col("size") * F.col("size")).alias("cost"))
+    jointly = at.select("head", "key").distinct().groupBy("head").agg(F.count("*").alias("members"))
+    jointly = singly.join(jointly, "head").where("buckets > 1 and members * members <= cost").select("head", "members")
+    rows = at.join(jointly, "head", "left").select(F.col("members").isNotNull().alias("joint"), F.when(F.col("members").isNotNull(), F.col("head")).otherwise(F.col("sig")).alias("bucket"), F.coalesce("members", "size").alias("size"), "key", "n", "single", "comp").distinct()
+    cuts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / PART, F.lit(1.0))))).cast("int")
     own = F.pmod(F.xxhash64("key"), cuts).cast("int")
-    rows = at.join(mixed, "sig").join(full.select("key", "bins"), "key").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    rows = rows.select("sig", "head", cuts.alias("cuts"), F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp", "bins")
-    rows = rows.repartition("head", "cuts", "lo", "hi").sortWithinPartitions("head", "cuts", "lo", "hi", "sig").drop("head", "cuts")
+    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1))).join(full.select("key", "bins"), "key")
+    rows = rows.select("joint", "bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp", "bins")
+    rows = rows.repartition("joint", "bucket", "lo", "hi").sortWithinPartitions("joint", "bucket", "lo", "hi")
     rest = verified(rows.mapInArrow(_bucket_pairs(num, den), "a long, b long").distinct())
     comp = connected_components(links.union(rest))
 

@@ -118,6 +118,67 @@ def test_jaccard_join(spark, docs, odd, k, num):
         assert got == sorted(brute_components(data, k, num, 100), key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+def thue_morse(bits):
+    s = "a"
+    for _ in range(bits):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_jaccard_join_chosen_words(spark):
+    """Words on which sums of powers modulo 2**64 collide whatever the base, alone and among others."""
+    flip = str.maketrans("ab", "ba")
+    texts = []
+    for bits in (10, 11):
+        w = thue_morse(bits)
+        texts += [w, w.translate(flip), f"{w} {w.translate(flip)}", f"x y {w} z", f"x y {w.translate(flip)} z"]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for k in (1, 3):
+        got = rows(ngram_join.jaccard_components(df, k, 90, 100), "id", "n_shingles", "component_id")
+        assert got == sorted(brute_components(data, k, 90, 100))
+
+
+@pytest.mark.parametrize("num", [30, 50, 67])
+def test_jaccard_join_low_thresholds(spark, monkeypatch, num):
+    """Small sets of frequent shingles, and partners several size bands apart; buckets in parts."""
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    monkeypatch.setattr(ngram_join, "BUCKET", 16)
+    rnd = random.Random(num)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rnd.sample(words[:4], rnd.randint(1, 3))) for _ in range(150)]
+    for _ in range(6):
+        base = rnd.sample(words, 100)
+        texts += [" ".join(base[:n]) for n in (31, 34, 60, 90, 100)]
+    data = list(enumerate(texts))
+    got = rows(ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), 1, num, 100), "id", "n_shingles", "component_id")
+    assert got == sorted(brute_components(data, 1, num, 100))
+
+
+def test_jaccard_join_near_copies(spark, monkeypatch):
+    """A group of near copies around the threshold, compared in parts and with its buckets taken as one."""
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    monkeypatch.setattr(ngram_join, "BUCKET", 16)
+    rnd = random.Random(9)
+    base = [f"v{i}" for i in range(120)]
+    data = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            own[rnd.randrange(len(own))] = f"e{rnd.randrange(10**6)}"
+        data.append((i, " ".join(own)))
+    got = rows(ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), 3, 90, 100), "id", "n_shingles", "component_id")
+    assert got == sorted(brute_components(data, 3, 90, 100))
+    assert len({r[2] for r in got}) > 3
+
+
+def test_jaccard_join_equal_half_keys(spark, monkeypatch):
+    """Sets that share the first half of their key are kept apart by the second."""
+    sets = spark.createDataFrame([(1, 3, 7, 1, [1]), (2, 3, 7, 2, [2]), (3, 3, 8, 1, [3]), (4, 3, 7, 1, [1])], "id long, n long, key long, key2 long, tokens array<long>")
+    got = {r.id: r.key for r in ngram_join._told_apart(sets, spark.createDataFrame([(7,)], "key long")).collect()}
+    assert got[1] == got[4] != got[2] and got[3] == 8 and got[1] != 7
+
+
 def test_jaccard_join_frequent_classes(spark, monkeypatch):
     """Pairs and triples of frequent shingles find what single rare ones find, and cut buckets lose nothing."""
     rnd = random.Random(9)
