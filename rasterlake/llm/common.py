@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of at most a few dozen bytes that a broadcast may hold; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -45,6 +45,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What Spark's plan says that df reads, for files their size; 0 where it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once into the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
@@ -66,6 +72,29 @@ def keyed_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
     return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
+#: Groups that hold more than one in HEAVY of all rows: at most HEAVY of them, so their side is always broadcast.
+HEAVY = 5000
+
+
+def grouped_join(rows: DataFrame, groups: DataFrame, on: Column, count_col: str) -> DataFrame:
+    """Inner equi-join of rows with the groups they belong to, one row of groups each, of which count_col rows are.
+
+    The groups that hold most rows, HEAVY at most, are broadcast; rows of the others meet theirs by a shuffle, in
+    which no key has more than one in HEAVY of them. groups must be a written table.
+    """
+    n, total = groups.agg(F.count("*"), F.sum(count_col)).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), on, "inner")
+    heavy = F.col(count_col) > total / HEAVY
+    few, many = F.broadcast(groups.where(heavy)), groups.where(~heavy)
+    return rows.join(few, on, "inner").unionByName(rows.join(few, on, "left_anti").join(many.hint("merge"), on, "inner"))
+
+
+def carried(carry: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
+    """The names that carried columns come out under: their own, with carried_ before one that the result has itself."""
+    return {c: f"carried_{c}" if c.lower() in own else c for c in carry}
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of edges (src, dst); component is the smallest node reachable.
 

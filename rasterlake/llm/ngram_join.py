@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     singly = at.select("head", "sig", "size").distinct().groupBy("head").agg(F.count("*").alias("buckets"), F.sum(F.col("size") * F.col("size")).alias("cost"))
     jointly = at.select("head", "key").distinct().groupBy("head").agg(F.count("*").alias("members"))
     jointly = singly.join(jointly, "head").where("buckets > 1 and members * members <= cost").select("head", "members")
-    rows = at.join(jointly, "head", "left").select(F.col("members").isNotNull().alias("joint"), F.when(F.col("members").isNotNull(), F.col("head")).otherwise(F.col("sig")).alias("bucket"), F.coalesce("members", "size").alias("size"), "key", "n", "single", "comp").distinct()
+    rows = keyed_join(at, written(jointly, "jointly"), "head", "left").select(F.col("members").isNotNull().alias("joint"), F.when(F.col("members").isNotNull(), F.col("head")).otherwise(F.col("sig")).alias("bucket"), F.coalesce("members", "size").alias("size"), "key", "n", "single", "comp").distinct()
     cuts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / PART, F.lit(1.0))))).cast("int")
     own = F.pmod(F.xxhash64("key"), cuts).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), cuts - 1))).join(full.select("key", "bins"), "key")

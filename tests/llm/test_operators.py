@@ -496,3 +496,120 @@ def test_neighbours(spark, monkeypatch):
     assert hits / 200 >= 0.9 and by[100][0].vec_id == 50 and by[100][0].score == 0
     few = ann.nearest_neighbours(spark.createDataFrame(data[:4], "vec_id long, embedding array<float>"), 10, 2).collect()
     assert sorted((r.query_id, r["rank"]) for r in few) == [(0, 1), (0, 2), (0, 3), (2, 1), (2, 2), (2, 3)]
+
+
+# ---------------------------------------------------------------- links between pages, hierarchies, names
+
+
+def test_alias_targets():
+    """References of every kind, attributes in any order, all tags of a page, what isn't markup left out."""
+    at = "http://Ex.org/a/b.html?q=1"
+    cases = {
+        "<link rel=canonical href='2.html'>": ["http://Ex.org/a/2.html"],
+        '<link href="../c/./d?x=1&amp;y=2#f" rel="nofollow Canonical">': ["http://Ex.org/c/d?x=1&y=2#f"],
+        '<link rel="canonical" href="?p=1">': ["http://Ex.org/a/b.html?p=1"],
+        '<meta content="0;url=/z" http-equiv="refresh">': ["http://Ex.org/z"],
+        "<META HTTP-EQUIV=refresh CONTENT=\"5; URL='//p.org/q'\">": ["http://p.org/q"],
+        '<link rel=canonical href=/one><link rel="canonical" href="/two"><link rel=canonical href=/one>': ["http://Ex.org/one", "http://Ex.org/two"],
+        '<base href="http://o.org/x/"><link rel=canonical href=y>': ["http://o.org/x/y"],
+        "<!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script><p title='<link rel=canonical href=/no>'>": [],
+        '<link rel="alternate canonicals" href="/no"><meta http-equiv="refresh" content="30">': [],
+        '<link rel=canonical href="mailto:a@b"><link rel=canonical href="http://[x"><link rel=canonical>': [],
+        '<link data-x="a>b" rel=canonical href=/yes>': ["http://Ex.org/yes"],
+    }
+    for page, expected in cases.items():
+        assert url_filters.alias_targets(at, page) == expected, page
+
+
+def test_aliases_through_pages(spark):
+    """Chains and conflicts over relative links, other spellings of a host and fragments, against a walk in Python."""
+    rules = spark.createDataFrame([("block", "bad.org", "/"), ("allow", "good.org", "/")], "verdict string, host string, path string")
+    pages = [
+        (1, "http://a.org/1.html", "<link rel=canonical href='2.html'>"), (2, "http://A.org/2.html#top", '<meta content="0;url=/3" http-equiv="refresh">'), (3, "http://a.org:80/3", "<link rel=canonical href=//bad.org/x>"),
+        (4, "http://b.org", "<link href='http://bad.org/y' rel=canonical><link href='http://good.org/' rel=canonical>"), (5, "http://b.org/#f", None), (6, "http://c.org/", ""), (7, "http://bad.org/x", ""), (8, None, "<link rel=canonical href=/q>"),
+        (9, "http://d.org/", "<link rel=canonical href='http://c.org/?#'>"), (9, "http://d.org/", "<link rel=canonical href='http://c.org/?#'>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = rows(url_filters.url_verdicts(df, rules, url_filters.page_links(df)), "id", "verdict", "rule")
+    block, allow = "block", "allow"
+    assert got == [(1, block, None), (2, block, None), (3, block, None), (4, allow, None), (5, allow, None), (6, allow, None), (7, block, "bad.org/"), (8, allow, None), (9, allow, None), (9, allow, None)]
+
+
+def brute_posteriors(data, labels):
+    """data: (id, host, path); labels: id -> 0 or 1. The posteriors of each host and path by plain sums."""
+    share = lambda s, n, k, p: (s + k * p) / (n + k)
+
+    def worth(groups):  # (s, n, prior)
+        n = sum(g[1] for g in groups)
+        if not n:
+            return 10000.0
+        spread = sum(g[1] * (g[0] / g[1] - g[2]) ** 2 for g in groups if g[1]) / n
+        chance = sum(g[2] * (1 - g[2]) for g in groups if g[1]) / n
+        base = sum(g[1] * g[2] * (1 - g[2]) for g in groups) / n
+        return min(max(base / max(spread - chance, 1e-9) - 1, 2.0), 10000.0)
+
+    sums = {}
+    for i, host, path in data:
+        s, n = sums.get((host, path), (0, 0))
+        sums[host, path] = (s + labels.get(i, 0), n + (i in labels))
+    total = sum(n for _, n in sums.values())
+    prior = sum(s for s, _ in sums.values()) / total if total else 0.5
+    hosts = {}
+    for (host, _), (s, n) in sums.items():
+        a, b = hosts.get(host, (0, 0))
+        hosts[host] = (a + s, b + n)
+    k = worth([(s, n, prior) for s, n in hosts.values()])
+    of_host = {h: share(s, n, k, prior) for h, (s, n) in hosts.items()}
+    k = worth([(s, n, of_host[h]) for (h, _), (s, n) in sums.items()])
+    return prior, of_host, {(h, p): share(s, n, k, of_host[h]) for (h, p), (s, n) in sums.items()}
+
+
+def test_quality_posteriors_and_flips(spark):
+    """Every posterior by plain sums, and one text that one host's labels let in and another's keep out."""
+    rnd = random.Random(3)
+    data = [(i, f"h{rnd.randrange(5)}", rnd.choice(["p", "q", None])) for i in range(400)] + [(400 + i, "bad", "p") for i in range(60)] + [(460 + i, "good", "p") for i in range(60)] + [(600, None, None), (601, "new", "p"), (None, "good", "p")]
+    labels = {i: int(rnd.random() < 0.6) for i in range(0, 400, 3)} | {400 + i: int(i % 12 == 0) for i in range(40)} | {460 + i: int(i % 12 != 0) for i in range(40)}
+    w = np.zeros(len(quality.NAMES))
+    w[0] = 0.2
+    docs = spark.createDataFrame([(i, "the same words", h, p) for i, h, p in data], "doc_id long, text string, source string, lang string")
+    known = spark.createDataFrame([(i, y) for i, y in labels.items()] + [(5, None), (7, 3), (None, 1)], "doc_id long, quality int")
+    got = quality.classify_quality(docs, w, labels=known).collect()
+    prior, hosts, paths = brute_posteriors(data, labels)
+    assert len(got) == len(data)
+    by_id = {r.id: r for r in got}
+    for i, h, p in data:
+        r = by_id[i]
+        assert r.evidence == pytest.approx(0.2) and r.host_posterior == pytest.approx(hosts[h]) and r.path_posterior == pytest.approx(paths[h, p])
+        odds = 0.2 + np.log(paths[h, p] / (1 - paths[h, p])) - np.log(prior / (1 - prior))
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-odds))) and r.keep == (r.quality >= 0.5)
+    assert not by_id[450].keep and by_id[510].keep and by_id[601].keep
+
+
+def test_heavy_groups_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HEAVY", 3)
+    data = [(i, "hot" if i % 2 else f"k{i % 7}") for i in range(100)] + [(200, "none")]
+    left = spark.createDataFrame(data, "i long, a string")
+    counts = left.where("a <> 'none'").groupBy(F.col("a").alias("b")).count()
+    got = common.grouped_join(left, counts, F.col("a") == F.col("b"), "count")
+    assert rows(got, "i", "count") == rows(left.join(counts, F.col("a") == F.col("b")), "i", "count")
+
+
+def test_carried_names(spark, odd):
+    got = quality.classify_quality(odd.withColumn("quality", F.lit("c")).withColumn("host", F.lit("d")), np.zeros(len(quality.NAMES)), carry=("quality", "host", "id", "source"))
+    assert got.columns == ["id", "carried_quality", "host", "carried_id", "source", "evidence", "host_posterior", "path_posterior", "quality", "keep"]
+    assert {(r.carried_quality, r.host, r.carried_id) for r in got.collect()} == {("c", "d", "x")}
+    got = suffix_dedup.repeated_substrings(odd, 40, carry=("id", "h"))
+    assert got.columns[:3] == ["id", "carried_id", "h"] and {(r.carried_id, r.h) for r in got.collect()} == {("x", "z")}
+
+
+def test_repeats_chosen_texts(spark):
+    """Long texts on which sums of powers modulo 2**64 collide are no repeats of one another."""
+    flip = str.maketrans("ab", "ba")
+    w = thue_morse(11)
+    texts = [f"{w} one", f"{w.translate(flip)} two"]
+    got = {r.id: r.n_removed for r in suffix_dedup.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1500).collect()}
+    expected = {i: len(t.encode()) - len(raw) for (i, t), raw in zip(enumerate(texts), brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 1500).values())}
+    assert got == expected
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40_000)
