@@ -6,14 +6,18 @@ blocks of short segments around sampled anchors, so that no task ever holds more
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import blocks, buffers, keyed_join, lean, mix, powers, prefix_hash, prepare, text_column, written
+from .common import blocks, buffers, carried, keyed_join, lean, mix, powers, prefix_hash, prepare, text_column, written
 
 #: Segments of one anchor that a block may hold together; an anchor with more is split by its context.
 MOST = 4096
+#: Repeats that a task remembers while it looks for anchors; what it does not know is found after the exchange.
+COMMON = 100_000
 #: Bytes of segments in a block, about.
 BLOCK = 1 << 20
 #: Bytes of packed places or spans that may be broadcast; more are joined by a shuffle of the texts.
@@ -64,7 +68,7 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     i = np.arange(len(run)) - np.repeat(np.cumsum(each) - each, each) + lo[run]
     place = key[i] & 0xFFFFFFFF
     first = np.where(i > lo[run], (key[i - 1] & 0xFFFFFFFF) + 1, begin[run])
-    return place, first, np.minimum(place, end[run]), grams, sums, down
+    return place, first, np.minimum(place, end[run]), grams
 
 
 def _rows(length: int, gram: int):
@@ -72,20 +76,23 @@ def _rows(length: int, gram: int):
     the others are repeats already, and go by keys of their own, so that a segment common to many texts is no hot key."""
 
     def run(batches):
+        common: dict[tuple[int, int], tuple[int, int, int]] = {}
         for batch in batches:
             col = text_column(batch, "text")
             ids, th = batch["id"].to_numpy(), batch["th"].to_numpy()
             data, off = buffers(col)
+            raw = data.tobytes()
             parts = []
             for i, j in blocks(off):
                 own = off[i : j + 1] - off[i]
                 found = _anchors(data[off[i] : off[j]], own, length, gram)
                 if found is None:
                     continue
-                at, first, last, grams, sums, down = found
+                at, first, last, grams = found
                 doc = np.searchsorted(own, at, "right") - 1
                 hi = last + length
-                seg = mix((sums[hi] - sums[first]) * down[first] + mix((at - first).astype(np.uint64) << np.uint64(32) | (hi - first).astype(np.uint64)))
+                seg = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip((off[i] + first).tolist(), (off[i] + hi).tolist())), np.uint64)
+                seg = mix(seg + mix((at - first).astype(np.uint64)))
                 parts.append((mix(grams[at]), seg, i + doc, at - own[doc], at - first, hi - at))
             if not parts:
                 continue
@@ -93,6 +100,18 @@ def _rows(length: int, gram: int):
             order = np.lexsort((pos, th[doc], ids[doc], seg, h))
             later = np.zeros(len(h), bool)
             later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (seg[order[1:]] == seg[order[:-1]])
+            # What a batch has twice, the task remembers with its first place: later batches know it as a repeat at once.
+            again = order[:-1][later[order[1:]] & ~later[order[:-1]]]
+            for x in (again if len(common) < COMMON else ()):
+                common.setdefault((int(h[x]), int(seg[x])), (int(ids[doc[x]]), int(th[doc[x]]), int(pos[x])))
+            if common:
+                for x in np.flatnonzero(~later & np.isin(h, np.fromiter((k[0] for k in common), np.uint64, len(common)))).tolist():
+                    key, place = (int(h[x]), int(seg[x])), (int(ids[doc[x]]), int(th[doc[x]]), int(pos[x]))
+                    least = common.get(key)
+                    if least is not None and least < place:
+                        later[x] = True
+                    elif least is not None:
+                        common[key] = place
             h[later] = mix((ids[doc[later]] ^ th[doc[later]]).view(np.uint64) + mix(pos[later].astype(np.uint64)))
             for x in range(0, len(h), 50_000):
                 y = slice(x, x + 50_000)
@@ -277,7 +296,8 @@ def _split(segs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFram
     least half of what it lacks to the left or to the right, so a large group is split by either
     half's bytes without losing one. Where nothing is lacking the window itself is the class.
     """
-    part, marks, slack = segs.select("*", F.col("h").alias("g"), F.col("left").alias("a"), (F.col("left") + gram).alias("b")), None, length - gram
+    own = F.xxhash64("h", F.expr(f"substring(seg, left + 1, {gram})"))  # by the bytes themselves: the anchors' hash may be led astray
+    part, marks, slack = segs.select("*", own.alias("g"), F.col("left").alias("a"), (F.col("left") + gram).alias("b")), None, length - gram
     done: DataFrame | None = None
     while True:
         counts = part.groupBy("g").agg(F.count("*").alias("c"))
@@ -347,23 +367,30 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     kept is binary, since a cut may split a character; as_text gives a string without such remains.
 
     Null and empty texts: 0 bytes, nothing removed. Null ids come after all others. Rows that share an id
-    are ordered by a hash of their texts; rows equal in both are one text and get the same result.
+    are ordered by a hash of their texts; rows equal in both are one text and get the same result. Texts are read
+    whole, however long. An empty table gives an empty result. A carried column whose name the result has itself
+    comes out with carried_ before it; other columns are not read.
     """
+    if not 1 <= min_len <= 32_767:
+        raise ValueError("min_len must be from 1 to 32767")
     prepare(docs.sparkSession)
     length, gram = min_len, anchor_length(min_len)
     own: list[Column] = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text")]
-    extra = [c for c in carry if c not in ("id", "text")]
-    src = docs.select(*own, F.col(id_col).cast("long").isNull().alias("no_id"), *[F.col(c).alias(f"_{c}") for c in extra])
+    extra = carried(carry, ("id", "n_bytes", "n_removed", "spans", "kept"))
+    src = docs.select(*own, F.col(id_col).cast("long").isNull().alias("no_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(extra)])
     several = written(src.groupBy("id").agg(F.count("*").alias("c")).where(f"c > 1 or id = {_NO_ID}").select("id", F.lit(1).alias("more")), "ids")
     n_several = several.count()
     src = (keyed_join(src, several, "id", "left", n_several) if n_several else src.withColumn("more", F.lit(None).cast("int"))).withColumn("th", F.when(F.col("more") == 1, F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("more")
     once = src.select("id", "th", "text").dropDuplicates(["id", "th"]) if n_several else src.select("id", "th", "text")
 
     rows = once.mapInArrow(_rows(length, gram), "h long, seg long, id long, th long, pos int, left smallint, right smallint, known boolean")
-    in_seg = Window.partitionBy("h", "seg").orderBy("id", "th", "pos")
-    in_h = Window.partitionBy("h")
-    found = rows.withColumn("rn", F.row_number().over(in_seg)).withColumns({"x": F.min("seg").over(in_h), "y": F.max("seg").over(in_h)}).where("known or rn > 1 or x <> y")
-    found = written(found.select("h", "id", "th", "pos", "left", "right", (F.col("known") | (F.col("rn") > 1)).alias("later")), "anchors")
+    # All columns are in the order, so that the three branches below need the same and share one exchange.
+    in_seg = Window.partitionBy("h", "seg").orderBy("id", "th", "pos", "left", "right", "known")
+    rows = rows.withColumn("later", F.col("known") | (F.row_number().over(in_seg) > 1))
+    first = rows.where("not later")
+    several_segs = first.groupBy("h").agg(F.min("seg").alias("x"), F.max("seg").alias("y")).where("x <> y").select("h")
+    cols = ("h", "id", "th", "pos", "left", "right", "later")
+    found = written(rows.where("later").select(*cols).unionByName(first.join(several_segs, "h", "left_semi").select(*cols)), "anchors")
     whole = found.where("later").select("id", "th", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).where(f"end - start >= {length}")
 
     places = found.where("not later").groupBy("id", "th").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("at"))
@@ -377,6 +404,7 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     marks = marks.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     marks = written(marks.mapInArrow(_merged, "id long, th long, marks binary"), "marks")
     out = _beside(src, marks, "marks", "left")
-    kinds = ", ".join(f"`_{c}` {dict(docs.dtypes)[c]}" for c in extra)
-    out = out.select("id", "no_id", *[f"_{c}" for c in extra], "text", "marks").mapInArrow(_cut(as_text), f"id long, no_id boolean, {kinds + ', ' if kinds else ''}n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
-    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), *[F.col(f"_{c}").alias(c) for c in extra], "n_bytes", "n_removed", "spans", "kept")
+    of = {c.lower(): t for c, t in docs.dtypes}
+    kinds = ", ".join(f"_c{i} {of[c.lower()]}" for i, c in enumerate(extra))
+    out = out.select("id", "no_id", *[f"_c{i}" for i in range(len(extra))], "text", "marks").mapInArrow(_cut(as_text), f"id long, no_id boolean, {kinds + ', ' if kinds else ''}n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra.values())], "n_bytes", "n_removed", "spans", "kept")
