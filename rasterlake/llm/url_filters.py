@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, keyed_join, prepare, written
+from .common import connected_components, keyed_join, lean, prepare, text_column, written
 
 
 def url_host(url: Column) -> Column:
@@ -36,20 +41,69 @@ def own_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.own")
 
 
+def url_key(url: Column) -> Column:
+    """One spelling of equal URLs: scheme and host in lower case, no default port, no fragment, a path of / at least."""
+    root = F.translate(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    root = F.regexp_replace(F.regexp_replace(root, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(root, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))).otherwise(url)
+
+
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)")
+_TAG = re.compile(r"""(?is)<([a-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""")
+_ATTRIBUTE = re.compile(r"""(?s)([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_REFRESH = re.compile(r"""(?is)\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""")
+
+
+def alias_targets(url: str, page: str) -> list[str]:
+    """Where the canonical links and refresh tags of a page lead, whole URLs in order, without repeats."""
+    base, found = url, []
+    tags = [(m[1].lower(), {a[1].lower(): html.unescape(next((v for v in a.groups()[1:] if v is not None), "")).strip() for a in _ATTRIBUTE.finditer(m[2])}) for m in _TAG.finditer(_HIDDEN.sub(" ", page))]
+    for to in [t["href"] for name, t in tags if name == "base" and "href" in t][:1]:
+        base = _joined(url, to) or url
+    for name, t in tags:
+        to = None
+        if name == "link" and "canonical" in t.get("rel", "").lower().split():
+            to = t.get("href")
+        elif name == "meta" and t.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.match(t.get("content", ""))):
+            to = next(v for v in m.groups() if v is not None).strip()
+        if to and (whole := _joined(base, to)) and whole not in found:
+            found.append(whole)
+    return found
+
+
+def _joined(base: str, to: str) -> str | None:
+    try:
+        whole = urljoin(base, to)
+    except ValueError:  # no URL
+        return None
+    return whole if "://" in whole else None
+
+
+@lean
+def _targets(batches):
+    for batch in batches:
+        src, dst = [], []
+        for url, page in zip(batch["src"].to_pylist(), text_column(batch, "html").to_pylist()):
+            found = alias_targets(url, page)
+            src += [url] * len(found)
+            dst += found
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["src", "dst"])
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) URLs: a page's canonical link and its immediate redirect, the latter from a refresh tag."""
-    html = F.col(html_col)
-    canonical = F.coalesce(
-        F.nullif(F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""", 1), F.lit("")),
-    )
-    refresh = F.nullif(F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1), F.lit(""))
-    low = F.lower(html)
-    found = F.array(F.when(low.contains("canonical"), canonical), F.when(low.contains("refresh"), refresh))
-    links = pages.select(F.col(url_col).alias("src"), F.explode(F.array_compact(found)).alias("to")).where(F.col("src").contains("://"))
-    root = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1)
-    dst = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.regexp_extract("src", r"(?s)^(.*?:)//", 1), "to")).when(F.col("to").startswith("/"), F.concat(root, "to"))
-    return links.select("src", dst.alias("dst")).where("dst is not null and src <> dst")
+    """(src, dst) URLs that are one: a page's canonical links, the redirects of its refresh tags, and its own url_key.
+
+    Every such tag counts, its attributes in any order, with entities decoded, outside comments, scripts and styles.
+    References are resolved against the page's URL or its base tag; dst is a url_key. Targets that aren't URLs with
+    :// are left out, and so are pages without such a URL. Null and long pages are read like all others; links of a
+    page to itself are none; repeated rows repeat their links; an empty table gives none; other columns are not read.
+    """
+    prepare(pages.sparkSession)
+    rows = pages.select(F.col(url_col).alias("src"), F.col(html_col).alias("html")).where(F.col("src").contains("://"))
+    low = F.lower("html")
+    tags = rows.where(low.contains("canonical") | low.contains("refresh")).mapInArrow(_targets, "src string, dst string")
+    return tags.union(rows.select("src", F.col("src").alias("dst"))).select("src", url_key(F.col("dst")).alias("dst")).where("src <> dst")
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -59,7 +113,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: s
     both directions. If a rule allows any of them, the URL is allowed; else, if one is blocked, it is blocked;
     else it is allowed. component is the smallest URL of the class.
     Null URLs and URLs without :// have an empty host and path, no rule and the verdict allow. Null ids and
-    repeated rows keep their rows; rules with a null part are none; links with a null end are ignored.
+    repeated rows keep their rows; rules with a null part are none; links with a null end are ignored. Of rules that
+    tie in length an allowing one wins. An empty table of pages gives an empty result, empty rules or links
+    decide nothing. Columns of pages other than the two are not read; page texts are not needed here.
     """
     prepare(pages.sparkSession)
     links = written(links.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "url-links")
