@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import blocks, buffers, keyed_join, lean, mix, powers, prefix_hash, prepare, text_column, written
+from .common import blocks, buffers, carried, grouped_join, keyed_join, lean, prepare, text_column, word_keys, written
 
 #: Labelled documents that the classifier is fitted on at most, picked by a hash of the id.
 SAMPLE = 20_000
@@ -41,8 +41,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     of = doc[s]
     words = np.bincount(of, minlength=m)
     some = np.maximum(words, 1)
-    sums = prefix_hash(data)
-    h = mix((sums[e] - sums[s]) * powers(n + 1)[1][s])
+    h = word_keys(data, s, e) if len(s) else np.zeros(0, np.uint64)
     order = np.lexsort((h, of))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
@@ -92,15 +91,21 @@ def _scored(weights: np.ndarray | None):
     return lean(run)
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y), one row an id that is labelled 0 or 1."""
+    return labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y")).where("id is not null")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights fitted on at most sample labelled documents, those of the least hashes of their ids.
 
     Labels other than 0 and 1 are left out; an id labelled more than once counts once, with its least
     label. Without two classes only the intercept is more than a guess: a text is then as good as all.
+    Of rows that share an id one counts; null ids have no label; null texts are texts without words, and
+    long ones are read whole. Empty tables give weights of 0.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y")).where("id is not null")
-    known = known.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(sample)
-    rows = keyed_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, "id", "inner", min(sample, SAMPLE))
+    known = written(_known(labels, id_col, label_col).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(sample), "sample")
+    rows = keyed_join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), known, "id", "inner")
     rows = rows.select("id", "y", "text").mapInArrow(_scored(None), "id long, y int, score array<double>").dropDuplicates(["id"]).orderBy("id").limit(sample).collect()
     return fit(np.array([r.score for r in rows]).reshape(len(rows), len(NAMES)), np.array([r.y for r in rows], float))
 
@@ -110,42 +115,74 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: str, prior: str) -> Column:
-    """Of a beta prior by the method of moments: how many documents the prior of a group is worth, 2 to 10000."""
-    spread = F.sum(F.col("n") * (F.col(mean) - F.col(prior)) ** 2) / F.sum("n")
-    within = F.avg(F.col(prior) * (1 - F.col(prior)) / F.col("n"))
-    base = F.avg(F.col(prior) * (1 - F.col(prior)))
-    return F.least(F.greatest(base / F.greatest(spread - within, F.lit(1e-9)) - 1, F.lit(2.0)), F.lit(10000.0))
+def _shrunk(groups: DataFrame, keys: tuple[str, ...], prior: str, name: str) -> DataFrame:
+    """groups with name: their share s / n of good rows, shrunk towards the column prior.
 
+    The prior is worth as many rows as a beta distribution with the spread between the groups' shares that sampling
+    alone does not explain (method of moments), 2 to 10000; one without such spread is worth 10000. n may be 0.
+    """
+    p = F.col(prior)
+    spread = F.sum(F.when(F.col("n") > 0, F.col("n") * (F.col("s") / F.col("n") - p) ** 2)) / F.sum("n")
+    by_chance = F.sum(F.when(F.col("n") > 0, p * (1 - p))) / F.sum("n")
+    base = F.sum(F.col("n") * p * (1 - p)) / F.sum("n")
+    worth = F.least(F.greatest(base / F.greatest(spread - by_chance, F.lit(1e-9)) - 1, F.lit(2.0)), F.lit(10000.0))
+    k = F.coalesce(F.col("k"), F.lit(10000.0))
+    return groups.crossJoin(F.broadcast(groups.agg(worth.alias("k")))).withColumn(name, (F.col("s") + k * p) / (F.col("n") + k)).select(*keys, "s", "n", "rows", prior, name)
 
-def classify_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carried columns, evidence, host_posterior, path_posterior, quality, keep) for every row of docs.
 
-    evidence is the document's own log odds. The mean of the documents' probabilities over a host is shrunk
-    towards the global mean, and that over a path of the host towards the host's: by as many documents as a
-    beta prior fitted to the spread between groups is worth. A path's posterior then stands in for
-    the global mean in the document's odds. Hosts and paths are only ever summed, so none is too large.
+def posteriors(rows: DataFrame) -> DataFrame:
+    """(host, path, rows, prior, host_posterior, path_posterior) for each host and path of rows (host, path, s, n).
+
+    A row counts n, of which s is good. The share over all (0.5 if none counts) is the prior of the hosts, and
+    a host's posterior that of its paths. Rows are only ever summed, so no host or path is too large.
+    """
+    zero = F.lit(0.0)
+    paths = written(rows.groupBy("host", "path").agg(F.coalesce(F.sum("s"), zero).alias("s"), F.coalesce(F.sum("n"), zero).alias("n"), F.count("*").alias("rows")), "path-sums")
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    total = hosts.agg(F.coalesce(F.sum("s") / F.nullif(F.sum("n"), zero), F.lit(0.5)).alias("prior"))
+    hosts = _shrunk(hosts.crossJoin(F.broadcast(total)), ("host", ), "prior", "host_posterior")
+    hosts = written(hosts.select(F.col("host").alias("_host"), "prior", "host_posterior"), "hosts")
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+    found = _shrunk(paths, ("host", "path", "prior"), "host_posterior", "path_posterior")
+    return written(found.select("host", "path", "rows", "prior", "host_posterior", "path_posterior"), "paths")
+
+
+def _logit(p: Column) -> Column:
+    p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.log(p / (1 - p))
+
+
+def classify_quality(
+    docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
+    threshold: float = 0.5, carry: tuple[str, ...] = (), labels: DataFrame | None = None, label_col: str = "quality",
+) -> DataFrame:
+    """(id, carried columns, evidence, host_posterior, path_posterior, quality, keep) for every row of docs.
 
-    Null and empty texts are scored as texts without words. Null hosts and paths are groups of their own.
-    Null ids and repeated rows keep their rows; an empty table gives an empty result.
+    evidence is the document's own log odds, of its text alone. Hosts and paths are judged by what is labelled in
+    them: a beta-binomial posterior of the share of good rows, a host's shrunk towards the share over all and a
+    path's towards its host's (see posteriors). quality is the probability that has the path's posterior in
+    the place of the share over all, which the evidence holds: logit(quality) = evidence +
+    logit(path_posterior) - logit(share over all). Without labels a row counts as good by the probability of its own
+    evidence.
+
+    Null and empty texts are scored as texts without words; long ones are read whole. Null hosts and paths are
+    groups of their own. Null ids and repeated rows keep their rows, and rows that share a labelled id each count;
+    a quality at the threshold is kept. An empty table gives an empty result. A carried column whose name
+    the result has itself comes out with carried_ before it; other columns are not read.
     """
     prepare(docs.sparkSession)
-    extra = [c for c in carry if c != id_col]
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), *[F.col(c).alias(f"_{c}") for c in extra], F.col(text_col).alias("text"))
-    kinds = "".join(f", `_{c}` {dict(docs.dtypes)[c]}" for c in extra)
-    scored = written(src.mapInArrow(_scored(weights), f"id long, host string, path string{kinds}, score double"), "scores")
-    p = 1 / (1 + F.exp(-F.col("score")))
-    paths = written(scored.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count("*").alias("n")), "score-sums")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    total = hosts.agg((F.sum("s") / F.sum("n")).alias("prior"))
-    hosts = hosts.crossJoin(F.broadcast(total)).withColumn("mean", F.col("s") / F.col("n"))
-    hosts = hosts.crossJoin(F.broadcast(hosts.agg(_strength(hosts, "mean", "prior").alias("k"))))
-    hosts = hosts.select("host", "prior", ((F.col("s") + F.col("k") * F.col("prior")) / (F.col("n") + F.col("k"))).alias("host_posterior"))
-    hosts = written(hosts, "hosts").withColumnRenamed("host", "_host")
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).withColumn("mean", F.col("s") / F.col("n"))
-    paths = paths.crossJoin(F.broadcast(paths.agg(_strength(paths, "mean", "host_posterior").alias("k"))))
-    paths = written(paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "prior", "host_posterior", ((F.col("s") + F.col("k") * F.col("host_posterior")) / (F.col("n") + F.col("k"))).alias("path_posterior")), "paths")
+    names = carried(tuple(c for c in carry if c != id_col), ("id", "evidence", "host_posterior", "path_posterior", "quality", "keep"))
+    kinds = dict(docs.dtypes)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("_host"), F.col(path_col).cast("string").alias("_path"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
+    form = "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(names))
+    scored = written(src.mapInArrow(_scored(weights), f"id long, _host string, _path string{form}, score double"), "scores")
+    if labels is None:
+        told = scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("score")))).alias("s"), F.lit(1.0).alias("n"))
+    else:
+        known = written(_known(labels, id_col, label_col), "labels")
+        told = keyed_join(scored.select("id", F.col("_host").alias("host"), F.col("_path").alias("path")), known, "id", "left").select("host", "path", F.col("y").cast("double").alias("s"), F.col("y").isNotNull().cast("double").alias("n"))
+    groups = posteriors(told)
     on = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
-    out = keyed_join(scored, paths, on, "inner")
     quality = 1 / (1 + F.exp(-(F.col("score") + _logit(F.col("path_posterior")) - _logit(F.col("prior")))))
-    return out.select("id", *[F.col(f"_{c}").alias(c) for c in extra], F.col("score").alias("evidence"), "host_posterior", "path_posterior", quality.alias("quality"), (quality >= threshold).alias("keep"))
+    out = grouped_join(scored, groups, on, "rows")
+    return out.select("id", *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names.values())], F.col("score").alias("evidence"), "host_posterior", "path_posterior", quality.alias("quality"), (quality >= threshold).alias("keep"))

@@ -66,7 +66,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify_quality, train
 
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    return classify_quality(docs, train(docs, labels)).withColumnRenamed("id", "doc_id")
+    return classify_quality(docs, train(docs, labels), labels=labels).withColumnRenamed("id", "doc_id")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
