@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import prepare, scratch_path, text_column, written
+from .common import grouped_join, prepare, scratch_path, text_column, written
 
 #: Bytes of payload after which a writer begins another archive.
 ARCHIVE_BYTES = 48 << 20
@@ -261,8 +261,8 @@ def convert_arc(manifest: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     n = max(1, manifest.count())
     records = written(manifest.select("archive").repartition(n).mapInArrow(index, "archive string, offset long, page_id long, digest string, length long"), "arc-index")
     order = F.struct((-F.coalesce(F.col("page_id"), F.lit(-(1 << 63) + 1))).alias("k"), F.col("archive").alias("a"), F.col("offset").alias("o"), F.col("page_id").alias("p"))
-    firsts = records.where(F.col("length") >= min_revisit_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = records.where(F.col("length") >= min_revisit_bytes).join(firsts, "digest").where("archive <> first.a or offset <> first.o")
+    firsts = written(records.where(F.col("length") >= min_revisit_bytes).groupBy(F.col("digest").alias("same")).agg(F.min(order).alias("first"), F.count("*").alias("c")).where("c > 1"), "first-records")
+    later = grouped_join(records.where(F.col("length") >= min_revisit_bytes), firsts, F.col("digest") == F.col("same"), "c").where("archive <> first.a or offset <> first.o")
     revisit = F.struct("offset", F.col("first.a").alias("archive"), F.col("first.o").alias("at"), F.coalesce(F.col("first.p").cast("string"), F.lit("-")).alias("key"))
     jobs = manifest.select("archive").join(later.groupBy("archive").agg(F.collect_list(revisit).alias("revisits")), "archive", "left")
     return written(jobs.repartition(n, "archive").mapInArrow(convert, "archive string, records long"), "warc-manifest")
