@@ -22,6 +22,8 @@ from .common import lean, prepare, scratch_path, text_column
 WIDTH = 576
 #: Bytes after which a writer begins another archive, and bytes that one read task covers.
 ARCHIVE_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
+#: Partitions of a read at most; beyond, their ranges grow.
+PARTITIONS = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -95,6 +97,7 @@ def _archives(folder: str):
 
         def close():
             out[1].close()
+            size = out[0].tell()
             out[0].close()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([members], pa.int64()), pa.array([size], pa.int64())], names=["archive", "members", "bytes"])
 
@@ -108,7 +111,7 @@ def _archives(folder: str):
                 padded = raw + b"\xff" * (-len(raw) % WIDTH if raw else WIDTH)
                 media = encode_image(padded, len(raw))
                 out[1].writestr(zipfile.ZipInfo(f"{members:08d}_{'null' if key is None else key}.png"), media)
-                members, size = members + 1, size + len(media)
+                members, size = members + 1, stream.tell()
                 if size >= ARCHIVE_BYTES:
                     yield close()
                     out = None
@@ -133,9 +136,9 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 @dataclass
 class ByteRange(InputPartition):
-    archive: str
-    start: int
-    end: int
+    """Pieces (archive, start, end) that one task reads."""
+
+    pieces: tuple[tuple[str, int, int], ...]
 
 
 class ArchiveReader(DataSourceReader):
@@ -143,29 +146,48 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.manifest = options["path"].rstrip("/"), options.get("manifest", "")
         self.range_bytes, self.tries = int(options.get("rangebytes", RANGE_BYTES)), int(options.get("tries", 3))
 
-    def _names(self) -> list[str]:
+    def _sizes(self) -> list[tuple[str, int]]:
+        """Archives and their bytes, in order: as the manifest has them, or as the folder lists them."""
         if self.manifest:
             store, root = _open(self.manifest)
             files = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")]
-            return sorted(ds.dataset(files, filesystem=store, format="parquet").to_table(["archive"])["archive"].to_pylist()) if files else []
+            found = ds.dataset(files, filesystem=store, format="parquet").to_table(["archive", "bytes"]) if files else None
+            return sorted(zip(found["archive"].to_pylist(), found["bytes"].to_pylist())) if files else []
         store, root = _open(self.folder)
-        return sorted(x.base_name for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name.endswith(".zip"))
+        return sorted((x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.base_name.endswith(".zip"))
+
+    def _names(self) -> list[str]:
+        return [name for name, _ in self._sizes()]
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges of the archives; a range has the members that start in it."""
-        store, root = _open(self.folder)
-        found = []
-        for info in store.get_file_info([f"{root}/{name}" for name in self._names()]):
-            for at in range(0, max(info.size, 1), self.range_bytes):
-                found.append(ByteRange(f"{self.folder}/{info.base_name}", at, at + self.range_bytes))
-        return found or [ByteRange("", 0, 0)]
+        """Byte ranges of the archives; a range has the members that start in it.
+
+        Where there would be more than PARTITIONS, ranges are longer and go over the archives laid end to end.
+        """
+        sizes = self._sizes()
+        many = sum(-(-size // self.range_bytes) for _, size in sizes) > PARTITIONS
+        step = max(self.range_bytes, -(-sum(size for _, size in sizes) // PARTITIONS)) if many else self.range_bytes
+        found, pieces, room = [], [], step
+        for name, size in sizes:
+            at = 0
+            while at < max(size, 1):
+                end = min(at + room, max(size, 1))
+                pieces.append((name, at, end))
+                room -= end - at
+                at = end
+                if room <= 0 or not many and at >= size:
+                    found.append(ByteRange(tuple(pieces)))
+                    pieces, room = [], step
+        return [*found, ByteRange(tuple(pieces))] if pieces or not found else found
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not part.archive:
-            return
-        store, path = _open(part.archive)
+        for name, start, end in part.pieces:
+            yield from self._range(f"{self.folder}/{name}", start, end)
+
+    def _range(self, archive: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        store, path = _open(archive)
         file = store.open_input_file(path)
-        members = sorted((m for m in zipfile.ZipFile(file).infolist() if part.start <= m.header_offset < part.end), key=lambda m: m.header_offset)
+        members = sorted((m for m in zipfile.ZipFile(file).infolist() if start <= m.header_offset < end), key=lambda m: m.header_offset)
         rows, size = [], 0
         for m in members:
             for attempt in range(1, self.tries + 1):
@@ -176,7 +198,7 @@ class ArchiveReader(DataSourceReader):
                     if attempt == self.tries:
                         raise
                     file = store.open_input_file(path)  # only this member is read again, from its offset
-            rows.append((part.archive, m.filename, m.header_offset, content, attempt))
+            rows.append((archive, m.filename, m.header_offset, content, attempt))
             size += len(content)
             if size > 4 << 20:
                 yield self._batch(rows)
@@ -208,8 +230,8 @@ class ArchiveReader(DataSourceReader):
 class ArchiveSource(DataSource):
     """format("archive"): members of the zip archives in a folder, by byte ranges of the archives.
 
-    Options: path (a folder URI), manifest (Parquet with a column archive; else every .zip of the folder),
-    rangeBytes, tries (of each member, before the task fails).
+    Options: path (a folder URI), manifest (Parquet with the columns archive and bytes; else every .zip of the folder),
+    rangeBytes of a partition, at least, tries (of each member, before the task fails).
     """
 
     @classmethod
