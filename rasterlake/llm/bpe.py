@@ -17,7 +17,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, lean, lists, prepare, text_column, written
+from .common import blocks, lean, lists, planned_bytes, prepare, text_column, written
 
 # Fixed value: the published pre-token pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,6 +25,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE = 250_000
 #: Bytes of text that share one dictionary of pre-tokens in token_counts.
 CHUNK_BYTES = 32 << 20
+#: Bytes of input for each bucket of pre-tokens; from 20,000 buckets on they grow, which tasks that stream them can bear.
+BUCKET_BYTES, BUCKETS = 32 << 20, 20_000
 
 _loaded: dict[str, "Bpe"] = {}
 
@@ -72,6 +74,8 @@ class Bpe:
         kind = spec["pre_tokenizer"] or {}
         if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or spec["normalizer"] or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: only byte-level BPE without normalizer and prefix space")
+        if any(x.get(flag) for x in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path}: no added tokens that take blanks with them or stand only as words")
         self.path = path
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -322,11 +326,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     of them. The dictionaries are dealt out by a hash of the pre-token, so that each distinct one is
     encoded in one place; what comes back is joined to the chunk and summed by document. A frequent
     pre-token costs one entry a chunk, so none is hot. Special strings count as one token each.
-    Null and empty texts count 0; null ids and repeated rows keep their rows; other columns are not read.
+    Null and empty texts count 0; null ids and repeated rows keep their rows; other columns are not read. Long texts
+    are read whole, each a chunk of its own if need be. Ties cannot arise. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-planned_bytes(docs) // BUCKET_BYTES), BUCKETS))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(src.mapInArrow(_chunks(tokenizer, buckets), _CHUNKS), "pre-tokens")
     words = table.where("bucket >= 0").select("chunk", "bucket", "first", "words").repartition(buckets, "bucket")
