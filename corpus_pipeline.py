@@ -35,9 +35,14 @@ def _stage(f):
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    """Documents that the classifier, fitted on the labelled ones, rejects go.
+
+    Null and empty texts are judged as texts without words, long ones whole; null hosts (source) and paths (lang) are
+    groups of their own. Null ids and repeated rows keep or lose each row by itself; a quality at the threshold
+    stays. Columns beyond those of documents are dropped. An empty table gives an empty result.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = classify_quality(docs, train(docs, labels), carry=COLUMNS[1:])
+    judged = classify_quality(docs, train(docs, labels), carry=COLUMNS[1:], labels=labels)
     return judged.where("keep").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
@@ -47,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row is known by its id and text, so texts that share an id, or have none, are judged apart; of rows without
     an id one stays only where its component has no id at all. Rows without words are linked with nothing: all stay.
+    Long texts are read whole. Columns beyond those of documents are dropped. An empty table gives an empty result.
     """
     key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("_key")
     found = common.written(jaccard_components(docs.select("doc_id", "text", key), k=5, num=80, den=100, id_col="_key").where("n_shingles > 0"), "near")
@@ -65,14 +71,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that occurred before are cut from the texts."""
+    """Strings of 100 bytes that occurred before, in a smaller id or earlier in the text, are cut from the texts.
+
+    What a cut leaves of a character goes too. A null text becomes an empty one; long ones are read whole. Null ids come
+    last; rows that share an id are ordered by a hash of their texts, and rows equal in both are cut alike. No
+    row goes. Columns beyond those of documents are dropped. An empty table gives an empty result.
+    """
     cut = repeated_substrings(docs, min_len=100, carry=("lang", "source"), as_text=True)
     return cut.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 @_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of the sources takes it: not at all, or up to three times."""
+    """Every document as often as the mix of the sources takes it: not at all, or up to three times.
+
+    Texts without words, null ones among them, have size 0 and are never taken. A null source is a source. Rows without
+    an id are known by their text; rows that share an id are all taken as often as the one taken most. Long
+    texts are counted whole. Columns beyond those of documents are dropped. An empty table gives an empty result.
+    """
     known = docs.select(*COLUMNS).withColumn("_id", F.coalesce("doc_id", F.xxhash64("text")))
     copies = mix_sources(known, id_col="_id").groupBy(F.col("id").alias("_id")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     taken = keyed_join(known, common.written(copies, "copies"), "_id", "inner")
@@ -81,7 +97,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, ids, round_trip): the token ids, and whether they decode to the text."""
+    """(doc_id, source, lang, n_tokens, ids, round_trip): the token ids, and whether they decode to the text.
+
+    A null text is an empty one: no ids, and true. Long texts are encoded whole; null ids and repeated rows keep their
+    rows. An empty table gives an empty result.
+    """
     coded = bpe_decode(bpe_encode(docs.select(*COLUMNS), TOKENIZER), TOKENIZER)
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
