@@ -9,30 +9,37 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.functions import exploded
+from rasterlake.functions import neighbourhood
 from rasterlake.grid import KEYS
 from rasterlake.plans import cut
 
 
 def patches(cells: DataFrame, size: int = 7) -> DataFrame:
     """(raster_id, r, c, patch): the size x size values in row order, of cells whose window is whole and inside."""
-    near = exploded(cells, -(size // 2), size // 2).groupBy(*KEYS).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("dr", "dc", "v"))).alias("p"))
-    return near.where(F.col("n") == size * size).select(*KEYS, F.transform("p", lambda x: x["v"]).alias("patch"))
+    near = neighbourhood(cells.select(*KEYS, F.col("z").cast("double").alias("z")), size // 2, out="patch")
+    return near.where(~F.exists("patch", lambda x: x.isNull())).select(*KEYS, "patch")
 
 
-def pca(vectors: DataFrame, k: int = 2, column: str = "patch") -> tuple[DataFrame, list[float]]:
+def pca(vectors: DataFrame, k: int = 2, column: str = "patch", keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, list[float]]:
     """pca_1 to pca_k of the standardised vectors, and the shares of variance; each axis' largest loading is positive."""
     rows = vectors.withColumn("_v", array_to_vector(column))
     n = rows.count()
     if n < 2:
-        return vectors.select(*KEYS, *[F.lit(None).cast("double").alias(f"pca_{i + 1}") for i in range(k)]), []
+        return vectors.select(*keys, *[F.lit(None).cast("double").alias(f"pca_{i + 1}") for i in range(k)]), []
     scaled = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(rows).transform(rows)
     model = PCA(k=k, inputCol="_s", outputCol="_p").fit(scaled)
     axes = model.pc.toArray()
     # population deviations as in the usual scaler, and a sign that does not depend on the solver
     factor = np.sqrt(n / (n - 1)) * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
     out = model.transform(scaled).withColumn("_a", vector_to_array("_p"))
-    return out.select(*KEYS, *[(F.col("_a")[i] * float(factor[i])).alias(f"pca_{i + 1}") for i in range(k)]), [float(x) for x in model.explainedVariance]
+    return out.select(*keys, *[(F.col("_a")[i] * float(factor[i])).alias(f"pca_{i + 1}") for i in range(k)]), [float(x) for x in model.explainedVariance]
+
+
+def feature_pca(df: DataFrame, features: list[str], k: int = 2, keys: tuple[str, ...] = ("id",)) -> tuple[DataFrame, list[float]]:
+    """keys with pca_1 to pca_k over the standardised features of the rows that have them all, and the shares of variance."""
+    rows = df.where(" and ".join(f"`{f}` is not null" for f in features)).select(F.struct(*keys).alias("_key"), F.array(*[F.col(f).cast("double") for f in features]).alias("patch"))
+    found, shares = pca(rows, k, keys=("_key",))
+    return found.select("_key.*", *[f"pca_{i + 1}" for i in range(k)]), shares
 
 
 def clusters(vectors: DataFrame, k: int = 3, column: str = "patch", seed: int = 42) -> DataFrame:

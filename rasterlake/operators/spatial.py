@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rasterlake.functions import neighbourhood
 from rasterlake.grid import KEYS
+from rasterlake.plans import cut
 
 
 def offsets(kind: str = "queen", threshold: float = math.sqrt(2)) -> list[tuple[int, int]]:
@@ -27,59 +29,77 @@ def adjacency(cells: DataFrame, kind: str = "queen", threshold: float = math.sqr
 
 
 def _neighbour_sums(cells: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """z, and the neighbours' number k and sum s; one exchange of sent values, grouped at their target."""
-    sent = _sent(cells, kind, threshold, F.col("z")).groupBy(*KEYS).agg(F.count("*").alias("k"), F.sum("nz").alias("s"), F.sum(F.col("nz") * F.col("nz")).alias("q"))
-    own = cells.where("z is not null")
-    return own.join(sent, list(KEYS), "left").withColumns({"k": F.coalesce("k", F.lit(0)), "s": F.coalesce("s", F.lit(0.0)), "q": F.coalesce("q", F.lit(0.0))})
+    """z, the neighbours' number k, and the sums s and q of their values and squares about the raster's mean m; also sd and n."""
+    steps = offsets(kind, threshold)
+    h = max(1, *(max(abs(i), abs(j)) for i, j in steps)) if steps else 1
+    centred = cells.select(*KEYS, "z").join(_moments(cells), "raster_id").withColumn("d", F.col("z") - F.col("m"))
+    near = [F.col("near")[(i + h) * (2 * h + 1) + j + h] for i, j in steps]
+    k = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in near), F.lit(0))
+    s = sum((F.coalesce(x, F.lit(0.0)) for x in near), F.lit(0.0))
+    q = sum((F.coalesce(x * x, F.lit(0.0)) for x in near), F.lit(0.0))
+    return neighbourhood(centred, h, "d").where("z is not null").select(*KEYS, "z", "d", "m", "sd", "n", k.cast("long").alias("k"), s.alias("s"), q.alias("q"))
 
 
 def _moments(cells: DataFrame) -> DataFrame:
     return cells.where("z is not null").groupBy("raster_id").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("sd"), F.count("*").alias("n"))
 
 
-def moran_global(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
-    """(raster_id, morans_i); 0 without variance or links."""
-    both = _neighbour_sums(cells, kind, threshold).join(_moments(cells), "raster_id")
-    d = F.col("z") - F.col("m")
-    got = both.groupBy("raster_id").agg(F.first("n").alias("n"), F.sum("k").alias("s0"), F.sum(d * (F.col("s") - F.col("k") * F.col("m"))).alias("num"), F.sum(d * d).alias("den"))
+def _moran_i(by: DataFrame) -> DataFrame:
+    got = by.groupBy("raster_id").agg(F.first("n").alias("n"), F.sum("k").alias("s0"), F.sum(F.col("d") * F.col("s")).alias("num"), F.sum(F.col("d") * F.col("d")).alias("den"))
     return got.select("raster_id", F.when((F.col("s0") == 0) | (F.col("den") == 0), 0.0).otherwise(F.col("n") / F.col("s0") * F.col("num") / F.col("den")).alias("morans_i"))
 
 
-def geary_global(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
-    """(raster_id, gearys_c); 0 without variance or links."""
-    both = _neighbour_sums(cells, kind, threshold).join(_moments(cells), "raster_id")
-    z, m = F.col("z") - F.col("m"), F.col("m")
-    s = F.col("s") - F.col("k") * m
-    q = F.col("q") - 2 * m * F.col("s") + F.col("k") * m * m
-    got = both.groupBy("raster_id").agg(F.first("n").alias("n"), F.first("sd").alias("sd"), F.sum("k").alias("s0"), F.sum(F.col("k") * z * z - 2 * z * s + q).alias("num"))
+def _geary_c(by: DataFrame) -> DataFrame:
+    gaps = F.col("k") * F.col("d") * F.col("d") - 2 * F.col("d") * F.col("s") + F.col("q")
+    got = by.groupBy("raster_id").agg(F.first("n").alias("n"), F.first("sd").alias("sd"), F.sum("k").alias("s0"), F.sum(gaps).alias("num"))
     return got.select("raster_id", F.when((F.col("s0") == 0) | (F.col("sd") == 0), 0.0).otherwise((F.col("n") - 1) * F.col("num") / (2 * F.col("s0") * F.col("n") * F.col("sd") * F.col("sd"))).alias("gearys_c"))
 
 
-def moran_local(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
-    both = _neighbour_sums(cells, kind, threshold).join(_moments(cells), "raster_id")
-    v = (F.col("z") - F.col("m")) * (F.col("s") - F.col("k") * F.col("m")) / (F.col("sd") * F.col("sd"))
-    return both.select(*KEYS, F.when(F.col("sd") > 0, v).otherwise(0.0).alias("local_moran"))
+def _local_moran() -> Column:
+    return F.when(F.col("sd") > 0, F.col("d") * F.col("s") / (F.col("sd") * F.col("sd"))).otherwise(0.0)
 
 
-def getis_ord(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2), star: bool = False) -> DataFrame:
-    """G* with the neighbours' mean against the mean times their number, the cell left out; star=True is the usual form."""
-    both = _neighbour_sums(cells, kind, threshold).join(_moments(cells), "raster_id")
+def _getis_ord(star: bool) -> Column:
     n, k, m, sd = (F.col(x) for x in ("n", "k", "m", "sd"))
     if star:
         k = k + 1
-        num = F.col("s") + F.col("z") - m * k
+        num = F.col("s") + F.col("d")
     else:
-        num = F.when(k > 0, F.col("s") / k).otherwise(0.0) - m * k
+        num = F.when(k > 0, F.col("s") / k + m).otherwise(0.0) - m * k
     den = sd * F.sqrt((n * k - k * k) / (n - 1))
-    return both.select(*KEYS, F.when(den > 0, num / den).otherwise(0.0).alias("getis_ord"))
+    return F.when(den > 0, num / den).otherwise(0.0)
+
+
+def _lag() -> Column:
+    return F.when(F.col("k") > 0, F.col("s") / F.col("k") + F.col("m")).otherwise(0.0)
+
+
+def moran_global(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
+    """(raster_id, morans_i); 0 without variance or links."""
+    return _moran_i(_neighbour_sums(cells, kind, threshold))
+
+
+def geary_global(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
+    """(raster_id, gearys_c); 0 without variance or links."""
+    return _geary_c(_neighbour_sums(cells, kind, threshold))
+
+
+def moran_local(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
+    return _neighbour_sums(cells, kind, threshold).select(*KEYS, _local_moran().alias("local_moran"))
+
+
+def getis_ord(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2), star: bool = False) -> DataFrame:
+    """G* with the neighbours' mean against the mean times their number, the cell left out; star=True is the usual form."""
+    return _neighbour_sums(cells, kind, threshold).select(*KEYS, _getis_ord(star).alias("getis_ord"))
 
 
 def spatial_lag(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
     """Mean of the neighbours; 0 without any."""
-    return _neighbour_sums(cells, kind, threshold).select(*KEYS, F.when(F.col("k") > 0, F.col("s") / F.col("k")).otherwise(0.0).alias("spatial_lag"))
+    return _neighbour_sums(cells, kind, threshold).select(*KEYS, _lag().alias("spatial_lag"))
 
 
-def spatial_features(cells: DataFrame, kind: str = "queen") -> DataFrame:
-    """All five columns; the global ones are the same in every cell of a raster."""
-    out = moran_local(cells, kind).join(getis_ord(cells, kind), list(KEYS)).join(spatial_lag(cells, kind), list(KEYS))
-    return out.join(moran_global(cells, kind), "raster_id").join(geary_global(cells, kind), "raster_id")
+def spatial_features(cells: DataFrame, kind: str = "queen", threshold: float = math.sqrt(2)) -> DataFrame:
+    """All five columns from one pass over the neighbours; the global ones are the same in every cell of a raster."""
+    by = cut(_neighbour_sums(cells, kind, threshold))
+    out = by.select(*KEYS, _local_moran().alias("local_moran"), _getis_ord(False).alias("getis_ord"), _lag().alias("spatial_lag"))
+    return out.join(_moran_i(by), "raster_id").join(_geary_c(by), "raster_id")

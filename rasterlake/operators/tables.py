@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import exp
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from rasterlake.plans import cut
+
+#: Rows that kendall takes at most.
+KENDALL_ROWS = 100_000
 
 # The categories, in the order in which they are tried, and their features.
 CATEGORIES = {
@@ -80,17 +86,52 @@ def melt(df: DataFrame, features: list[str], keep: tuple[str, ...] = ()) -> Data
     return df.select(*keep, pairs.alias("s")).select(*keep, "s.feature", "s.v")
 
 
+def by_column(df: DataFrame, features: list[str], measures: dict[str, Callable[[Column], Column]], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, feature, measures): one aggregate over the columns, with a row a feature made of its few results."""
+    got = df.groupBy(*by).agg(*[f(F.col(c).cast("double")).alias(f"{i}_{k}") for i, c in enumerate(features) for k, f in measures.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{i}_{k}").alias(k) for k in measures]) for i, c in enumerate(features)]))
+    return got.select(*by, rows.alias("s")).select(*by, "s.*")
+
+
+def value_ranks(values: DataFrame, by: str = "feature", value: str = "v") -> DataFrame:
+    """(by, value, n, before) for each distinct value that is not NULL: how often it occurs, and how many are less.
+
+    Values are counted, then dealt out by ranges of (by, value); a running sum within each range follows on the sums of
+    the ranges before, which are few. No group is ever gathered, so one column may hold all the rows.
+    """
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    dealt = cut(counts.repartitionByRange(parts, by, value).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy(by, "part").agg(F.sum("n").alias("total"))
+    earlier = Window.partitionBy(by).orderBy("part")
+    sums = sums.withColumn("base", F.sum("total").over(earlier) - F.col("total")).select(by, "part", "base")
+    here = Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("own", F.coalesce(F.sum("n").over(here), F.lit(0)))
+    return ranked.join(F.broadcast(sums), [by, "part"]).select(by, value, "n", (F.col("base") + F.col("own")).alias("before"))
+
+
+def exact_quantiles(ranks: DataFrame, shares: tuple[float, ...], by: str = "feature", value: str = "v") -> DataFrame:
+    """(by, q): linear quantiles, in the order of shares, from value_ranks."""
+    sizes = ranks.groupBy(by).agg(F.sum("n").alias("size"))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(shares)]))
+    wanted = sizes.withColumn("a", asked).select(by, "a.i", (F.col("a.q") * (F.col("size") - 1)).alias("at")).withColumns({"lo": F.floor("at"), "hi": F.ceil("at")})
+    inside = lambda k: (F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("n"))
+    met = ranks.join(F.broadcast(wanted), by).where(inside("lo") | inside("hi"))
+    ends = met.groupBy(by, "i", "at", "lo").agg(F.max(F.when(inside("lo"), F.col(value))).alias("x"), F.max(F.when(inside("hi"), F.col(value))).alias("y"))
+    v = F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.col("lo"))
+    return ends.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", v.alias("v")))), lambda s: s["v"]).alias("q"))
+
+
 def profile(df: DataFrame, features: list[str]) -> DataFrame:
     """One row a feature: min, max, mean, median, std (sample), skew and kurtosis (corrected for bias), count, missing, n_unique."""
-    v = F.col("v")
-    got = melt(df, features).groupBy("feature").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"),
-        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.count_distinct(v).alias("n_unique"),
-    )
+    plain = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "g1": F.skewness, "g2": F.kurtosis, "count": F.count, "missing": lambda v: F.count_if(v.isNull())}
+    ranks = cut(value_ranks(melt(df, features)))
+    more = ranks.groupBy("feature").agg(F.count("*").alias("n_unique")).join(exact_quantiles(ranks, (0.5,)), "feature").select("feature", F.col("q")[0].alias("median"), "n_unique")
+    got = by_column(df, features, plain).join(F.broadcast(more), "feature", "left")
     n = F.col("count").cast("double")
     skew = F.when(n >= 3, F.sqrt(n * (n - 1)) / (n - 2) * F.col("g1"))
     kurt = F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return got.select("feature", "min", "max", "mean", "median", "std", skew.alias("skew"), kurt.alias("kurtosis"), "count", "missing", "n_unique")
+    return got.select("feature", "min", "max", "mean", "median", "std", skew.alias("skew"), kurt.alias("kurtosis"), "count", "missing", F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
 
 
 def _corr(a: str, b: str) -> Column:
@@ -101,15 +142,22 @@ def _corr(a: str, b: str) -> Column:
 
 
 def correlations(df: DataFrame, features: list[str], method: str = "pearson") -> DataFrame:
-    """(a, b, corr) for every pair of features; spearman ranks ties by their mean; kendall is tau-b."""
+    """(a, b, corr) for every pair of features; spearman ranks ties by their mean; kendall is tau-b.
+
+    kendall compares every row with every other: tables of more than KENDALL_ROWS are refused.
+    """
     pairs = list(combinations(sorted(features), 2))
     if method == "spearman":
+        rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+        ranks = cut(value_ranks(melt(rows, features)))
         for f in features:
-            w = Window.orderBy(F.col(f))
-            df = df.withColumn(f"_r_{f}", F.when(F.col(f).isNotNull(), F.rank().over(w) + (F.count("*").over(Window.partitionBy(f)) - 1) / 2))
-        got = df.agg(*[_corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+            own = ranks.where(F.col("feature") == f).select(F.col("v").alias(f), (F.col("before") + (F.col("n") + 1) / 2).alias(f"_r_{f}"))
+            rows = rows.join(own, f, "left")
+        got = rows.agg(*[_corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     elif method == "kendall":
         rows = df.select(*[F.col(f).cast("double").alias(f) for f in features]).withColumn("_i", F.monotonically_increasing_id())
+        if (n := rows.count()) > KENDALL_ROWS:
+            raise ValueError(f"kendall compares all pairs of rows: {n} are more than {KENDALL_ROWS}")
         other = rows.select(F.col("_i").alias("_j"), *[F.col(f).alias(f"o_{f}") for f in features])
         both = rows.join(other, F.col("_i") < F.col("_j"))
         sign = {f: F.signum(F.col(f) - F.col(f"o_{f}")) for f in features}
@@ -125,20 +173,62 @@ def strong_correlations(df: DataFrame, features: list[str], least: float = 0.7,
     return got.orderBy(F.abs("corr").desc(), "a", "b")
 
 
+def correlation_matrix(df: DataFrame, features: list[str], method: str = "pearson") -> DataFrame:
+    """(feature, one column a feature): correlations both ways, 1 on the diagonal where a feature varies."""
+    got = correlations(df, features, method)
+    varies = by_column(df, features, {"v": F.var_pop}).select(F.col("feature").alias("a"), F.col("feature").alias("b"), F.when(F.col("v") > 0, 1.0).alias("corr"))
+    every = got.unionByName(got.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(varies)
+    return every.groupBy(F.col("a").alias("feature")).pivot("b", sorted(features)).agg(F.first("corr"))
+
+
+def feature_names(df: DataFrame, excluded: tuple[str, ...] = ("raster_id", "id", "x", "y"), numeric: bool = True) -> list[str]:
+    """The columns that are features: all but the excluded ones, and with numeric only those that hold numbers."""
+    return [f.name for f in df.schema.fields if f.name not in excluded and (not numeric or isinstance(f.dataType, T.NumericType))]
+
+
 def analyze(df: DataFrame, features: list[str]) -> DataFrame:
     """(category, n, features) over the features' categories."""
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.groupBy(category(F.col("feature")).alias("category")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("feature")).alias("features"))
 
 
-def feature_ranges(df: DataFrame, features: list[str], digits: int = 8) -> DataFrame:
-    """(feature, min, max) of what can be read as a number."""
-    text = df.select(*[F.expr(f"try_cast(`{f}` as double)").alias(f) for f in features])
-    return melt(text, features).groupBy("feature").agg(F.round(F.min("v"), digits).alias("min"), F.round(F.max("v"), digits).alias("max"))
+def feature_metadata(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, category, description, dtype, min, max, mean, median, std, count, missing): what is known of each feature."""
+    kinds = dict(df.dtypes)
+    names = df.sparkSession.createDataFrame([(f, kinds[f]) for f in features], "feature string, dtype string")
+    return names.join(profile(df, features), "feature").select("feature", category(F.col("feature")).alias("category"), description(F.col("feature")).alias("description"), "dtype", "min", "max", "mean", "median", "std", "count", "missing")
+
+
+def validate(features: DataFrame, cells: DataFrame, names: list[str]) -> DataFrame:
+    """(raster_id, feature, cells, missing, rows, ok, empty, min, max, mean, std) of columns beside the cells of each raster.
+
+    ok: the feature has one row for each cell of the raster, no more and no less. empty: it has no value at all.
+    """
+    keys = ["raster_id", "r", "c"]
+    grid = cells.groupBy("raster_id").agg(F.count("*").alias("cells"))
+    per = features.select(*keys, *names).join(cells.select(*keys, F.lit(1).alias("_in")), keys, "left")
+    places = per.groupBy(*keys).agg(F.count("*").alias("k"), F.max("_in").alias("inside")).groupBy("raster_id").agg(F.sum("k").alias("rows"), F.count("inside").alias("places"))
+    one = by_column(per, names, {"missing": lambda v: F.count_if(v.isNull()), "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop}, ("raster_id",))
+    both = one.join(grid, "raster_id", "left").join(places, "raster_id", "left")
+    ok = F.coalesce((F.col("rows") == F.col("cells")) & (F.col("places") == F.col("cells")), F.lit(False))
+    return both.select("raster_id", "feature", "cells", "missing", "rows", ok.alias("ok"), (F.col("missing") == F.col("rows")).alias("empty"), "min", "max", "mean", "std")
+
+
+def first_features(df: DataFrame, features: list[str], n: int = 9) -> DataFrame:
+    """(place, feature, min, max, mean) of the first n features, as a panel of grids shows them."""
+    chosen = features[:n]
+    place = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(chosen) for x in (f, i)]), F.col("feature"))
+    return by_column(df, chosen, {"min": F.min, "max": F.max, "mean": F.avg}).select(place.alias("place"), "feature", "min", "max", "mean")
+
+
+def feature_ranges(df: DataFrame, features: list[str], digits: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, feature, min, max) of what can be read as a number."""
+    text = df.select(*by, *[F.expr(f"try_cast(`{f}` as double)").alias(f) for f in features])
+    return by_column(text, features, {"min": lambda v: F.round(F.min(v), digits), "max": lambda v: F.round(F.max(v), digits)}, by)
 
 
 def top_variance(df: DataFrame, features: list[str], k: int = 20) -> DataFrame:
-    got = melt(df, features).groupBy("feature").agg(F.var_pop("v").alias("variance"))
+    got = by_column(df, features, {"variance": F.var_pop})
     return got.orderBy(F.desc("variance"), "feature").limit(k)
 
 
@@ -151,11 +241,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return got.select("bin", (F.col("lo0") + F.col("bin") * F.col("width")).alias("lo"), "n", F.when(F.col("width") > 0, F.col("n") / F.col("total") / F.col("width")).alias("density"))
 
 
-def percentile_stretch(df: DataFrame, column: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """column scaled to 0..1 between two percentiles, as stretched."""
-    q = df.agg(F.percentile(column, F.array(F.lit(lo), F.lit(hi))).alias("q"))
-    v = (F.col(column) - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0])
-    return df.crossJoin(F.broadcast(q)).withColumn("stretched", F.when(F.col(column).isNotNull(), F.when(F.col("q")[1] == F.col("q")[0], 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))))).drop("q")
+def percentile_stretch(df: DataFrame, column: str, lo: float = 0.01, hi: float = 0.99, by: str | None = None) -> DataFrame:
+    """column scaled to 0..1 between two percentiles, over all rows or those of each by, as stretched."""
+    key = F.lit(0) if by is None else F.col(by)
+    q = exact_quantiles(value_ranks(df.select(key.alias("_by"), F.col(column).cast("double").alias("v")), "_by"), (lo, hi), "_by")
+    low, high = F.col("q")[0], F.col("q")[1]
+    v = F.when(low == high, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - low) / (high - low))))
+    return df.join(F.broadcast(q) if by is None else q, key == F.col("_by"), "left").withColumn("stretched", F.when(F.col(column).isNotNull(), v)).drop("q", "_by")
 
 
 def points_to_grid(df: DataFrame, value: str, order: str = "id", x: str = "x", y: str = "y") -> DataFrame:
@@ -194,7 +286,9 @@ def density(df: DataFrame, column: str, by: str = "raster_id") -> DataFrame:
 
 def raster_stats(cells: DataFrame) -> DataFrame:
     """min, max, mean, std (population), median, count, total and valid share of each raster."""
-    return cells.groupBy("raster_id").agg(F.min("z").alias("min"), F.max("z").alias("max"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"), F.median("z").alias("median"), F.count("z").alias("count"), F.count("*").alias("total"), (100.0 * F.count("z") / F.count("*")).alias("valid_percentage"))
+    median = exact_quantiles(value_ranks(cells.select("raster_id", "z"), "raster_id", "z"), (0.5,), "raster_id", "z").select("raster_id", F.col("q")[0].alias("median"))
+    got = cells.groupBy("raster_id").agg(F.min("z").alias("min"), F.max("z").alias("max"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"), F.count("z").alias("count"), F.count("*").alias("total"), (100.0 * F.count("z") / F.count("*")).alias("valid_percentage"))
+    return got.join(median, "raster_id", "left").select("raster_id", "min", "max", "mean", "std", "median", "count", "total", "valid_percentage")
 
 
 def compare(tables: dict[str, DataFrame], columns: dict[str, str], key: str = "id") -> DataFrame:

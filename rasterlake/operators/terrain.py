@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterlake.functions import exploded, moving, stencil
+from rasterlake.functions import moving, neighbourhood, stencil
 from rasterlake.grid import KEYS, with_shape
 
 FLAT = 1e-4
@@ -89,19 +89,21 @@ def curvature_sobel(cells: DataFrame, cell: float = 1.0) -> DataFrame:
 
 
 def roughness(cells: DataFrame, size: int = 3) -> DataFrame:
-    return moving(cells, size).select(*KEYS, F.col("w_std").alias("roughness"))
+    return moving(cells, size, powers=2).select(*KEYS, F.col("w_std").alias("roughness"))
 
 
 def tpi(cells: DataFrame, size: int = 3) -> DataFrame:
     """The cell less the mean of its window, itself included."""
-    return moving(cells, size).select(*KEYS, (F.col("z") - F.col("w_mean")).alias("tpi"))
+    return moving(cells, size, powers=2).select(*KEYS, (F.col("z") - F.col("w_mean")).alias("tpi"))
 
 
 def tri(cells: DataFrame, size: int = 3) -> DataFrame:
     """Mean of the window's differences to the cell that are not zero; NULL if there is none."""
-    near = exploded(cells, -(size // 2), size // 2).join(cells, list(KEYS)).where("z is not null")
-    gap = F.abs(F.col("v") - F.col("z"))
-    return near.groupBy(*KEYS).agg(F.avg(F.when(gap != 0, gap)).alias("tri"))
+    near = neighbourhood(cells.select(*KEYS, "z"), size // 2).where("z is not null")
+    gaps = [F.nullif(F.abs(F.col("near")[i] - F.col("z")), F.lit(0.0)) for i in range((2 * (size // 2) + 1) ** 2)]
+    n = sum((F.when(g.isNotNull(), 1).otherwise(0) for g in gaps), F.lit(0))
+    total = sum((F.coalesce(g, F.lit(0.0)) for g in gaps), F.lit(0.0))
+    return near.select(*KEYS, (total / F.nullif(n, F.lit(0))).alias("tri"))
 
 
 def max_slope(cells: DataFrame, cell: float = 1.0, size: int = 3) -> DataFrame:
@@ -109,4 +111,4 @@ def max_slope(cells: DataFrame, cell: float = 1.0, size: int = 3) -> DataFrame:
     s = slope(cells, cell).withColumnRenamed("slope", "s")
     edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("height") - 1) | (F.col("c") == F.col("width") - 1)
     s = with_shape(s).select(*KEYS, F.when(edge, F.lit(0.0)).otherwise(F.col("s")).alias("s"))
-    return moving(s, size, "s").select(*KEYS, F.col("w_max").alias("max_slope_angle"))
+    return moving(s, size, "s", powers=2).select(*KEYS, F.col("w_max").alias("max_slope_angle"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterlake.functions import exploded, moving_sum, stencil, tiled
+from rasterlake.functions import moving_sum, neighbourhood, stencil, tiled, windowed
 from rasterlake.grid import KEYS, normalize
 
 DISTANCES, ANGLES = (1, 2, 3), (0, 45, 90, 135)
@@ -22,12 +22,14 @@ def quantise(cells: DataFrame, levels: int = 32, missing: int | None = 0) -> Dat
 def glcm(cells: DataFrame, levels: int = 32, distances=DISTANCES, angles=ANGLES) -> DataFrame:
     """(raster_id, d, a, i, j, n): symmetric counts of level pairs at each distance and angle in degrees.
 
-    A level is sent to the cell it is paired with, so both directions come from one equi-join.
+    Each cell sees the levels around it, so pairs are counted where they are, without a join.
     """
-    steps = [F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(round(d * math.sin(math.radians(a)))).alias("y"), F.lit(round(d * math.cos(math.radians(a)))).alias("x")) for d in distances for a in angles]
-    q = quantise(cells, levels).select(*KEYS, "q")
-    sent = q.withColumn("o", F.explode(F.array(*steps))).select("raster_id", (F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c"), F.col("o.d").alias("d"), F.col("o.a").alias("a"), F.col("q").alias("i"))
-    one = sent.join(q, list(KEYS)).groupBy("raster_id", "d", "a", "i", F.col("q").alias("j")).agg(F.count("*").alias("n"))
+    h = max(distances)
+    steps = [(d, a, round(d * math.sin(math.radians(a))), round(d * math.cos(math.radians(a)))) for d in distances for a in angles]
+    near = neighbourhood(quantise(cells, levels).select(*KEYS, "q"), h, "q")
+    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.col("near")[(y + h) * (2 * h + 1) + x + h].alias("j")) for d, a, y, x in steps])
+    one = near.select("raster_id", F.col("q").alias("i"), F.explode(pairs).alias("p")).where("p.j is not null")
+    one = one.groupBy("raster_id", "p.d", "p.a", "i", "p.j").agg(F.count("*").alias("n"))
     back = one.select("raster_id", "d", "a", F.col("j").alias("i"), F.col("i").alias("j"), "n")
     return one.unionByName(back).groupBy("raster_id", "d", "a", "i", "j").agg(F.sum("n").alias("n"))
 
@@ -45,6 +47,38 @@ def glcm_properties(counts: DataFrame, by: tuple[str, ...] = ("raster_id",)) ->
     return one.groupBy(*by).agg(*[F.avg(x).alias(f"glcm_{x}") for x in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")])
 
 
+# What stands in for a property that is 0, and the range that each localised column is kept in.
+TYPICAL = {"contrast": 0.5, "dissimilarity": 0.3, "homogeneity": 0.8, "energy": 0.2, "correlation": 0.6}
+RANGES = {"contrast": (0, 5), "dissimilarity": (0, 5), "homogeneity": (0, 1), "energy": (0, 1), "correlation": (-1, 1)}
+
+
+def localised_glcm(cells: DataFrame, size: int = 15, levels: int = 32) -> DataFrame:
+    """glcm_*: a raster's property plus half of it times the steepness along the rows around the cell; 0 without a value.
+
+    Steepness is weighted over size x size cells (odd): contrast and dissimilarity sum it, the cell itself five times;
+    homogeneity and energy take its mean; correlation a mean with the weights exp(-x*x - y*y), x and y from -1 to 1. The
+    grid goes on beyond its border as its nearest cell. Measures only: nothing random is added.
+    """
+    if size % 2 == 0:
+        raise ValueError("size must be odd")
+    column = Window.partitionBy("raster_id", "c").orderBy("r")
+    up, down = F.lag("_f").over(column), F.lead("_f").over(column)
+    filled = cells.withColumn("_f", F.struct(F.col("z").alias("z")))  # a struct tells a missing value from no cell
+    slope = F.when(up.isNull(), down["z"] - F.col("z")).when(down.isNull(), F.col("z") - up["z"]).otherwise((down["z"] - up["z"]) / 2)
+    steep = filled.select(*KEYS, F.coalesce(F.abs(slope), F.lit(0.0)).alias("g"))
+    x = np.linspace(-1, 1, size) if size > 1 else np.zeros(1)
+    bell = np.exp(-(x[:, None] ** 2 + x**2)).reshape(-1)
+    kernels = {"sharp": np.ones(size * size), "mean": np.full(size * size, 1 / size**2), "bell": bell / bell.sum()}
+    kernels["sharp"][size * size // 2] = 5.0
+    near = windowed(steep, size, lambda v: {k: v @ w for k, w in kernels.items()}, list(kernels), "g", edge="clamp")
+    kind = {"contrast": "sharp", "dissimilarity": "sharp", "homogeneity": "mean", "energy": "mean", "correlation": "bell"}
+    whole = glcm_properties(glcm(cells, levels))
+    out = near.join(F.broadcast(whole), "raster_id").join(cells.select(*KEYS, "z"), list(KEYS))
+    avg = {k: F.when(F.col(f"glcm_{k}") == 0, v).otherwise(F.col(f"glcm_{k}")) for k, v in TYPICAL.items()}
+    value = {k: F.least(F.lit(float(RANGES[k][1])), F.greatest(F.lit(float(RANGES[k][0])), avg[k] + 0.5 * avg[k] * F.col(kind[k]))) for k in TYPICAL}
+    return out.select(*KEYS, *[F.when(F.col("z").isNotNull(), v).otherwise(0.0).alias(f"glcm_{k}") for k, v in value.items()])
+
+
 def local_glcm(cells: DataFrame, size: int = 7, levels: int = 16, tile: int = 32) -> DataFrame:
     """The properties within each window that has 4 values, at distance 1; missing cells are level 0."""
     steps = [(round(math.sin(math.radians(a))), round(math.cos(math.radians(a)))) for a in ANGLES]
@@ -120,14 +154,20 @@ def lbp(cells: DataFrame, radius: int = 3, points: int = 8, tile: int = 64) -> D
 
 def lbp_histogram(cells: DataFrame, size: int = 5, bins: int = 10) -> DataFrame:
     """Mean, variance and skewness over the bins of the window's normalised histogram of radius-1 patterns."""
-    near = exploded(lbp_r1(cells), -(size // 2), size // 2, "lbp")
-    n = F.count("*")
-    share = [F.count(F.when(F.col("v") == b, 1)) / n for b in range(bins)]
-    got = near.groupBy(*KEYS).agg(n.alias("n"), F.array(*share).alias("p")).where(F.col("n") >= size)
-    mean = F.lit(1.0 / bins)
-    var = F.aggregate("p", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / bins
-    third = F.aggregate("p", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean) * (x - mean)) / bins
-    return got.select(*KEYS, mean.alias("lbp_hist_mean"), var.alias("lbp_hist_var"), F.when(var > 0, third / F.pow(var, 1.5)).otherwise(0.0).alias("lbp_hist_skew"))
+    names = ["lbp_hist_mean", "lbp_hist_var", "lbp_hist_skew"]
+
+    def kernel(v):
+        there = ~np.isnan(v)
+        n = there.sum(axis=1)
+        inside = there & (v < bins)
+        row = np.broadcast_to(np.arange(len(v))[:, None], v.shape)[inside]
+        p = np.bincount(row * bins + v[inside].astype(np.int64), minlength=len(v) * bins).reshape(len(v), bins) / np.maximum(n, 1)[:, None] - 1 / bins
+        var, third = (p**2).sum(axis=1) / bins, (p**3).sum(axis=1) / bins
+        out = (np.full(len(v), 1 / bins), var, np.where(var > 0, third / np.where(var > 0, var, 1.0) ** 1.5, 0.0))
+        return {k: np.where(n >= size, x, np.nan) for k, x in zip(names, out)}
+
+    patterns = lbp_r1(cells).select(*KEYS, F.col("lbp").cast("double").alias("lbp"))
+    return windowed(patterns, size, kernel, names, "lbp").where("lbp_hist_mean is not null")
 
 
 def keypoint_density(points: DataFrame, size: int = 21) -> DataFrame:
