@@ -30,6 +30,13 @@ class Settings:
     components: int = 2
     clusters: int = 3
     drainage_threshold: float = 100.0
+    wavelet_levels: int = 3
+    wavelet_mode: str = "energy"
+    #: Columns that take long or are many: windowed co-occurrence and wavelets, coefficient maps, the autoencoder.
+    local_glcm: bool = False
+    local_wavelets: bool = False
+    export_intermediate: bool = False
+    autoencoder: bool = False
 
 
 def _join(parts: list[DataFrame]) -> DataFrame:
@@ -60,12 +67,23 @@ def spatial_group(g: DataFrame, s: Settings) -> DataFrame:
 
 def texture_group(g: DataFrame, s: Settings) -> DataFrame:
     properties = texture.glcm_properties(texture.glcm(g))
-    return _join([g.select(*G.KEYS).join(properties, "raster_id"), texture.lbp(g), texture.lbp_histogram(g, s.window), _named(texture.keypoint_density(texture.corners(g)), corner_keypoints="density")])
+    parts = [g.select(*G.KEYS).join(properties, "raster_id"), texture.lbp(g), texture.lbp_histogram(g, s.window), _named(texture.keypoint_density(texture.corners(g)), corner_keypoints="density")]
+    return _join([*parts, texture.local_glcm(g)] if s.local_glcm else parts)
 
 
 def spectral_group(g: DataFrame, s: Settings) -> DataFrame:
-    energy = spectral.wavelet_global(g).groupBy("raster_id").agg(F.sum("energy").alias("wavelet_energy"), F.sum(F.when(F.col("level") == 0, F.col("share"))).alias("wavelet_approx_ratio"), F.sum(F.when(F.col("level") > 0, F.col("share"))).alias("wavelet_detail_ratio"))
-    return _join([spectral.fft_local(g, s.fft_window), spectral.fft_power(g, s.fft_window), spectral.multiscale_entropy(g, s.entropy_scales, s.entropy_window), spectral.wavelet_local(g, s.entropy_window), g.select(*G.KEYS).join(energy, "raster_id")])
+    basics = spectral.spectral_basic(g).join(spectral.spectral_sobel(g), list(G.KEYS))
+    parts = [
+        spectral.fft_local(g, s.fft_window), spectral.fft_power(g, s.fft_window), spectral.multiscale_entropy(g, s.entropy_scales, s.entropy_window),
+        spectral.scale_entropy(g, (1, *s.entropy_scales), s.entropy_window), spectral.entropy_ratios(g, s.entropy_scales, s.entropy_window),
+        spectral.wavelet_local(g, s.entropy_window), g.select(*G.KEYS).join(spectral.wavelet_metrics(g, s.wavelet_levels, s.wavelet_mode), "raster_id"),
+        basics.select(*G.KEYS, *[F.col(c).alias(f"spectral_basic_{c}") for c in basics.columns if c not in G.KEYS]),
+    ]
+    if s.local_wavelets:
+        parts.append(spectral.local_wavelet(g, s.entropy_window, mode=s.wavelet_mode))
+    if s.export_intermediate:
+        parts += [spectral.wavelet_coefficients(g, s.wavelet_levels), spectral.wavelet_maps(g, s.wavelet_levels)]
+    return _join(parts)
 
 
 def hydrology_group(g: DataFrame, s: Settings) -> DataFrame:
@@ -79,7 +97,8 @@ def hydrology_group(g: DataFrame, s: Settings) -> DataFrame:
 
 def ml_group(g: DataFrame, s: Settings) -> DataFrame:
     patches = ml.patches(g, s.patch)
-    return _join([g.select(*G.KEYS), ml.pca(patches, s.components)[0], ml.clusters(patches, s.clusters)])
+    parts = [g.select(*G.KEYS), ml.pca(patches, s.components)[0], ml.clusters(patches, s.clusters)]
+    return _join([*parts, ml.autoencoder(patches)] if s.autoencoder else parts)
 
 
 #: The groups in the order in which their columns appear; basic is the plain extractor, and not among all.
@@ -90,7 +109,7 @@ GROUPS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
 ALL = tuple(k for k in GROUPS if k != "basic")
 
 
-def extract(cells: DataFrame, groups: tuple[str, ...] = ALL, settings: Settings = Settings(), transform: G.Transform = G.Transform(), nan_policy: str = "null", more: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def extract(cells: DataFrame, groups: tuple[str, ...] = ALL, settings: Settings = Settings(), transform: G.Transform | DataFrame = G.Transform(), nan_policy: str = "null", more: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """id, x, y, elevation and the groups' columns of the valid cells; more holds operators of one's own by name.
 
     Each group is checkpointed once, so that the last join is over finished columns.
@@ -100,6 +119,9 @@ def extract(cells: DataFrame, groups: tuple[str, ...] = ALL, settings: Settings
         raise ValueError(f"no such groups: {sorted(unknown)}")
     cells = cut(cells)
     parts = [cut(GROUPS[k](cells, settings)) for k in GROUPS if k in groups] + [f(cells) for f in (more or {}).values()]
+    # a column that two groups have comes from the first
+    seen = set(G.KEYS)
+    parts = [p.select(*G.KEYS, *[c for c in p.columns if c not in seen and not seen.add(c)]) for p in parts]
     features = [c for p in parts for c in p.columns if c not in G.KEYS]
     return G.feature_table(_join([cells.select(*G.KEYS, "z"), *parts]), features, transform, nan_policy)
 
@@ -110,18 +132,25 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("output")
     p.add_argument("--features", default="all")
     p.add_argument("--window", type=int, default=5)
-    p.add_argument("--cell", type=float, default=1.0)
+    p.add_argument("--cell", type=float, help="cell size that slopes are worked out with; the headers' own, if they agree")
     p.add_argument("--metadata")
     p.add_argument("--gzip", action="store_true")
     a = p.parse_args(argv)
     groups = ALL if a.features == "all" else tuple(x for x in a.features.split(",") if x)
     spark = SparkSession.builder.appName("rasterlake.extract").getOrCreate()
-    cells, _ = sources.read_ascii_grid(spark, a.input)
-    table = extract(cells, groups, Settings(window=a.window, cell=a.cell), G.Transform(dx=a.cell, dy=-a.cell))
+    cells, heads = sources.read_ascii_grid(spark, a.input)
+    cell = a.cell
+    if cell is None:
+        sizes = [r.cellsize for r in heads.select("cellsize").distinct().limit(2).collect()]
+        if len(sizes) > 1:
+            p.error("the rasters have several cell sizes: extract them apart, or give --cell")
+        cell = sizes[0] if sizes else 1.0
+    places = G.transforms(heads)
+    table = extract(cells, groups, Settings(window=a.window, cell=cell), places)
     sources.write_features(table, a.output, a.gzip)
     if a.metadata:
-        names = [c for c in table.columns if c not in ("id", "x", "y", "elevation")]
-        sources.write_json(sources.metadata(cells, table, names, list(groups)), a.metadata)
+        names = [c for c in table.columns if c not in ("raster_id", "id", "x", "y", "elevation")]
+        sources.write_json(sources.metadata(cells, table, names, list(groups), places), a.metadata)
     return 0
 
 

@@ -24,6 +24,14 @@ class Transform:
     def cell_size(self) -> float:
         return abs(self.dx) or 1.0
 
+    @classmethod
+    def from_bounds(cls, left: float, bottom: float, right: float, top: float, width: int, height: int) -> Transform:
+        """The grid of width x height cells that fills the bounds."""
+        return cls(left, top, (right - left) / width, -(top - bottom) / height)
+
+
+TRANSFORM = ("x0", "y0", "dx", "dy", "rot_x", "rot_y")
+
 
 def grid(df: DataFrame, z: str = "z", nodata: float | None = None, raster_id: str | None = None) -> DataFrame:
     """Cells of df as a grid; NaN and nodata become NULL. df must already hold every cell."""
@@ -49,18 +57,38 @@ def with_shape(cells: DataFrame) -> DataFrame:
     return cells.join(shape(cells), "raster_id")
 
 
-def coordinates(cells: DataFrame, t: Transform = Transform()) -> DataFrame:
-    """id (row-major), x and y of every cell."""
-    x = F.lit(t.x0) + t.dx * F.col("c") + t.rot_x * F.col("r")
-    y = F.lit(t.y0) + t.rot_y * F.col("c") + t.dy * F.col("r")
-    return with_shape(cells).select(*KEYS, "z", (F.col("r").cast("long") * F.col("width") + F.col("c")).alias("id"), x.alias("x"), y.alias("y"))
+def coordinates(cells: DataFrame, t: Transform | DataFrame = Transform()) -> DataFrame:
+    """id (row-major), x and y of every cell; t is one transform, or a table of them with a row a raster (see transforms)."""
+    if isinstance(t, Transform):
+        own, at = cells, {f: F.lit(float(getattr(t, f))) for f in TRANSFORM}
+    else:
+        own, at = cells.join(t.select("raster_id", *[F.col(f).alias(f"_{f}") for f in TRANSFORM]), "raster_id"), {f: F.col(f"_{f}") for f in TRANSFORM}
+    x = at["x0"] + at["dx"] * F.col("c") + at["rot_x"] * F.col("r")
+    y = at["y0"] + at["rot_y"] * F.col("c") + at["dy"] * F.col("r")
+    return with_shape(own).select(*KEYS, "z", (F.col("r").cast("long") * F.col("width") + F.col("c")).alias("id"), x.alias("x"), y.alias("y"))
+
 
+def transforms(heads: DataFrame) -> DataFrame:
+    """(raster_id, x0, y0, dx, dy, rot_x, rot_y) from headers that have x0, y0 and cellsize."""
+    cell = F.col("cellsize").cast("double")
+    return heads.select("raster_id", "x0", "y0", cell.alias("dx"), (-cell).alias("dy"), F.lit(0.0).alias("rot_x"), F.lit(0.0).alias("rot_y"))
 
-def feature_table(cells: DataFrame, features: list[str], t: Transform = Transform(), nan_policy: str = "null") -> DataFrame:
-    """id, x, y, elevation and the features of the valid cells; nan_policy zero turns their NULLs into 0."""
-    v = [F.coalesce(F.col(f), F.lit(0.0)).alias(f) if nan_policy == "zero" else F.col(f) for f in features]
+
+def feature_table(cells: DataFrame, features: list[str], t: Transform | DataFrame = Transform(), nan_policy: str = "null", zeroed: tuple[str, ...] | None = None) -> DataFrame:
+    """raster_id, id, x, y, elevation and the features of the valid cells.
+
+    nan_policy zero turns NULLs into 0, in all features or in those of zeroed. An id is the cell's within its raster.
+    """
+    zero = set(features if zeroed is None else zeroed) if nan_policy == "zero" else set()
+    v = [F.coalesce(F.col(f), F.lit(0.0)).alias(f) if f in zero else F.col(f) for f in features]
     located = coordinates(cells.select(*KEYS, "z"), t).drop("z").join(cells, list(KEYS))
-    return located.where("z is not null").select("id", "x", "y", F.col("z").alias("elevation"), *v)
+    return located.where("z is not null").select("raster_id", "id", "x", "y", F.col("z").alias("elevation"), *v)
+
+
+def gather(features: DataFrame, cells: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """features with a column of cells looked up by raster_id and id."""
+    at = with_shape(cells).select("raster_id", (F.col("r").cast("long") * F.col("width") + F.col("c")).alias("id"), F.col(column).alias(out or column))
+    return features.join(at, ["raster_id", "id"], "left")
 
 
 def downsample(cells: DataFrame, k: int) -> DataFrame:

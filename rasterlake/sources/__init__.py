@@ -4,46 +4,98 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType
 
-from rasterlake.grid import Transform
+from rasterlake.grid import TRANSFORM, Transform
 from rasterlake.operators import tables
+from rasterlake.plans import cut
 
 # Names of header lines, with their spellings, and what counts where one is missing.
 HEADER = {"ncols": ("ncols",), "nrows": ("nrows",), "xll": ("xllcorner", "xllcenter"), "yll": ("yllcorner", "yllcenter"), "cellsize": ("cellsize",), "nodata": ("nodata_value", "nodata", "nodatavalue")}
 DEFAULTS = {"xll": 0.0, "yll": 0.0, "cellsize": 1.0, "nodata": -9999.0}
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) of all lines that are not blank, numbered within their file.
+
+    Files are read by byte ranges. Spark numbers the rows of a range one after the other, so a line's place is its distance
+    from the first of its range, plus the lines of the ranges before; of these there is one row each.
+    """
+    text = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\r$", "")).alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).where("value <> ''")
+    text = text.select("path", "block", "value", F.monotonically_increasing_id().alias("at"))
+    blocks = text.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("path").orderBy("block")
+    blocks = blocks.withColumn("base", F.sum("lines").over(before) - F.col("lines")).select("path", "block", "first", "base")
+    return text.join(blocks, ["path", "block"]).select("path", (F.col("base") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, headers) of one or many ASCII grids (a glob): raster_id is the file's name.
+    """(cells, headers) of one or many ASCII grids (a glob).
 
-    Header lines may come in any order and spelling of HEADER; a value that is no number is missing, and so
-    are cells that a short file lacks. Lines are numbered per file by their place, so files are
-    read whole but each on its own.
+    raster_id is what a folder raster_id=... says, else the file's name, or its path where several files have that name.
+    The header is the lines that begin with a name of HEADER and one value, up to the first other line; it may come in
+    any order and spelling. headers has the values as given, and x0 and y0: the upper left corner of the grid, half a
+    cell from where xllcenter and yllcenter point. Without ncols or nrows, the first row and the rows there are count.
+    A value that is no number is missing, and so are cells that a short file lacks; what is too much is left out.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("raster_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    lines = lines.withColumn("value", F.trim("value")).where("value <> ''")
-    is_header = F.lower("value").rlike(r"^[a-z_]+\s+\S+$") & (F.col("line") < 10)
-    named = lines.where(is_header).select("raster_id", F.lower(F.split("value", r"\s+")[0]).alias("k"), F.expr(r"try_cast(split(value, '\\s+')[1] as double)").alias("v"))
-    heads = named.groupBy("raster_id").agg(*[F.coalesce(F.max(F.when(F.col("k").isin(*spellings), F.col("v"))), F.lit(DEFAULTS.get(k))).alias(k) for k, spellings in HEADER.items()])
-    body = lines.where(~is_header)
-    number = F.row_number().over(Window.partitionBy("raster_id").orderBy("line")) - 1
-    rows = body.withColumn("row", number).select("raster_id", F.posexplode(F.split("value", r"\s+")).alias("k", "token"), "row")
-    values = rows.select("raster_id", F.col("row").alias("r"), F.col("k").alias("c"), F.expr("try_cast(token as double)").alias("v"))
-    frame = heads.select("raster_id", "ncols", "nodata", F.explode(F.sequence(F.lit(0), F.col("nrows").cast("int") - 1)).alias("r")).select("raster_id", "nodata", "r", F.explode(F.sequence(F.lit(0), F.col("ncols").cast("int") - 1)).alias("c"))
-    cells = frame.join(values, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.when((F.col("v") != F.col("nodata")) & ~F.isnan("v"), F.col("v")).alias("z"))
+    lines = _numbered_lines(spark, path)
+    parts = F.split("value", r"\s+")
+    known = F.lower(parts[0]).isin(*[x for spellings in HEADER.values() for x in spellings]) & (F.size(parts) == 2)
+    files = lines.groupBy("path").agg(F.min(F.when(~known, F.col("line"))).alias("body"), F.count("*").alias("lines")).withColumn("body", F.coalesce("body", "lines"))
+    last = F.element_at(F.split("path", "/"), -1)
+    told = F.nullif(F.regexp_extract("path", r"/raster_id=([^/]+)/[^/]*$", 1), F.lit(""))
+    told = F.try_url_decode(F.replace(F.replace(told, F.lit("%25"), F.lit("%")), F.lit("+"), F.lit("%2B")))  # as folders of partitions are spelt
+    files = files.withColumn("name", F.coalesce(told, last))
+    one = files.groupBy("name").agg(F.count("*").alias("k"))
+    files = files.join(one, "name").select("path", "body", "lines", F.when(F.col("k") == 1, F.col("name")).otherwise(F.col("path")).alias("raster_id"))
+    files = cut(files)
+    placed = lines.join(files, "path")
+    named = placed.where("line < body").select("raster_id", F.lower(parts[0]).alias("k"), F.expr(r"try_cast(split(value, '\\s+')[1] as double)").alias("v"))
+    values = [F.coalesce(F.max(F.when(F.col("k").isin(*spellings), F.col("v"))), F.lit(DEFAULTS.get(k))).alias(k) for k, spellings in HEADER.items()]
+    centred = [F.coalesce(F.max(F.when(F.col("k") == f"{a}llcenter", 0.5)), F.lit(0.0)).alias(f"_{a}") for a in "xy"]
+    wide = placed.where("line = body").select("raster_id", F.size(parts).cast("double").alias("_cols"))
+    heads = files.select("raster_id", (F.col("lines") - F.col("body")).cast("double").alias("_rows")).join(named.groupBy("raster_id").agg(*values, *centred), "raster_id", "left").join(wide, "raster_id", "left")
+    heads = heads.withColumns({"ncols": F.coalesce("ncols", "_cols"), "nrows": F.coalesce("nrows", "_rows"), **{k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items()}})
+    corner = {"x0": F.col("xll") - F.coalesce("_x", F.lit(0.0)) * F.col("cellsize"), "y0": F.col("yll") - F.coalesce("_y", F.lit(0.0)) * F.col("cellsize") + F.col("nrows") * F.col("cellsize")}
+    heads = cut(heads.withColumns(corner).select("raster_id", *HEADER, "x0", "y0"))
+    columns = F.sequence(F.lit(0), F.col("ncols").cast("int") - 1)
+    size = heads.where("ncols >= 1 and nrows >= 1").select("raster_id", "ncols", "nrows", "nodata")
+    body = placed.where("line >= body").select("raster_id", (F.col("line") - F.col("body")).cast("int").alias("r"), parts.alias("tokens")).join(size, "raster_id").where("r < nrows")
+    cells = body.select("raster_id", "r", "nodata", "tokens", F.explode(columns).alias("c")).select("raster_id", "r", "c", F.expr("try_cast(get(tokens, c) as double)").alias("v"), "nodata")
+    there = files.select("raster_id", (F.col("lines") - F.col("body")).cast("int").alias("there"))
+    short = size.join(there, "raster_id").where("there < nrows").select("raster_id", "nodata", "ncols", F.explode(F.sequence("there", F.col("nrows").cast("int") - 1)).alias("r"))
+    short = short.select("raster_id", "r", F.explode(columns).alias("c"), F.lit(None).cast("double").alias("v"), "nodata")
+    cells = cells.unionByName(short).select("raster_id", "r", "c", F.when((F.col("v") != F.col("nodata")) & ~F.isnan("v"), F.col("v")).alias("z"))
     return cells, heads
 
 
-def write_ascii_grid(cells: DataFrame, path: str, t: Transform = Transform(), nodata: float = -9999.0) -> None:
-    """Each raster as a folder raster_id=... of text: the header, then a line a row."""
-    rows = cells.groupBy("raster_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", F.coalesce("z", F.lit(nodata)).alias("z")))).alias("v"))
-    text = rows.select("raster_id", F.col("r").alias("k"), F.array_join(F.transform("v", lambda x: x["z"].cast("string")), " ").alias("value"))
+#: Rows of a raster that one task writes into a file of its own.
+FILE_ROWS = 4096
+
+
+def write_ascii_grid(cells: DataFrame, path: str, t: Transform | DataFrame = Transform(), nodata: float = -9999.0) -> None:
+    """Each raster as a folder raster_id=... of text: the header, then a line a row.
+
+    A raster of more than FILE_ROWS rows becomes several grids, of FILE_ROWS rows each, in folders raster_id=...@first row.
+    """
     size = cells.groupBy("raster_id").agg((F.max("c") + 1).alias("w"), (F.max("r") + 1).alias("h"))
-    low = F.lit(t.y0) + F.col("h") * F.lit(t.dy)
-    head = F.concat_ws("\n", F.concat(F.lit("ncols "), "w"), F.concat(F.lit("nrows "), "h"), F.lit(f"xllcorner {t.x0}"), F.concat(F.lit("yllcorner "), low.cast("string")), F.lit(f"cellsize {t.cell_size}"), F.lit(f"NODATA_value {nodata}"))
-    out = size.select("raster_id", F.lit(-1).alias("k"), head.alias("value")).unionByName(text)
-    out.repartition("raster_id").sortWithinPartitions("raster_id", "k").select("raster_id", "value").write.partitionBy("raster_id").text(path)
+    if isinstance(t, Transform):
+        place = size.withColumns({"x0": F.lit(t.x0), "y0": F.lit(t.y0), "dy": F.lit(t.dy), "cell": F.lit(t.cell_size)})
+    else:
+        place = size.join(t.select("raster_id", "x0", "y0", "dy", F.abs("dx").alias("cell")), "raster_id")
+    part = place.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / FILE_ROWS).cast("int"))))
+    rows = F.least(F.lit(FILE_ROWS), F.col("h") - F.col("k") * FILE_ROWS)
+    low = F.col("y0") + (F.col("k") * FILE_ROWS + rows) * F.col("dy")
+    line = lambda name, v: F.concat(F.lit(f"{name} "), v.cast("string"))
+    head = F.concat_ws("\n", line("ncols", F.col("w")), line("nrows", rows), line("xllcorner", F.col("x0")), line("yllcorner", low), line("cellsize", F.col("cell")), F.lit(f"NODATA_value {nodata}"))
+    name = F.when(F.col("h") <= FILE_ROWS, F.col("raster_id")).otherwise(F.concat("raster_id", F.lit("@"), F.col("k") * FILE_ROWS))
+    text = cells.groupBy("raster_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", F.coalesce("z", F.lit(nodata)).alias("z")))).alias("v"))
+    text = text.join(size.select("raster_id", "h"), "raster_id").withColumn("k", F.floor(F.col("r") / FILE_ROWS).cast("int"))
+    text = text.select(name.alias("raster_id"), "r", F.array_join(F.transform("v", lambda x: x["z"].cast("string")), " ").alias("value"))
+    out = part.select(name.alias("raster_id"), F.lit(-1).alias("r"), head.alias("value")).unionByName(text)
+    out.repartition("raster_id").sortWithinPartitions("raster_id", "r").select("raster_id", "value").write.partitionBy("raster_id").text(path)
 
 
 def write_features(df: DataFrame, path: str, gzip: bool = False) -> None:
@@ -56,15 +108,40 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source_file", F.input_file_name()).withColumn("file_category", tables.file_category(F.col("source_file")))
 
 
-def metadata(cells: DataFrame, features: DataFrame, names: list[str], groups: list[str]) -> DataFrame:
-    """One row of JSON a raster: its statistics, what was extracted, and the range of every feature."""
+def metadata(cells: DataFrame, features: DataFrame, names: list[str], groups: list[str], t: DataFrame | Transform | None = None) -> DataFrame:
+    """(raster_id, json): one row a raster with its statistics, what was extracted of it and the range of its features.
+
+    With transforms there are also its bounds and cell size. features must have raster_id.
+    """
     stats = tables.raster_stats(cells)
-    ranges = tables.feature_ranges(features, names).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("min", "max")))).alias("feature_stats"))
-    rows = features.agg(F.count("*").alias("exported_rows"))
-    both = stats.crossJoin(F.broadcast(ranges)).crossJoin(F.broadcast(rows))
-    info = F.struct(F.struct(*[c for c in stats.columns if c != "raster_id"]).alias("stats"))
+    ranges = tables.feature_ranges(features, names, by=("raster_id",)).groupBy("raster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.struct("min", "max").alias("range"))))).alias("feature_stats"))
+    rows = features.groupBy("raster_id").agg(F.count("*").alias("exported_rows"))
+    both = stats.join(ranges, "raster_id", "left").join(rows, "raster_id", "left").withColumn("exported_rows", F.coalesce("exported_rows", F.lit(0)))
+    info = [F.struct(*[c for c in stats.columns if c != "raster_id"]).alias("stats")]
+    if t is not None:
+        size = cells.groupBy("raster_id").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
+        t = size.select("raster_id", *[F.lit(float(getattr(t, f))).alias(f) for f in TRANSFORM]) if isinstance(t, Transform) else t
+        both = both.join(size, "raster_id").join(t, "raster_id")
+        x, y = F.col("x0") + F.col("dx") * F.col("width"), F.col("y0") + F.col("dy") * F.col("height")
+        bounds = F.struct(F.least("x0", x).alias("left"), F.least("y0", y).alias("bottom"), F.greatest("x0", x).alias("right"), F.greatest("y0", y).alias("top"))
+        info += [F.col("width"), F.col("height"), bounds.alias("bounds"), F.abs("dx").alias("resolution")]
     done = F.struct(F.array(*map(F.lit, groups)).alias("enabled_features"), F.lit(len(names)).alias("feature_count"), "exported_rows")
-    return both.select("raster_id", F.to_json(F.struct(F.current_timestamp().alias("timestamp"), info.alias("raster_info"), done.alias("extraction_info"), F.array(*map(F.lit, names)).alias("column_names"), "feature_stats")).alias("json"))
+    return both.select("raster_id", F.to_json(F.struct(F.current_timestamp().alias("timestamp"), F.struct(*info).alias("raster_info"), done.alias("extraction_info"), F.array(*map(F.lit, names)).alias("column_names"), "feature_stats")).alias("json"))
+
+
+@F.pandas_udf(StringType())
+def _with_stats(meta: pd.Series, stats: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps({**json.loads(m), "feature_stats": json.loads(s)}) for m, s in zip(meta, stats)])
+
+
+def with_feature_stats(meta: DataFrame, features: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(raster_id, json) with feature_stats made anew from features, everything else as it was; one row a raster."""
+    names = tables.feature_names(features, numeric=False) if names is None else names
+    ranges = tables.feature_ranges(features, names, by=("raster_id",)).groupBy("raster_id")
+    ranges = ranges.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.struct("min", "max").alias("range"))))).alias("stats"))
+    both = meta.select("raster_id", "json").join(ranges, "raster_id", "left")
+    text = F.coalesce(F.to_json("stats", {"ignoreNullFields": "false"}), F.lit("{}"))
+    return both.select("raster_id", _with_stats(F.col("json"), text).alias("json"))
 
 
 def write_json(meta: DataFrame, path: str) -> None:
@@ -81,10 +158,11 @@ def report_yaml(profile: DataFrame) -> str:
 
 
 def report_html(profile: DataFrame, strong: DataFrame) -> str:
-    """A profile and the strong correlations as an HTML page."""
+    """A profile, its features by category and the strong correlations as an HTML page."""
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     table = lambda df, rows: "<table><tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>" + "".join("<tr>" + "".join(f"<td>{show(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
-    return "<html><body><h1>Features</h1>" + table(profile, profile.orderBy("feature").collect()) + "<h2>Correlations</h2>" + table(strong, strong.collect()) + "</body></html>"
+    kinds = profile.groupBy(tables.category(F.col("feature")).alias("category")).agg(F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("features"))
+    return "<html><body><h1>Features</h1>" + table(profile, profile.orderBy("feature").collect()) + "<h2>Categories</h2>" + table(kinds, kinds.orderBy("category").collect()) + "<h2>Correlations</h2>" + table(strong, strong.collect()) + "</body></html>"
 
 
 def synthetic_raster(spark: SparkSession, size: int = 100, holes: float = 0.1, seed: int = 42, raster_id: str = "synthetic") -> DataFrame:
