@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as _np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterlake import grid as G
+from rasterlake import extract, grid as G, sources
 from rasterlake.operators import basic, hydrology, ml, spatial, spectral, tables, terrain, texture, window
+from rasterlake.plans import scratch_path
 from rasterlake.streaming import player_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +97,7 @@ plain("grid_masked", f"WITH {_g()} SELECT r, c, z + 0.0 AS z FROM g", lambda g:
 query("grid_ship", f"WITH {SHIP} SELECT r, c, z + 0.0 AS z FROM g")(lambda spark, d: _out(ship(spark, d), "z"))
 T = G.Transform(500000.0, 4200000.0, 10.0, -10.0)
 query("coords_affine", f"WITH {_g()} SELECT r, c, CAST(r AS BIGINT) * 64 + c AS id, 500000.0 + 10.0 * c AS x, 4200000.0 - 10.0 * r AS y FROM g")(lambda spark, d: G.coordinates(emb(spark, d), T).select("r", "c", "id", "x", "y"))
-query("feature_table", f"WITH {_g()}, {_near()} SELECT CAST(r AS BIGINT) * 64 + c AS id, 500000.0 + 10.0 * c AS x, 4200000.0 - 10.0 * r AS y, z AS elevation, coalesce(round(z6 - z4, 6), 0.0) + 0.0 AS east FROM s WHERE z IS NOT NULL")(
+query("feature_table", f"WITH {_g()}, {_near()} SELECT 'emb' AS raster_id, CAST(r AS BIGINT) * 64 + c AS id, 500000.0 + 10.0 * c AS x, 4200000.0 - 10.0 * r AS y, z AS elevation, coalesce(round(z6 - z4, 6), 0.0) + 0.0 AS east FROM s WHERE z IS NOT NULL")(
     lambda spark, d: G.feature_table(emb(spark, d).join(_east(emb(spark, d)), list(G.KEYS)), ["east"], T, "zero")
 )
 
@@ -185,9 +187,10 @@ SELECT r, c, CASE WHEN m.n >= 9 AND lo = hi THEN 1.0 ELSE round(d, 6) END + 0.0
 plain(
     "win_fractal_variation",
     f"""WITH {_g()}, {_win(5)}, o AS (SELECT r, c, v, row_number() OVER (PARTITION BY r, c ORDER BY dr, dc) - 1 AS k FROM w WHERE v IS NOT NULL),
-p AS (SELECT r, c, count(*) AS n, var_pop(v) AS a, var_pop(v) FILTER (k % 2 = 0) AS b, var_pop(v) FILTER (k % 4 = 0) AS d FROM o GROUP BY r, c)
-SELECT r, c, round(greatest(1.0, least(2.0, 2 - CASE WHEN n >= 16 THEN (ln(d) - ln(a)) / (2 * ln(2)) ELSE (ln(b) - ln(a)) / ln(2) END / 2)), 6) + 0.0 AS fractal_dimension FROM p WHERE n >= 8""",
-    lambda g: window.fractal_variation(g, 5).where("fractal_dimension is not null"),
+p AS (SELECT r, c, count(*) AS n, var_pop(v) AS a, var_pop(v) FILTER (k % 2 = 0) AS b, var_pop(v) FILTER (k % 4 = 0) AS d FROM o GROUP BY r, c),
+h AS (SELECT r, c, CASE WHEN n >= 16 AND a > 0 AND d > 0 THEN (ln(d) - ln(a)) / (2 * ln(2)) WHEN n BETWEEN 8 AND 15 AND a > 0 AND b > 0 THEN (ln(b) - ln(a)) / ln(2) END AS s FROM p)
+SELECT g.r, g.c, CASE WHEN s IS NOT NULL THEN round(greatest(1.0, least(2.0, 2 - s / 2)), 6) + 0.0 END AS fractal_dimension FROM g LEFT JOIN h USING (r, c)""",
+    lambda g: window.fractal_variation(g, 5),
     "fractal_dimension",
 )
 plain(
@@ -198,12 +201,9 @@ plain(
 )
 plain("basic_laplacian", f"WITH {_g()}, {_near()} SELECT r, c, z2 + z4 + z6 + z8 - 4 * z5 + 0.0 AS laplacian FROM s", lambda g: _laplacian(g), "laplacian")
 plain("multi_resolution", f"WITH {_g()}, {_win(3, name='w3')}, {_win(9, name='w9')}, a AS (SELECT r, c, avg(v) m3, stddev_pop(v) s3 FROM w3 GROUP BY r, c), b AS (SELECT r, c, avg(v) m9, stddev_pop(v) s9 FROM w9 GROUP BY r, c) SELECT r, c, {_r('m3', 'mean_3')}, {_r('s3', 'stddev_3')}, {_r('m9', 'mean_9')}, {_r('s9', 'stddev_9')} FROM a JOIN b USING (r, c)", lambda g: window.multi_resolution(g, (3, 9)), "mean_3", "stddev_3", "mean_9", "stddev_9")
-query("transect", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN range(-4, 5) t(i) JOIN g b ON b.r = a.r + CAST(round(i * sin(radians(30))) AS INTEGER) AND b.c = a.c + CAST(round(i * cos(radians(30))) AS INTEGER) WHERE b.z IS NOT NULL AND i % 2 = 0")(
-    lambda spark, d: _out(window.transect(emb(spark, d), 9, 30.0).where("i % 2 = 0"), "z", keys=("r", "c", "i"))
-)
 #: All nine positions of each cell: the operator's offsets as literals, since at odd i they lie at halves.
 _T = ", ".join(f"({i}, {round(i * __import__('math').sin(__import__('math').radians(30)))}, {round(i * __import__('math').cos(__import__('math').radians(30)))})" for i in range(-4, 5))
-query("transect_whole", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN (VALUES {_T}) t(i, dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc WHERE b.z IS NOT NULL")(
+query("transect", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN (VALUES {_T}) t(i, dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc WHERE b.z IS NOT NULL")(
     lambda spark, d: _out(window.transect(emb(spark, d), 9, 30.0), "z", keys=("r", "c", "i"))
 )
 
@@ -259,6 +259,14 @@ plain(
     "lbp_hist_mean", "lbp_hist_var", "lbp_hist_skew",
 )
 plain("keypoint_density", f"WITH {_g()}, p AS (SELECT r, c, CASE WHEN z > 2500 THEN 1 ELSE 0 END AS z FROM g), {_win(21, 'p')} SELECT r, c, CAST(sum(v) AS DOUBLE) AS density FROM w GROUP BY r, c", lambda g: texture.keypoint_density(g.withColumn("key", F.when(F.col("z") > 2500, 1).otherwise(0))), "density")
+_GX = "gy AS (SELECT r, c, z, coalesce(abs(CASE WHEN r = 0 THEN lead(z) OVER p - z WHEN r = (SELECT max(r) FROM g) THEN z - lag(z) OVER p ELSE (lead(z) OVER p - lag(z) OVER p) / 2 END), 0.0) AS g FROM g WINDOW p AS (PARTITION BY c ORDER BY r))"
+_GK = "gk AS (SELECT pl.r, pl.c, sum(n.g * CASE WHEN dr = 0 AND dc = 0 THEN 5 ELSE 1 END) AS sharp, avg(n.g) AS mean, sum(n.g * exp(-(dr * dr + dc * dc) / 9.0)) / sum(exp(-(dr * dr + dc * dc) / 9.0)) AS bell FROM (SELECT a.r, a.c, dr, dc, greatest(0, least((SELECT max(r) FROM g), a.r + dr)) AS nr, greatest(0, least((SELECT max(c) FROM g), a.c + dc)) AS nc FROM gy a CROSS JOIN range(-3, 4) x(dr) CROSS JOIN range(-3, 4) y(dc)) pl JOIN gy n ON n.r = nr AND n.c = nc GROUP BY pl.r, pl.c)"
+_GA = "av AS (SELECT " + ", ".join(f"CASE WHEN avg(x{i}) = 0 THEN {texture.TYPICAL[k]} ELSE avg(x{i}) END AS {k}" for i, k in enumerate(texture.TYPICAL, 1)) + " FROM o)"
+plain(
+    "glcm_localised",
+    f"WITH {_g()}, {_Q}, {_C}, {_GP}, {_GX}, {_GK}, {_GA} SELECT gy.r, gy.c, " + ", ".join(f"CASE WHEN gy.z IS NOT NULL THEN round(least({texture.RANGES[k][1]}.0, greatest({texture.RANGES[k][0]}.0, {k} + 0.5 * {k} * {w})), 6) ELSE 0.0 END + 0.0 AS glcm_{k}" for k, w in zip(texture.TYPICAL, ("sharp", "sharp", "mean", "mean", "bell"))) + " FROM gy JOIN gk USING (r, c) CROSS JOIN av",
+    lambda g: texture.localised_glcm(g, 7), *[f"glcm_{k}" for k in texture.TYPICAL],
+)
 plain("lbp_r3", None, texture.lbp, "lbp")
 plain("glcm_local", None, texture.local_glcm, *[f"local_glcm_{v}" for v in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")])
 plain("keypoint_corners", None, lambda g: texture.keypoint_density(texture.corners(g)), "density")
@@ -309,10 +317,88 @@ query("drainage_thinned")(lambda spark, d: hydrology.thin(_drainage(spark, d)[0]
 
 plain("fft_local", None, spectral.fft_local, "fft_peak", "fft_mean", "fft_entropy")
 plain("fft_power", None, spectral.fft_power, "spectral_fft_peak", "spectral_fft_mean", "spectral_fft_entropy")
-plain("mse_local", None, lambda g: spectral.multiscale_entropy(g, (2, 4)), "mse_1", "mse_2", "mse_4", "mse_slope")
+plain("mse_local", None, spectral.multiscale_entropy, "mse_1", "mse_2", "mse_4", "mse_8", "mse_slope")
 plain("wavelet_local", None, spectral.wavelet_local, "wavelet_local_entropy", "wavelet_local_energy_ratio")
-query("wavelet_global")(lambda spark, d: spectral.wavelet_global(emb(spark, d)).select("level", F.round("energy", 2).alias("energy"), F.round("share", 9).alias("share")))
-query("wavelet_bands")(lambda spark, d: spectral.wavelet_bands(emb(spark, d), 2).select("band", "level", "r", "c", F.round("w", 6).alias("w")))
+#: One level at a time, first along the rows, then the columns: coefficient k sums the values at 2k + 1 - j, mirrored half a cell beyond the ends.
+_TAPS = spectral.daubechies(4)
+_TP = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"({j}, {float(lo)!r}::DOUBLE, {float(hi)!r}::DOUBLE)" for j, (lo, hi) in enumerate(zip(_TAPS[::-1], _TAPS * (-1.0) ** _np.arange(1, 9)))) + ") t(j, lo, hi))"
+
+
+def _dwt_sql(levels: int = 3, source: str = "g") -> str:
+    out, left = [_TP, f"x0 AS (SELECT r, c, coalesce(z, 0.0) AS z FROM {source})"], "x0"
+    for i in range(1, levels + 1):
+        for axis, other, src, values, name in (("r", "c", left, ("z",), f"y{i}"), ("c", "r", f"y{i}", ("l", "h"), f"b{i}")):
+            n = f"(SELECT max({axis}) + 1 FROM {src})"
+            at = f"(((2 * k + 1 - j) % (2 * {n})) + 2 * {n}) % (2 * {n})"
+            sums = ", ".join(f"sum(s.{v} * lo) AS {v if v != 'z' else ''}l, sum(s.{v} * hi) AS {v if v != 'z' else ''}h" for v in values)
+            out.append(f"p{name} AS (SELECT k, j, lo, hi, CASE WHEN e < {n} THEN e ELSE 2 * {n} - 1 - e END AS e FROM (SELECT k, j, lo, hi, {at} AS e FROM range(0, CAST(({n} + 7) // 2 AS BIGINT)) t(k), tp))")
+            out.append(f"{name} AS (SELECT {f'CAST(k AS INTEGER) AS r, s.c' if axis == 'r' else 's.r, CAST(k AS INTEGER) AS c'}, {sums} FROM p{name} p JOIN {src} s ON s.{axis} = p.e GROUP BY k, s.{other})")
+        left = f"x{i}"
+        out.append(f"{left} AS (SELECT r, c, ll AS z FROM b{i})")
+    bands = " UNION ALL ".join(f"SELECT '{band}' AS band, {levels + 1 - i} AS level, r, c, {col} AS w FROM b{i}" for i in range(1, levels + 1) for band, col in (("v", "lh"), ("h", "hl"), ("d", "hh")))
+    return ", ".join([*out, f"bd AS ({bands} UNION ALL SELECT 'a', 0, r, c, z FROM {left})"])
+
+
+query("wavelet_bands", f"WITH {_g()}, {_dwt_sql()} SELECT band, CAST(level AS INTEGER) AS level, r, c, {_r('w', 'w', 4)} FROM bd")(lambda spark, d: _out(spectral.wavelet_bands(emb(spark, d)), "w", digits=4, keys=("band", "level", "r", "c")))
+query("wavelet_global", f"WITH {_g()}, {_dwt_sql()}, e AS (SELECT level, sum(w * w) AS energy FROM bd GROUP BY level) SELECT CAST(level AS INTEGER) AS level, round(energy, 2) AS energy, round(energy / (SELECT sum(energy) FROM e), 9) AS share FROM e")(
+    lambda spark, d: spectral.wavelet_global(emb(spark, d)).select("level", F.round("energy", 2).alias("energy"), F.round("share", 9).alias("share"))
+)
+_ONE = {"energy": "SELECT level, sum(w * w) AS v FROM bd GROUP BY level", "variance": "SELECT level, avg(v) AS v FROM (SELECT level, band, var_pop(w) AS v FROM bd GROUP BY level, band) GROUP BY level"}
+for _mode, _sum in _ONE.items():
+    _share = ", ".join(f"round((SELECT v FROM e WHERE level = {k}) / sum(v), 9) AS {n}" for k, n in enumerate(("wavelet_approx_ratio", "wavelet_detail_1_ratio", "wavelet_detail_2_ratio", "wavelet_detail_3_ratio")))
+    query(f"wavelet_metrics_{_mode}", f"WITH {_g()}, {_dwt_sql()}, e AS ({_sum}) SELECT round(sum(v), 2) AS wavelet_{_mode}, {_share}, round(1 - (SELECT v FROM e WHERE level = 0) / sum(v), 9) AS wavelet_detail_ratio FROM e")(
+        lambda spark, d, m=_mode: spectral.wavelet_metrics(emb(spark, d), mode=m).select(F.round(f"wavelet_{m}", 2).alias(f"wavelet_{m}"), *[F.round(c, 9).alias(c) for c in ("wavelet_approx_ratio", "wavelet_detail_1_ratio", "wavelet_detail_2_ratio", "wavelet_detail_3_ratio", "wavelet_detail_ratio")])
+    )
+query("wavelet_metrics_entropy")(lambda spark, d: spectral.wavelet_metrics(emb(spark, d), mode="entropy").drop("raster_id"))
+_BLOCK = lambda f, level, band: f"LEFT JOIN bd {band}{level} ON {band}{level}.band = '{band}' AND {band}{level}.level = {level} AND {band}{level}.r = g.r // {f} AND {band}{level}.c = g.c // {f}"
+_BLOCKS = " ".join([_BLOCK(8, 0, "a"), *(_BLOCK(2 ** (4 - k), k, b) for k in (1, 2, 3) for b in "hvd")])
+plain(
+    "wavelet_coefficients",
+    f"WITH {_g()}, {_dwt_sql()} SELECT g.r, g.c, " + ", ".join(f"CASE WHEN g.z IS NOT NULL THEN {_r(f'{b}{k}.w', n, 4).replace(f' AS {n}', '')} END AS {n}" for b, k, n in [("a", 0, "wavelet_approx_coef"), *((b, k, f"wavelet_{b}_detail_{k}") for k in (1, 2, 3) for b in "hvd")]) + f" FROM g {_BLOCKS}",
+    spectral.wavelet_coefficients,
+    "wavelet_approx_coef", *[f"wavelet_{b}_detail_{k}" for k in (1, 2, 3) for b in "hvd"],
+    digits=4,
+)
+_LV = {k: " + ".join(f"{b}{k}.w * {b}{k}.w" for b in "hvd") for k in (1, 2, 3)}
+plain(
+    "wavelet_maps",
+    f"WITH {_g()}, q AS (SELECT min(z) AS lo, quantile_cont(z, 0.99) AS hi FROM g), st AS (SELECT r, c, greatest(0.0, least(1.0, (z - lo) / (hi - lo))) AS z FROM g, q WHERE z IS NOT NULL UNION ALL SELECT r, c, NULL FROM g WHERE z IS NULL), {_dwt_sql(source='st')}, "
+    f"m AS (SELECT g.r, g.c, g.z, a0.w AS low, {', '.join(f'{v} AS e{k}' for k, v in _LV.items())}, {', '.join(f'{b}{k}.w * {b}{k}.w AS {b}{k}' for k in (1, 2, 3) for b in 'hvd')} FROM g {_BLOCKS}) "
+    "SELECT r, c, " + ", ".join(f"CASE WHEN z IS NOT NULL THEN round({v}, 6) ELSE 0.0 END + 0.0 AS {n}" for n, v in {"wavelet_approximation": "low", "wavelet_details": "e1 + e2 + e3", "wavelet_ratio": "CASE WHEN low <> 0 THEN (e1 + e2 + e3) / low ELSE 0.0 END", **{f"wavelet_level{k}": f"e{k}" for k in (1, 2, 3)}, **{f"wavelet_{n}_level{k}": f"{b}{k}" for k in (1, 2, 3) for b, n in spectral.DIRECTIONS.items()}}.items()) + " FROM m",
+    spectral.wavelet_maps,
+    "wavelet_approximation", "wavelet_details", "wavelet_ratio", *[f"wavelet_level{k}" for k in (1, 2, 3)], *[f"wavelet_{n}_level{k}" for k in (1, 2, 3) for n in spectral.DIRECTIONS.values()],
+)
+for _mode in ("energy", "entropy", "variance"):
+    plain(f"local_wavelet_{_mode}", None, lambda g, m=_mode: spectral.local_wavelet(g, mode=m), f"local_wavelet_{_mode}", "local_wavelet_approx_ratio", "local_wavelet_detail_ratio", "local_wavelet_detail_1_ratio", "local_wavelet_detail_2_ratio")
+plain("scale_entropy", None, spectral.scale_entropy, *[f"spectral_entropy_scale{s}" for s in (1, 2, 4, 8)])
+plain("entropy_ratios", None, spectral.entropy_ratios, "mse_local_base", "mse_ratio_2_4", "mse_ratio_4_8")
+
+
+def _se_sql(size: int, scales: tuple[int, ...]) -> str:
+    """Sliding means of whole blocks, their distinct values in windows that reach size // 2 up and left."""
+    out = []
+    for s in scales:
+        lo, hi = -(s // 2), s - s // 2
+        out.append(f"sm{s} AS (SELECT a.r, a.c, round(avg(b.z), 9) AS v FROM g a CROSS JOIN range({lo}, {hi}) x(dr) CROSS JOIN range({lo}, {hi}) y(dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c HAVING count(b.z) = {s * s})")
+        lo, hi = -(size // 2), size - size // 2
+        out.append(f"sc{s} AS (SELECT a.r, a.c, v, count(*) AS k FROM g a CROSS JOIN range({lo}, {hi}) x(dr) CROSS JOIN range({lo}, {hi}) y(dc) JOIN sm{s} b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.z IS NOT NULL GROUP BY a.r, a.c, v)")
+        out.append(f"se{s} AS (SELECT r, c, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM sc{s} GROUP BY r, c HAVING sum(k) >= {max(size // 2, 1)})")
+    return ", ".join(out)
+
+
+plain(
+    "scale_entropy_6", f"WITH {_g()}, {_se_sql(6, (1, 2))} SELECT g.r, g.c, {_r('se1.e', 'spectral_entropy_scale1')}, {_r('se2.e', 'spectral_entropy_scale2')} FROM g LEFT JOIN se1 USING (r, c) LEFT JOIN se2 USING (r, c)",
+    lambda g: spectral.scale_entropy(g, (1, 2), 6), "spectral_entropy_scale1", "spectral_entropy_scale2",
+)
+plain(
+    "entropy_ratios_6", f"WITH {_g()}, {_se_sql(6, (1, 2, 3))} SELECT g.r, g.c, {_r('se1.e', 'mse_local_base')}, CASE WHEN g.z IS NOT NULL THEN coalesce(CASE WHEN se3.e > 0 THEN round(se2.e / se3.e, 6) END, 0.0) + 0.0 END AS mse_ratio_2_3 FROM g LEFT JOIN se1 USING (r, c) LEFT JOIN se2 USING (r, c) LEFT JOIN se3 USING (r, c)",
+    lambda g: spectral.entropy_ratios(g, (2, 3), 6), "mse_local_base", "mse_ratio_2_3",
+)
+plain(
+    "spectral_sobel",
+    f"WITH {_g()}, f AS (SELECT r, c, z IS NOT NULL AS valid, coalesce(z, 0.0) AS z FROM g), {_near(True, 'f')}, w AS (SELECT a.r, a.c, coalesce(b.z, 0.0) AS v, count(*) AS k FROM g a CROSS JOIN range(-2, 3) x(dr) CROSS JOIN range(-2, 3) y(dc) LEFT JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c, coalesce(b.z, 0.0)), e AS (SELECT r, c, log2(25) - sum(k * log2(k)) / 25 AS e FROM w GROUP BY r, c) SELECT r, c, CASE WHEN valid THEN round(sqrt(pow({_DX}, 2) + pow({_DY}, 2)), 6) ELSE 0.0 END + 0.0 AS grad_mag_sobel, CASE WHEN valid THEN round(e, 6) ELSE 0.0 END + 0.0 AS entropy FROM s JOIN e USING (r, c)",
+    spectral.spectral_sobel, "grad_mag_sobel", "entropy",
+)
 plain(
     "spectral_basic",
     f"WITH {_g()}, {_near()}, {_win(3, name='w3')}, {_win(5, name='w5')}, {_win(9, name='w9')}, a AS (SELECT r, c, stddev_pop(v) AS s3 FROM w3 GROUP BY r, c), b AS (SELECT r, c, stddev_pop(v) AS s5, count(v) AS n5 FROM w5 GROUP BY r, c), d AS (SELECT r, c, stddev_pop(v) AS s9 FROM w9 GROUP BY r, c), x AS (SELECT s.*, s3, s5, s9, (z IS NOT NULL AND n5 >= 13) AS ok FROM s JOIN a USING (r, c) JOIN b USING (r, c) JOIN d USING (r, c)), y AS (SELECT *, coalesce(CASE WHEN ok THEN (z6 - z4) / 2 END, 0.0) AS gx, coalesce(CASE WHEN ok THEN (z8 - z2) / 2 END, 0.0) AS gy FROM x) SELECT r, c, coalesce(CASE WHEN ok THEN round(s5, 6) END, 0.0) + 0.0 AS std, gx + 0.0 AS grad_x, gy + 0.0 AS grad_y, {_r('sqrt(gx * gx + gy * gy)', 'grad_mag')}, coalesce(CASE WHEN ok THEN z2 + z4 + z6 + z8 - 4 * z5 END, 0.0) + 0.0 AS laplacian, coalesce(CASE WHEN z IS NOT NULL AND s9 > 0 THEN round(s3 / s9, 6) END, 0.0) + 0.0 AS freq_ratio FROM y",
@@ -322,13 +408,14 @@ plain(
 
 # ---------------------------------------------------------------- learning
 
-query("patches", f"WITH {_g(False)}, {_win(5)} SELECT r, c, sum(v * ((dr + 2) * 5 + dc + 3)) + 0.0 AS checksum, CAST(count(*) AS BIGINT) AS n FROM w WHERE v IS NOT NULL GROUP BY r, c HAVING count(*) = 25")(
-    lambda spark, d: ml.patches(emb(spark, d, False), 5).select("r", "c", (F.aggregate(F.zip_with("patch", F.sequence(F.lit(1), F.lit(25)), lambda v, i: v * i), F.lit(0.0), lambda s, x: s + x) + 0.0).alias("checksum"), F.size("patch").cast("long").alias("n"))
+query("patches", f"WITH {_g(False)}, {_win(7)} SELECT r, c, sum(v * ((dr + 3) * 7 + dc + 4)) + 0.0 AS checksum, CAST(count(*) AS BIGINT) AS n FROM w WHERE v IS NOT NULL GROUP BY r, c HAVING count(*) = 49")(
+    lambda spark, d: ml.patches(emb(spark, d, False)).select("r", "c", (F.aggregate(F.zip_with("patch", F.sequence(F.lit(1), F.lit(49)), lambda v, i: v * i), F.lit(0.0), lambda s, x: s + x) + 0.0).alias("checksum"), F.size("patch").cast("long").alias("n"))
 )
-query("pca")(lambda spark, d: _out(ml.pca(ml.patches(emb(spark, d, False), 3))[0], "pca_1", "pca_2"))
-query("kmeans")(lambda spark, d: ml.clusters(ml.patches(emb(spark, d, False), 3)).select("r", "c", "cluster_label"))
+query("pca")(lambda spark, d: _out(ml.pca(ml.patches(emb(spark, d, False)))[0], "pca_1", "pca_2"))
+query("kmeans")(lambda spark, d: ml.clusters(ml.patches(emb(spark, d, False))).select("r", "c", "cluster_label"))
 query("spectral_clusters")(lambda spark, d: ml.spectral_clusters(ml.patches(emb(spark, d, False), 3)).select("r", "c", "cluster_label"))
-query("autoencoder")(lambda spark, d: _out(ml.autoencoder(ml.patches(emb(spark, d, False), 3)), "autoencoder_latent_1", "autoencoder_latent_2"))
+query("autoencoder")(lambda spark, d: _out(ml.autoencoder(ml.patches(emb(spark, d, False))), "autoencoder_latent_1", "autoencoder_latent_2"))
+query("feature_pca")(lambda spark, d: ml.feature_pca(_items(spark, d).withColumn("id", F.struct("l_orderkey", "l_linenumber")), NUMBERS)[0].select("id.*", F.round("pca_1", 6).alias("pca_1"), F.round("pca_2", 6).alias("pca_2")))
 
 # ---------------------------------------------------------------- feature tables
 
@@ -364,7 +451,9 @@ _FEATURES = sorted({f for v in tables.CATEGORIES.values() for f in v} | {"pca_7"
 query("category_lookup", "WITH f AS (SELECT unnest([" + ", ".join(f"'{f}'" for f in _FEATURES) + "]) AS feature), k AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{f}')" for i, (c, v) in enumerate(tables.CATEGORIES.items()) for f in v) + ") t(o, cat, name) UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({10 + i}, '{c}', '{h}')" for i, (c, h, t) in enumerate(tables.LATER) if h) + ") u(o, cat, name)) SELECT feature, coalesce((SELECT first(cat ORDER BY o) FROM k WHERE starts_with(feature, name)), CASE WHEN ends_with(feature, '_degree') THEN 'hydrology' ELSE 'other' END) AS category FROM f")(
     lambda spark, d: spark.createDataFrame([(f,) for f in _FEATURES], "feature string").select("feature", tables.category(F.col("feature")).alias("category"))
 )
-query("feature_descriptions")(lambda spark, d: spark.createDataFrame([(f,) for f in _FEATURES], "feature string").select("feature", tables.description(F.col("feature")).alias("description")))
+_DS = "".join(f" WHEN feature = '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in tables.DESCRIPTIONS.items())
+_DT = " WHEN starts_with(feature, 'pca_') THEN 'Principal component ' || split_part(feature, '_', 2) WHEN starts_with(feature, 'autoencoder_latent_') THEN 'Autoencoder latent dimension ' || split_part(feature, '_', -1) WHEN starts_with(feature, 'wavelet_detail_') THEN 'Ratio of detail coefficients energy at level ' || split_part(feature, '_', -1) WHEN regexp_matches(feature, '^multiscale_entropy_.*[0-9]+$') THEN 'Entropy at scale ' || split_part(feature, '_', -1) WHEN starts_with(feature, 'local_glcm_') THEN 'Local GLCM ' || replace(feature, 'local_glcm_', '') || ' in window'"
+query("feature_descriptions", "WITH f AS (SELECT unnest([" + ", ".join(f"'{f}'" for f in _FEATURES) + f"]) AS feature) SELECT feature, CASE{_DS}{_DT} ELSE 'Feature derived from elevation data' END AS description FROM f")(lambda spark, d: spark.createDataFrame([(f,) for f in _FEATURES], "feature string").select("feature", tables.description(F.col("feature")).alias("description")))
 _PTS = "pt AS (SELECT event_id AS id, CAST(user_id AS DOUBLE) AS x, CAST(hour(ts) AS DOUBLE) AS y, round(value, 4) AS v FROM events)"
 
 
@@ -388,4 +477,57 @@ query("compare_join", "SELECT p_partkey AS id, p_retailprice AS a, CAST(p_size A
 query("player_frames", "WITH t AS (SELECT s_suppkey AS id, s_acctbal AS v, s_name AS name, lead(s_acctbal) OVER (ORDER BY s_suppkey) AS nv, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS ni FROM supplier) SELECT id, CAST(k AS INTEGER) AS k, round(v + (nv - v) * (k * 16 / 500.0), 6) AS v, name FROM t, range(0, 32) r(k) WHERE ni IS NOT NULL")(
     lambda spark, d: player_frames(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("name")), ["v", "name"]).select("id", "k", F.round("v", 6).alias("v"), "name")
 )
+_CM = " UNION ALL ".join("SELECT '$' AS feature, ".replace("$", a) + ", ".join(f"round({'1.0' if a == b else f'corr({a}, {b})'}, 8) AS {b}" for b in sorted(NUMBERS)) + " FROM lineitem" for a in sorted(NUMBERS))
+query("correlation_matrix", _CM)(lambda spark, d: tables.correlation_matrix(_items(spark, d), NUMBERS).select("feature", *[F.round(n, 8).alias(n) for n in sorted(NUMBERS)]))
+query("feature_metadata", _each("SELECT '$' AS feature, 'other' AS category, 'Feature derived from elevation data' AS description, 'double' AS dtype, min($) AS min, max($) AS max, round(avg($), 4) AS mean, round(median($), 6) AS median, round(stddev_samp($), 6) AS std, count($) AS count, count(*) - count($) AS missing FROM lineitem"))(
+    lambda spark, d: tables.feature_metadata(_items(spark, d), NUMBERS).select("feature", "category", "description", "dtype", "min", "max", F.round("mean", 4).alias("mean"), F.round("median", 6).alias("median"), F.round("std", 6).alias("std"), "count", "missing")
+)
+query("first_features", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS place, '{n}' AS feature, min({n}) AS min, max({n}) AS max, round(avg({n}), 4) AS mean FROM lineitem" for i, n in enumerate(NUMBERS[:3])))(
+    lambda spark, d: tables.first_features(_items(spark, d), NUMBERS, 3).select("place", "feature", "min", "max", F.round("mean", 4).alias("mean"))
+)
+query("feature_names", "SELECT unnest(['l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature")(
+    lambda spark, d: spark.createDataFrame([(n,) for n in tables.feature_names(_items(spark, d), ("l_orderkey", "l_partkey", "l_suppkey"))], "feature string")
+)
+query("analyze_categories", "SELECT * FROM (VALUES ('ml', 2, 'autoencoder_latent_1,pca_9'), ('other', 2, 'basic_x,elevation'), ('terrain', 1, 'slope')) t(category, n, features)")(
+    lambda spark, d: tables.analyze(spark.range(1), ["slope", "pca_9", "basic_x", "elevation", "autoencoder_latent_1"]).select("category", F.col("n").cast("int").alias("n"), F.array_join("features", ",").alias("features"))
+)
+_VG = "SELECT 'emb' AS raster_id, feature, cells, missing, cells AS rows, true AS ok, missing = cells AS empty, mn AS min, mx AS max, round(a, 4) AS mean, round(sd, 4) AS std FROM ("
+query("validate_features", f"WITH {_g()} {_VG}SELECT 'z' AS feature, count(*) AS cells, count(*) - count(z) AS missing, min(z) AS mn, max(z) AS mx, avg(z) AS a, stddev_pop(z) AS sd FROM g UNION ALL SELECT 'none', count(*), count(*), NULL, NULL, NULL, NULL FROM g)")(
+    lambda spark, d: tables.validate(emb(spark, d).withColumn("none", F.lit(None).cast("double")), emb(spark, d), ["z", "none"]).select("raster_id", "feature", "cells", "missing", "rows", "ok", "empty", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+)
+query("gather_by_id", f"WITH {_g()} SELECT CAST(r AS BIGINT) * 64 + c AS id, z AS elevation, 2 * z AS twice FROM g WHERE z IS NOT NULL")(
+    lambda spark, d: G.gather(G.feature_table(emb(spark, d), []), emb(spark, d).withColumn("twice", 2 * F.col("z")), "twice").select("id", "elevation", "twice")
+)
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path = scratch_path(spark, "ascii")
+    sources.write_ascii_grid(emb(spark, sf_dir).unionByName(ship(spark, sf_dir)), path, G.Transform(500.0, 900.0, 2.0, -2.0))
+    return sources.read_ascii_grid(spark, f"{path}/*/*.txt")
+
+
+query("ascii_roundtrip", f"WITH e AS (WITH {_g()} SELECT * FROM g), s AS (WITH {SHIP} SELECT r, c, z FROM g) SELECT 'emb' AS raster_id, r, c, z + 0.0 AS z FROM e UNION ALL SELECT 'ship', r, c, z + 0.0 FROM s")(
+    lambda spark, d: _out(_roundtrip(spark, d)[0], "z", keys=G.KEYS)
+)
+query("ascii_headers", f"WITH e AS (WITH {_g()} SELECT * FROM g), s AS (WITH {SHIP} SELECT r, c, z FROM g), n AS (SELECT 'emb' AS raster_id, max(c) + 1.0 AS ncols, max(r) + 1.0 AS nrows FROM e UNION ALL SELECT 'ship', max(c) + 1.0, max(r) + 1.0 FROM s) SELECT raster_id, CAST(ncols AS DOUBLE) AS ncols, CAST(nrows AS DOUBLE) AS nrows, CAST(500 AS DOUBLE) AS xll, CAST(900 - 2 * nrows AS DOUBLE) AS yll, CAST(2 AS DOUBLE) AS cellsize, CAST(-9999 AS DOUBLE) AS nodata, CAST(500 AS DOUBLE) AS x0, CAST(900 AS DOUBLE) AS y0 FROM n")(
+    lambda spark, d: _roundtrip(spark, d)[1]
+)
+_TWO = f"e AS (WITH {_g()} SELECT 'emb' AS raster_id, r, c, z FROM g), s AS (WITH {SHIP} SELECT 'ship' AS raster_id, r, c, z FROM g), b AS (SELECT * FROM e UNION ALL SELECT * FROM s)"
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both, t = emb(spark, sf_dir).unionByName(ship(spark, sf_dir)), G.Transform(500.0, 900.0, 2.0, -2.0)
+    table = G.feature_table(both.withColumn("half", F.col("z") / 2), ["half"], t)
+    meta = sources.with_feature_stats(sources.metadata(both, table, ["half"], ["own"], t), table, ["half", "elevation"])
+    at = lambda path, kind: F.get_json_object("json", f"$.{path}").cast(kind)
+    return meta.select(
+        "raster_id", at("raster_info.stats.min", "double").alias("min"), at("raster_info.stats.median", "double").alias("median"), at("raster_info.stats.total", "long").alias("total"), at("extraction_info.exported_rows", "long").alias("exported_rows"),
+        at("raster_info.bounds.bottom", "double").alias("bottom"), at("raster_info.bounds.right", "double").alias("right_"), at("feature_stats.half.max", "double").alias("half_max"), at("feature_stats.elevation.min", "double").alias("elevation_min"),
+    )
+
+
+query("metadata_stats", f"WITH {_TWO} SELECT raster_id, min(z) AS min, median(z) AS median, count(*) AS total, count(z) AS exported_rows, CAST(900 - 2 * (max(r) + 1) AS DOUBLE) AS bottom, CAST(500 + 2 * (max(c) + 1) AS DOUBLE) AS right_, round(max(z) / 2, 8) AS half_max, round(min(z), 8) AS elevation_min FROM b GROUP BY raster_id")(_metadata)
+query("extract_table", f"WITH {_g()}, {_near(True)}, {_win(5)}, k AS (SELECT r, c, avg(v) AS a, stddev_pop(v) AS sd, count(v) AS n FROM w GROUP BY r, c), d AS (SELECT *, {_DX} / 80 AS dx, {_DY} / 80 AS dy FROM s) SELECT 'emb' AS raster_id, CAST(r AS BIGINT) * 64 + c AS id, 500000.0 + 10.0 * c AS x, 4200000.0 - 10.0 * r AS y, z AS elevation, CASE WHEN dx IS NOT NULL AND dy IS NOT NULL THEN {_SLOPE} END AS slope, {_r('a', 'mean')}, {_r('sd', 'stddev')}, n AS valid_count FROM d JOIN k USING (r, c) WHERE z IS NOT NULL")(
+    lambda spark, d: extract.extract(emb(spark, d), ("terrain", "stats"), extract.Settings(cell=10.0), T).select("raster_id", "id", "x", "y", "elevation", *[(F.round(c, 6) + 0.0).alias(c) for c in ("slope", "mean", "stddev")], "valid_count")
+)
 query("sample_rows")(lambda spark, d: tables.sample_rows(_points(spark, d), n=500))

@@ -421,3 +421,109 @@ def test_extract(spark, sample, tmp_path):
     sources.write_ascii_grid(cells(spark, sample, "x"), str(tmp_path / "in"))
     assert extract.main([str(tmp_path / "in/*/*.txt"), str(tmp_path / "out"), "--features", "stats,basic", "--metadata", str(tmp_path / "meta")]) == 0
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == np.isfinite(sample).sum()
+
+
+# ---------------------------------------------------------------- steps in the values, headers, several rasters
+
+
+@pytest.mark.parametrize("size", [3, 5, 9])
+def test_moments_across_steps(spark, size):
+    """Windows far from the raster's mean, with deviations a billionth of the step."""
+    rng = np.random.default_rng(size)
+    a = np.where(np.arange(24)[None, :] < 12, 0.0, 1e6) + rng.integers(-3, 4, (20, 24)) / 1000
+    a[rng.random(a.shape) < 0.1] = np.nan
+    got = window.basic_stats(cells(spark, a), size).join(window.higher_order_stats(cells(spark, a), size), list(G.KEYS))
+    found = {k: array(got, k, a.shape) for k in ("mean", "stddev", "skewness", "kurtosis", "valid_count")}
+    h = size // 2
+    for r in range(a.shape[0]):
+        for c in range(a.shape[1]):
+            v = a[max(0, r - h) : r + h + 1, max(0, c - h) : c + h + 1]
+            v = v[~np.isnan(v)]
+            d = v - v.mean()
+            m2 = (d**2).mean()
+            assert found["valid_count"][r, c] == len(v) and found["mean"][r, c] == pytest.approx(v.mean(), rel=1e-12)
+            assert found["stddev"][r, c] == pytest.approx(np.sqrt(m2), rel=1e-5)
+            if len(v) >= 4 and m2 > 1e-9:
+                assert found["skewness"][r, c] == pytest.approx((d**3).mean() / m2**1.5, rel=1e-3, abs=1e-3)
+                assert found["kurtosis"][r, c] == pytest.approx((d**4).mean() / m2**2 - 3, rel=1e-3, abs=1e-3)
+
+
+def test_ascii_headers_and_names(spark, tmp_path):
+    """Body lines that look like headers, grids from centres, several files of one name, ranges of bytes, Windows line ends."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a/x.asc").write_text("ncols 2\nnrows 3\nxllcenter 10\nyllcenter 20\ncellsize 4\nnan 3\n1 2\nfoo 5\n")
+    (tmp_path / "b/x.asc").write_text("NROWS 2\r\nNCOLS 3\r\n\r\nxllcorner 1\r\nyllcorner 2\r\n1 2 3 9\r\n4 -9999 6\r\n7 8 9\r\n")
+    (tmp_path / "b/y.asc").write_text("1 2\n3 4\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        got, heads = sources.read_ascii_grid(spark, str(tmp_path / "*/*.asc"))
+        found = {r.raster_id.removeprefix(f"file:{tmp_path}/"): r for r in heads.collect()}
+        assert set(found) == {"a/x.asc", "b/x.asc", "y.asc"}
+        assert (found["a/x.asc"].x0, found["a/x.asc"].y0) == (8.0, 30.0) and (found["b/x.asc"].x0, found["b/x.asc"].y0) == (1.0, 4.0)
+        values = {}
+        for r in got.collect():
+            values.setdefault(r.raster_id.removeprefix(f"file:{tmp_path}/"), {})[r.r, r.c] = r.z
+        assert values["a/x.asc"] == {(0, 0): None, (0, 1): 3, (1, 0): 1, (1, 1): 2, (2, 0): None, (2, 1): 5}
+        assert values["b/x.asc"] == {(0, 0): 1, (0, 1): 2, (0, 2): 3, (1, 0): 4, (1, 1): None, (1, 2): 6}
+        assert values["y.asc"] == {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 4}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_several_rasters(spark, sample, tmp_path, monkeypatch):
+    """Exports, metadata and sidecars keep rasters apart, each with its own place; large ones are written in parts."""
+    from rasterlake import extract
+
+    both = cells(spark, sample, "a").unionByName(cells(spark, np.nan_to_num(sample)[:5] * 2, "b"))
+    places = spark.createDataFrame([("a", 100.0, 50.0, 2.0, -2.0, 0.0, 0.0), ("b", 0.0, 7.0, 2.0, -2.0, 0.0, 0.0)], "raster_id string, x0 double, y0 double, dx double, dy double, rot_x double, rot_y double")
+    table = G.feature_table(both.withColumn("f", F.col("z") + 1).withColumn("g", F.lit(None).cast("double")), ["f", "g"], places, "zero", ("g",))
+    assert table.select("raster_id", "id").distinct().count() == table.count() == np.isfinite(sample).sum() + 5 * sample.shape[1]
+    first = table.where("raster_id = 'b' and id = 1").first()
+    assert (first.x, first.y, first.g) == (2.0, 7.0, 0.0)
+    assert G.gather(table, both.withColumn("twice", F.col("z") * 2), "twice").where("abs(twice - 2 * elevation) > 1e-9 or twice is null").count() == 0
+    meta = sources.metadata(both, table, ["f"], ["own"], places)
+    found = {r.raster_id: json.loads(r.json) for r in meta.collect()}
+    assert found["b"]["extraction_info"]["exported_rows"] == 5 * sample.shape[1] and found["a"]["extraction_info"]["exported_rows"] == np.isfinite(sample).sum()
+    assert found["b"]["feature_stats"]["f"]["max"] == pytest.approx(np.nan_to_num(sample)[:5].max() * 2 + 1) and found["b"]["raster_info"]["bounds"] == {"left": 0.0, "bottom": -3.0, "right": 2.0 * sample.shape[1], "top": 7.0}
+    again = {r.raster_id: json.loads(r.json) for r in sources.with_feature_stats(meta, table).collect()}
+    assert again["a"]["feature_stats"]["elevation"]["max"] == pytest.approx(np.nanmax(sample)) and again["a"]["raster_info"] == found["a"]["raster_info"]
+    monkeypatch.setattr(sources, "FILE_ROWS", 4)
+    sources.write_ascii_grid(both, str(tmp_path / "in"), places)
+    back, heads = sources.read_ascii_grid(spark, str(tmp_path / "in/*/*.txt"))
+    parts = {r.raster_id: r for r in heads.collect()}
+    assert len(parts) == -(-sample.shape[0] // 4) + 2 and parts["b@4"].nrows == 1 and parts["b@4"].y0 == -1.0 and parts["b@0"].x0 == 0.0
+    assert back.where("z is not null").count() == table.count()
+    with pytest.raises(SystemExit):
+        (tmp_path / "z.asc").write_text("cellsize 3\n1 2\n3 4\n")
+        (tmp_path / "w.asc").write_text("cellsize 4\n1 2\n3 4\n")
+        extract.main([str(tmp_path / "*.asc"), str(tmp_path / "no"), "--features", "basic"])
+    assert extract.main([str(tmp_path / "z.asc"), str(tmp_path / "out"), "--features", "basic"]) == 0
+    assert {(float(r.x), float(r.y)) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()} == {(0.0, 6.0), (3.0, 6.0), (0.0, 3.0), (3.0, 3.0)}
+
+
+def test_tables_about_features(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(300, 3)).round(1)
+    df = spark.createDataFrame([(i, float(i % 5), "t", *map(float, row)) for i, row in enumerate(a)], "id long, x double, name string, p double, q double, s double").withColumn("k", F.lit(1.0))
+    assert tables.feature_names(df) == ["p", "q", "s", "k"] and tables.feature_names(df, ("id",), False) == ["x", "name", "p", "q", "s", "k"]
+    import pandas as pd
+
+    frame = pd.DataFrame(a, columns=["p", "q", "s"])
+    got = tables.correlation_matrix(df, ["p", "q", "s"], "spearman").toPandas().set_index("feature").loc[["p", "q", "s"], ["p", "q", "s"]]
+    ranked = frame.rank().corr()
+    assert np.allclose(got.to_numpy(), ranked.to_numpy())
+    ranks = tables.value_ranks(tables.melt(df, ["p", "k"]))
+    assert {r.feature: r.q for r in tables.exact_quantiles(ranks, (0.0, 0.1, 0.5, 1.0)).collect()} == {"p": pytest.approx(list(np.quantile(a[:, 0], [0, 0.1, 0.5, 1]))), "k": [1.0] * 4}
+    info = {r.feature: r for r in tables.feature_metadata(df.withColumnRenamed("p", "slope"), ["slope", "k"]).collect()}
+    assert info["slope"].category == "terrain" and info["slope"].dtype == "double" and info["slope"].median == pytest.approx(np.median(a[:, 0])) and info["k"].std == 0
+    panel = tables.first_features(df, ["s", "p", "q"], 2).orderBy("place").collect()
+    assert [(r.place, r.feature) for r in panel] == [(0, "s"), (1, "p")] and panel[0].max == a[:, 2].max()
+    grid = spark.createDataFrame([("x", r, c, 1.0) for r in range(3) for c in range(4)], "raster_id string, r int, c int, z double")
+    whole = grid.select("raster_id", "r", "c", F.col("z").alias("f"), F.lit(None).cast("double").alias("none"))
+    found = {r.feature: r for r in tables.validate(whole, grid, ["f", "none"]).collect()}
+    assert found["f"].ok and not found["f"].empty and found["none"].ok and found["none"].empty and found["none"].missing == 12
+    assert not tables.validate(whole.where("r < 2"), grid, ["f"]).first().ok and not tables.validate(whole.unionByName(whole.where("r = 0")), grid, ["f"]).first().ok
+    with pytest.raises(ValueError):
+        tables.correlations(spark.range(200_000).select(F.col("id").alias("u"), F.col("id").alias("w")), ["u", "w"], "kendall")
