@@ -613,3 +613,20 @@ def test_repeats_chosen_texts(spark):
     assert got == expected
     with pytest.raises(ValueError):
         suffix_dedup.repeated_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40_000)
+
+
+def test_repeats_of_hot_anchors(spark, monkeypatch):
+    """A line in most texts with other words around it, met in several batches of a task, with a short memory and a long one."""
+    rnd = random.Random(21)
+    line = "this line is in nearly all of the texts that there are here"
+    texts = []
+    for i in range(240):
+        around = " ".join(rnd.choice(["aa", "bb"]) for _ in range(12))
+        texts.append(f"{around} {line} {around}" if i % 3 else f"{i} {line} {rnd.random()}")
+    data = list(enumerate(texts))
+    expected = brute_repeats([(i, t.encode()) for i, t in data], 50)
+    for small in (True, False):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+        monkeypatch.setattr(suffix_dedup, "prepare", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20") if small else common.prepare(s))
+        got = suffix_dedup.repeated_substrings(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 50)
+        assert {r.id: bytes(r.kept) for r in got.collect()} == expected
