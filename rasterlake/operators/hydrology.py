@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.functions import stencil
 from rasterlake.grid import KEYS
@@ -94,19 +94,18 @@ def graph_metrics(network: DataFrame, edges: DataFrame) -> DataFrame:
     cycle, a walk from a cell j steps before meets length - 1 - j further cells until it is back.
     """
     g = cut(_graph(network, edges))
-    ring = g.where("on_cycle").select("cycle", "length", "node", "next", F.col("upstream").alias("own"))
-    # places along each cycle from its least node on, by a walk that all cycles take together
-    place = ring.where("node = cycle").select("cycle", "node", "next", F.lit(0).alias("at"))
-    found = place
-    while True:
-        nxt = cut(place.join(ring.select(F.col("node").alias("n2"), F.col("next").alias("x2")), F.col("next") == F.col("n2")).where("n2 <> cycle").select("cycle", F.col("n2").alias("node"), F.col("x2").alias("next"), (F.col("at") + 1).alias("at")))
-        if not nxt.limit(1).count():
-            break
-        found, place = found.unionByName(nxt), nxt
-    ring = cut(ring.join(found.select("node", "at"), "node"))
-    v, u = ring.select("cycle", "length", "node", "at"), ring.select("cycle", F.col("at").alias("ua"), F.col("own").alias("uo"))
-    j = F.pmod(F.col("at") - F.col("ua"), F.col("length"))
-    through = v.join(u, "cycle").groupBy("node").agg(F.sum((F.col("length") - 1 - j) * (F.col("uo") - F.when(j == 0, 1).otherwise(0))).alias("pairs"), F.sum("uo").alias("whole"))
+    # How far each node of a cycle is from its least node, by pointer doubling along the cycle cut open there.
+    away = F.col("next") != F.col("cycle")
+    ring = cut(g.where("on_cycle").select("cycle", "length", "node", F.col("upstream").alias("own"), F.when((F.col("node") != F.col("cycle")) & away, F.col("next")).alias("ahead"), F.when(F.col("node") == F.col("cycle"), 0).otherwise(1).cast("long").alias("far")))
+    while not ring.where("ahead is not null").isEmpty():
+        hop = ring.select(F.col("node").alias("ahead"), F.col("ahead").alias("after"), F.col("far").alias("more"))
+        ring = cut(ring.join(hop, "ahead", "left").select("cycle", "length", "node", "own", F.col("after").alias("ahead"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")))
+    ring = ring.withColumn("at", F.pmod(F.col("length") - F.col("far"), F.col("length")))
+    # What enters at u passes the node at its place less u's, mod the length, steps on: sums over the cycle and up to the node say it all.
+    every, so_far = Window.partitionBy("cycle"), Window.partitionBy("cycle").orderBy("at")
+    whole, later = F.sum("own").over(every), F.sum("own").over(every) - F.sum("own").over(so_far)
+    steps = F.col("at") * whole - F.sum(F.col("own") * F.col("at")).over(every) + F.col("length") * later
+    through = ring.select("node", ((F.col("length") - 1) * whole - steps - (F.col("length") - 1)).alias("pairs"), whole.alias("whole"))
     size = network.groupBy("raster_id").agg(F.count("*").alias("n"))
     size = size.join(edges.groupBy("raster_id").agg(F.count("*").alias("m")), "raster_id", "left")
     rows = g.join(through, "node", "left").select("*", F.col("node.raster_id").alias("raster_id")).join(size, "raster_id")

@@ -255,7 +255,7 @@ def points_to_grid(df: DataFrame, value: str, order: str = "id", x: str = "x", y
 
     The indexes come from the distinct coordinates alone, which are few beside the points.
     """
-    ranks = lambda col, name: df.select(col).where(F.col(col).isNotNull()).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(col)) - 1)
+    ranks = lambda col, name: value_ranks(df.select(F.lit(0).alias("_by"), F.col(col)).distinct(), "_by", col).select(col, F.col("before").alias(name))
     got = df.groupBy(x, y).agg(F.max_by(value, order).alias("z"))
     return got.join(ranks(y, "r"), y).join(ranks(x, "c"), x).select("r", "c", "z")
 
@@ -263,9 +263,11 @@ def points_to_grid(df: DataFrame, value: str, order: str = "id", x: str = "x", y
 def square_repair(df: DataFrame, value: str, order: str = "id", least: float = 0.1, most: float = 10.0) -> DataFrame:
     """(r, c, z): where the grid of x and y is far from square, its values in order fill a square of side floor(sqrt(n))."""
     sizes = df.agg(F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"), F.count(value).alias("n")).withColumn("side", F.floor(F.sqrt("n")))
-    rows = df.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(sizes))
+    known = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_by"), F.col(order).alias("_o"), F.col(value).alias("z"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("_o").orderBy("z")) - 1
+    rows = known.join(value_ranks(known, "_by", "_o").select("_o", "before"), "_o").withColumn("k", place).crossJoin(F.broadcast(sizes))
     bent = ~(F.col("nx") / F.col("ny")).between(least, most)
-    return rows.where(bent & (F.col("k") < F.col("side") * F.col("side"))).select(F.expr("k div side").alias("r"), (F.col("k") % F.col("side")).alias("c"), F.col(value).alias("z"))
+    return rows.where(bent & (F.col("k") < F.col("side") * F.col("side"))).select(F.expr("k div side").alias("r"), (F.col("k") % F.col("side")).alias("c"), "z")
 
 
 def gaussian_smooth(cells: DataFrame, sigma: float = 1.0, radius: int | None = None) -> DataFrame:

@@ -527,3 +527,173 @@ def test_tables_about_features(spark):
     assert not tables.validate(whole.where("r < 2"), grid, ["f"]).first().ok and not tables.validate(whole.unionByName(whole.where("r = 0")), grid, ["f"]).first().ok
     with pytest.raises(ValueError):
         tables.correlations(spark.range(200_000).select(F.col("id").alias("u"), F.col("id").alias("w")), ["u", "w"], "kendall")
+
+
+# ---------------------------------------------------------------- kernels against plain numpy on every cell
+
+
+def around(a, r, c, size, fill=np.nan):
+    """The size x size values around a cell, one more up and left if size is even, fill beyond the grid."""
+    out = np.full((size, size), fill)
+    for i in range(size):
+        for j in range(size):
+            y, x = r + i - size // 2, c + j - size // 2
+            if 0 <= y < a.shape[0] and 0 <= x < a.shape[1]:
+                out[i, j] = a[y, x]
+    return out
+
+
+def shannon(v):
+    _, k = np.unique(v, return_counts=True)
+    p = k / k.sum()
+    return float(-(p * np.log2(p)).sum())
+
+
+def test_scale_entropy_on_every_cell(spark, sample):
+    a = np.round(sample / 4)
+    got = spectral.scale_entropy(cells(spark, a), (1, 2, 3, 4), 8, tile=7)
+    ratios = spectral.entropy_ratios(cells(spark, a), (2, 3), 8)
+    found = {s: array(got, f"spectral_entropy_scale{s}", a.shape) for s in (1, 2, 3, 4)}
+    ratio, base = array(ratios, "mse_ratio_2_3", a.shape), array(ratios, "mse_local_base", a.shape)
+    for s in found:
+        means = np.full(a.shape, np.nan)
+        for r in range(a.shape[0]):
+            for c in range(a.shape[1]):
+                means[r, c] = np.round(around(a, r, c, s).mean(), 9)
+        for r in range(a.shape[0]):
+            for c in range(a.shape[1]):
+                v = around(means, r, c, 8).reshape(-1)
+                v = v[~np.isnan(v)]
+                expected = shannon(v) if len(v) >= 4 and not np.isnan(a[r, c]) else np.nan
+                assert found[s][r, c] == pytest.approx(expected, nan_ok=True, abs=1e-9), (s, r, c)
+    there = ~np.isnan(a)
+    assert np.allclose(base, found[1], equal_nan=True) and np.isnan(ratio[~there]).all()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        assert np.allclose(ratio[there], np.where(found[3] > 0, found[2] / found[3], 0.0)[there])
+
+
+@pytest.mark.parametrize("mode", ["energy", "entropy", "variance"])
+def test_local_wavelet_on_every_cell(spark, sample, mode):
+    """Each window mirrored, transformed by filters as matrices, and measured."""
+    a, size, levels = sample[:14, :13], 8, 2
+    taps = spectral.daubechies(2)
+    m = len(taps)
+
+    def matrix(n, f):
+        out = np.zeros(((n + m - 1) // 2, n))
+        for k in range(len(out)):
+            for j in range(m):
+                e = (2 * k + 1 - j) % (2 * n)
+                out[k, e if e < n else 2 * n - 1 - e] += f[j]
+        return out
+
+    low, high = taps[::-1], taps * (-1.0) ** np.arange(1, m + 1)
+    measure = {"energy": lambda w: (w**2).sum(), "variance": np.var, "entropy": lambda w: shannon(np.round(w, 9))}[mode]
+    got = spectral.local_wavelet(cells(spark, a), size, levels, mode, tile=5, n=2)
+    names = [f"local_wavelet_{mode}", "local_wavelet_approx_ratio", "local_wavelet_detail_ratio", "local_wavelet_detail_1_ratio", "local_wavelet_detail_2_ratio"]
+    found = {k: array(got, k, a.shape) for k in names}
+    padded = np.pad(np.nan_to_num(a), size // 2, mode="reflect")
+    seen = np.pad(~np.isnan(a), size // 2)
+    for r in range(a.shape[0]):
+        for c in range(a.shape[1]):
+            if np.isnan(a[r, c]) or seen[r : r + size, c : c + size].sum() < size // 2:
+                assert np.isnan(found[names[0]][r, c])
+                continue
+            w, parts = padded[r : r + size, c : c + size], []
+            for _ in range(levels):
+                lo, hi = matrix(len(w), low), matrix(len(w), high)
+                own = [measure(x) for x in (lo @ w @ hi.T, hi @ w @ lo.T, hi @ w @ hi.T)]
+                parts.insert(0, sum(own) if mode == "energy" else np.mean(own))
+                w = lo @ w @ lo.T
+            total = measure(w) + sum(parts)
+            expected = [total, measure(w) / total, sum(parts) / total, *(p / total for p in parts)]
+            assert [found[k][r, c] for k in names] == pytest.approx(expected, rel=1e-6, abs=1e-9)
+
+
+def test_fft_power_on_every_cell(spark, sample):
+    a, size = sample[:12, :11], 8
+    got = spectral.fft_power(cells(spark, a), size, tile=5)
+    names = ["spectral_fft_peak", "spectral_fft_mean", "spectral_fft_entropy"]
+    found = {k: array(got, k, a.shape) for k in names}
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(size) - size // 2, np.arange(size)) / size)
+    far = np.hypot(*(np.indices((size, size)) - size // 2))
+    padded, seen = np.pad(np.nan_to_num(a), size // 2, mode="reflect"), np.pad(~np.isnan(a), size // 2)
+    for r in range(a.shape[0]):
+        for c in range(a.shape[1]):
+            if np.isnan(a[r, c]) or 2 * seen[r : r + size, c : c + size].sum() < size * size:
+                assert np.isnan(found[names[1]][r, c])
+                continue
+            mag = np.abs(basis @ (padded[r : r + size, c : c + size] * np.outer(hann, hann)) @ basis.T)
+            p = mag / mag.sum()
+            assert found[names[1]][r, c] == pytest.approx((p * far).sum() / far.max()) and found[names[2]][r, c] == pytest.approx(-(p * np.log2(p + 1e-10)).sum() / np.log2(size * size))
+            mag[size // 2, size // 2] = 0
+            peaks = far[mag >= mag.max() * (1 - 1e-9)] / far.max()
+            assert np.abs(peaks - found[names[0]][r, c]).min() < 1e-9
+
+
+def test_patterns_and_corners_on_every_cell(spark, sample):
+    lo, hi = np.nanmin(sample), np.nanmax(sample)
+    image = np.nan_to_num(np.floor((sample - lo) / (hi - lo) * 255))
+    padded = np.pad(image, 5)
+    found = array(texture.lbp(cells(spark, sample), tile=9), "lbp", sample.shape)
+    for r in range(sample.shape[0]):
+        for c in range(sample.shape[1]):
+            if np.isnan(sample[r, c]):
+                assert np.isnan(found[r, c])
+                continue
+            bits = []
+            for k in range(8):
+                y, x = r + 5 - round(3 * np.sin(2 * np.pi * k / 8), 5), c + 5 + round(3 * np.cos(2 * np.pi * k / 8), 5)
+                y0, x0 = int(np.floor(y)), int(np.floor(x))
+                top = padded[y0, x0] * (1 - x + x0) + padded[y0, x0 + 1] * (x - x0)
+                low = padded[y0 + 1, x0] * (1 - x + x0) + padded[y0 + 1, x0 + 1] * (x - x0)
+                bits.append(int(top * (1 - y + y0) + low * (y - y0) - image[r, c] > -1e-9))
+            turns = sum(a != b for a, b in zip(bits, bits[1:] + bits[:1]))
+            assert found[r, c] == (sum(bits) if turns <= 2 else 9)
+    z = np.pad(sample, 1, constant_values=np.nan)
+    gx, gy = (z[1:-1, 2:] - z[1:-1, :-2]) / 2, (z[2:, 1:-1] - z[:-2, 1:-1]) / 2
+
+    def box(v):
+        p = np.pad(v, 1, constant_values=np.nan)
+        w = np.lib.stride_tricks.sliding_window_view(p, (3, 3))
+        return np.where(np.isnan(w).all(axis=(2, 3)), np.nan, np.nansum(w, axis=(2, 3)))
+
+    xx, xy, yy = box(gx * gx), box(gx * gy), box(gy * gy)
+    m = xx * yy - xy * xy - 0.04 * (xx + yy) ** 2
+    key = array(texture.corners(cells(spark, sample)), "key", sample.shape)
+    assert ((m > 0.01 * np.nanmax(m)) == (key == 1)).all() and key.sum() > 0
+
+
+def test_thinning_is_thin_and_whole(spark):
+    """What is left of blocks and bars is connected as before, inside, and has no square of four."""
+    block = np.zeros((16, 20))
+    block[2:7, 2:12] = 1
+    block[5:14, 8:11] = 1
+    block[10:12, 14:19] = 1
+    g = cells(spark, block)
+    got = hydrology.thin(g.where("z = 1").select(*G.KEYS), g)
+    thin = np.zeros(block.shape, int)
+    for r in got.collect():
+        thin[r.r, r.c] = 1
+
+    def parts(m):
+        left, n = {tuple(p) for p in np.argwhere(m > 0)}, 0
+        while left:
+            todo, n = [left.pop()], n + 1
+            while todo:
+                r, c = todo.pop()
+                near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+        return n
+
+    assert (thin <= block).all() and parts(thin) == parts(block) == 2
+    assert not (thin[1:, 1:] & thin[1:, :-1] & thin[:-1, 1:] & thin[:-1, :-1]).any()
+
+
+def test_player_over_ranges(spark):
+    rows = spark.createDataFrame([(i, float(i * i), f"s{i}") for i in range(200)], "id int, v double, s string").repartition(5)
+    got = {(r.id, r.k): (r.v, r.s) for r in streaming.player_frames(rows, ["v", "s"], interval_ms=32).collect()}
+    assert got == {(i, k): (pytest.approx(i * i + ((i + 1) ** 2 - i * i) * k / 2), f"s{i}") for i in range(199) for k in (0, 1)}
+    assert streaming.player_frames(rows.limit(0), ["v"], interval_ms=32).count() == 0
