@@ -72,11 +72,17 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
 
 
 def _rows(length: int, gram: int):
-    """Anchors with their segments. Of equal ones in a batch only the first needs to meet the rest of the corpus:
-    the others are repeats already, and go by keys of their own, so that a segment common to many texts is no hot key."""
+    """Anchors with their segments, and what the task knows of them: kind 0, nothing; 1, the segment is a repeat; 2, the
+    anchor has other segments.
+
+    Of equal segments of an anchor that the task meets, only the first needs to meet the rest of the corpus; and once it
+    has sent two different segments of an anchor, others need not be told from one that occurs once. Both go by
+    keys of their own, so that neither a segment nor an anchor common to many texts is a hot key.
+    """
 
     def run(batches):
         common: dict[tuple[int, int], tuple[int, int, int]] = {}
+        several = np.zeros(0, np.uint64)
         for batch in batches:
             col = text_column(batch, "text")
             ids, th = batch["id"].to_numpy(), batch["th"].to_numpy()
@@ -112,10 +118,23 @@ def _rows(length: int, gram: int):
                         later[x] = True
                     elif least is not None:
                         common[key] = place
-            h[later] = mix((ids[doc[later]] ^ th[doc[later]]).view(np.uint64) + mix(pos[later].astype(np.uint64)))
+            # How many segments of its anchor come before each, among those that are no repeats.
+            first, of = ~later[order], h[order]
+            new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            before = np.cumsum(first) - first
+            before -= np.repeat(before[new], np.diff(np.append(new, len(of))))
+            surplus = np.zeros(len(h), bool)
+            surplus[order] = first & (before >= 2)
+            surplus |= ~later & np.isin(h, several)
+            if len(several) < COMMON:
+                several = np.union1d(several, h[surplus])
+            part = h.copy()
+            own = later | surplus
+            part[own] = mix((ids[doc[own]] ^ th[doc[own]]).view(np.uint64) + mix(pos[own].astype(np.uint64)))
+            kind = (later + 2 * surplus).astype(np.int8)
             for x in range(0, len(h), 50_000):
                 y = slice(x, x + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[y].view(np.int64), seg[y].view(np.int64), ids[doc[y]], th[doc[y]], pos[y].astype(np.int32), left[y].astype(np.int16), right[y].astype(np.int16), later[y])], names=["h", "seg", "id", "th", "pos", "left", "right", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (part[y].view(np.int64), h[y].view(np.int64), seg[y].view(np.int64), ids[doc[y]], th[doc[y]], pos[y].astype(np.int32), left[y].astype(np.int16), right[y].astype(np.int16), kind[y])], names=["part", "h", "seg", "id", "th", "pos", "left", "right", "kind"])
 
     return lean(run)
 
@@ -383,14 +402,11 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     src = (keyed_join(src, several, "id", "left", n_several) if n_several else src.withColumn("more", F.lit(None).cast("int"))).withColumn("th", F.when(F.col("more") == 1, F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("more")
     once = src.select("id", "th", "text").dropDuplicates(["id", "th"]) if n_several else src.select("id", "th", "text")
 
-    rows = once.mapInArrow(_rows(length, gram), "h long, seg long, id long, th long, pos int, left smallint, right smallint, known boolean")
-    # All columns are in the order, so that the three branches below need the same and share one exchange.
-    in_seg = Window.partitionBy("h", "seg").orderBy("id", "th", "pos", "left", "right", "known")
-    rows = rows.withColumn("later", F.col("known") | (F.row_number().over(in_seg) > 1))
-    first = rows.where("not later")
-    several_segs = first.groupBy("h").agg(F.min("seg").alias("x"), F.max("seg").alias("y")).where("x <> y").select("h")
-    cols = ("h", "id", "th", "pos", "left", "right", "later")
-    found = written(rows.where("later").select(*cols).unionByName(first.join(several_segs, "h", "left_semi").select(*cols)), "anchors")
+    rows = once.mapInArrow(_rows(length, gram), "part long, h long, seg long, id long, th long, pos int, left smallint, right smallint, kind tinyint")
+    in_seg = Window.partitionBy("part", "seg").orderBy("id", "th", "pos")
+    in_part = Window.partitionBy("part")
+    found = rows.withColumn("rn", F.row_number().over(in_seg)).withColumns({"x": F.min("seg").over(in_part), "y": F.max("seg").over(in_part)}).where("kind > 0 or rn > 1 or x <> y")
+    found = written(found.select("h", "id", "th", "pos", "left", "right", ((F.col("kind") == 1) | (F.col("rn") > 1)).alias("later")), "anchors")
     whole = found.where("later").select("id", "th", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).where(f"end - start >= {length}")
 
     places = found.where("not later").groupBy("id", "th").agg(F.collect_list(F.struct("h", "pos", "left", "right")).alias("at"))
