@@ -51,14 +51,11 @@ def _named(df: DataFrame, **names: str) -> DataFrame:
 
 
 def terrain_group(g: DataFrame, s: Settings) -> DataFrame:
-    return _join([
-        terrain.slope(g, s.cell, "sobel"), terrain.aspect(g, s.cell, "sobel"), terrain.hillshade(g, s.cell, method="sobel"), terrain.curvature_sobel(g, s.cell),
-        terrain.roughness(g, s.window), _named(terrain.tpi(g, s.window), TPI="tpi"), _named(terrain.tri(g, s.window), TRI="tri"), terrain.max_slope(g, s.cell, s.window),
-    ])
+    return terrain.exported(g, s.cell, s.window)
 
 
 def stats_group(g: DataFrame, s: Settings) -> DataFrame:
-    return _join([window.basic_stats(g, s.window), window.higher_order_stats(g, s.window), window.entropy(g, s.window), window.fractal_dimension(g, s.window)])
+    return _join([window.moments(g, s.window), window.entropy(g, s.window), window.fractal_dimension(g, s.window)])
 
 
 def spatial_group(g: DataFrame, s: Settings) -> DataFrame:

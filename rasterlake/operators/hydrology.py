@@ -37,18 +37,25 @@ def flow_edges(directions: DataFrame) -> DataFrame:
     return out.join(valid, ["raster_id", "nr", "nc"], "left_semi").select(*KEYS, "nr", "nc")
 
 
-def _node(r: str = "r", c: str = "c") -> Column:
-    return F.struct(F.col("raster_id").alias("raster_id"), F.col(r).alias("r"), F.col(c).alias("c"))
+#: Rows and columns of a raster are below 2**21, so that a number holds a raster's number, a row and a column.
+SIDE = 21
 
 
 def _graph(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    return successor_graph(cells.select(_node().alias("node")), edges.select(_node().alias("node"), _node("nr", "nc").alias("next")))
+    """raster_id, r, c of every cell with what successor_graph tells of it; node and next are numbers there."""
+    rasters = cut(cells.select("raster_id").distinct().withColumn("_no", F.row_number().over(Window.orderBy("raster_id")).cast("long")))
+    number = lambda r, c: F.shiftleft("_no", 2 * SIDE) + F.shiftleft(F.col(r).cast("long"), SIDE) + F.col(c)
+    nodes = cells.join(F.broadcast(rasters), "raster_id").select(number("r", "c").alias("node"))
+    arcs = edges.join(F.broadcast(rasters), "raster_id").select(number("r", "c").alias("node"), number("nr", "nc").alias("next"))
+    mask = (1 << SIDE) - 1
+    got = successor_graph(nodes, arcs).withColumns({"_no": F.shiftright("node", 2 * SIDE), "r": F.shiftright("node", SIDE).bitwiseAND(mask).cast("int"), "c": F.col("node").bitwiseAND(mask).cast("int")})
+    return got.join(F.broadcast(rasters), "_no").drop("_no")
 
 
 def flow_accumulation(directions: DataFrame) -> DataFrame:
     """1 plus the cells upstream; a cell on a cycle gets what comes in from outside and passes nothing on."""
     got = _graph(directions.where("flow_direction is not null"), flow_edges(directions))
-    return got.select("node.*", F.col("upstream").alias("flow_accumulation"), F.log1p(F.col("upstream").cast("double")).alias("flow_accumulation_log"))
+    return got.select(*KEYS, F.col("upstream").alias("flow_accumulation"), F.log1p(F.col("upstream").cast("double")).alias("flow_accumulation_log"))
 
 
 def edge_detection(cells: DataFrame, method: str = "sobel") -> DataFrame:
@@ -108,7 +115,7 @@ def graph_metrics(network: DataFrame, edges: DataFrame) -> DataFrame:
     through = ring.select("node", ((F.col("length") - 1) * whole - steps - (F.col("length") - 1)).alias("pairs"), whole.alias("whole"))
     size = network.groupBy("raster_id").agg(F.count("*").alias("n"))
     size = size.join(edges.groupBy("raster_id").agg(F.count("*").alias("m")), "raster_id", "left")
-    rows = g.join(through, "node", "left").select("*", F.col("node.raster_id").alias("raster_id")).join(size, "raster_id")
+    rows = g.join(through, "node", "left").join(size, "raster_id")
     up = F.when(F.col("on_cycle"), F.col("whole") - 1).otherwise(F.col("upstream") - 1)
     down = F.when(F.col("on_cycle"), F.col("length") - 1).otherwise(F.col("steps") + F.coalesce(F.col("length") - 1, F.lit(0)))
     down = F.when(~F.col("on_cycle") & F.col("length").isNotNull(), F.col("steps") + F.col("length") - 1).otherwise(down)
@@ -116,4 +123,4 @@ def graph_metrics(network: DataFrame, edges: DataFrame) -> DataFrame:
     n = F.col("n")
     between = F.when(n > 2, pairs / ((n - 1) * (n - 2))).otherwise(0.0)
     density = F.when(n > 1, F.coalesce("m", F.lit(0)) / (n * (n - 1))).otherwise(0.0)
-    return rows.select("node.*", up.cast("long").alias("upstream_degree"), down.cast("long").alias("downstream_degree"), between.cast("double").alias("betweenness"), density.cast("double").alias("density"))
+    return rows.select(*KEYS, up.cast("long").alias("upstream_degree"), down.cast("long").alias("downstream_degree"), between.cast("double").alias("betweenness"), density.cast("double").alias("density"))

@@ -310,6 +310,11 @@ def sample_rows(df: DataFrame, fraction: float | None = None, n: int | None = No
     return df.sample(fraction=fraction, seed=seed) if n is None else df.orderBy(F.rand(seed)).limit(n)
 
 
+def scene_points(df: DataFrame, z: str, fraction: float = 0.1, exaggeration: float = 1.0, seed: int = 42, x: str = "x", y: str = "y") -> DataFrame:
+    """(x, y, height, color): a share of the rows that have z, as points of a scene whose heights are exaggerated."""
+    return df.where(F.col(z).isNotNull()).sample(fraction=fraction, seed=seed).select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(z) * exaggeration).alias("height"), F.col(z).alias("color"))
+
+
 def complete_features(df: DataFrame, features: list[str]) -> list[str]:
     """Those features that have no missing value."""
     row = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()

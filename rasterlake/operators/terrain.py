@@ -28,40 +28,48 @@ def _valid(x: Column) -> Column:
     return F.when(F.col("z").isNotNull(), x)
 
 
+def _slope(method: str, cell: float) -> Column:
+    dx, dy = gradient(method, cell)
+    return _valid(F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))))
+
+
 def slope(cells: DataFrame, cell: float = 1.0, method: str = "horn") -> DataFrame:
     """Degrees; method horn, zevenbergen, simple (borders clamped) or sobel (the exported column, borders clamped)."""
-    near = stencil(cells, "clamp" if method in ("simple", "sobel") else "null")
-    dx, dy = gradient(method, cell)
-    return near.select(*KEYS, _valid(F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))).alias("slope"))
+    return stencil(cells, "clamp" if method in ("simple", "sobel") else "null").select(*KEYS, _slope(method, cell).alias("slope"))
 
 
-def _aspect(dx: Column, dy: Column, flat: float) -> Column:
+def _turn(dx: Column, dy: Column, flat: float) -> Column:
     level = (F.abs(dx) < FLAT) & (F.abs(dy) < FLAT)
     turn = F.degrees(F.atan2(dy, -dx))
     return F.when(level, F.lit(flat)).otherwise(F.when(turn < 0, turn + 360).otherwise(turn))
 
 
+def _aspect(method: str, cell: float) -> Column:
+    dx, dy = gradient(method, cell)
+    return _valid(F.when(dx.isNotNull() & dy.isNotNull(), _turn(dx, dy, 0.0 if method == "sobel" else -1.0)))
+
+
 def aspect(cells: DataFrame, cell: float = 1.0, method: str = "horn") -> DataFrame:
     """Degrees from 0 to 360; -1 where flat, or 0 with method sobel (the exported column, borders clamped)."""
-    near = stencil(cells, "clamp" if method == "sobel" else "null")
-    dx, dy = gradient(method, cell)
-    whole = dx.isNotNull() & dy.isNotNull()
-    return near.select(*KEYS, _valid(F.when(whole, _aspect(dx, dy, 0.0 if method == "sobel" else -1.0))).alias("aspect"))
+    return stencil(cells, "clamp" if method == "sobel" else "null").select(*KEYS, _aspect(method, cell).alias("aspect"))
 
 
-def hillshade(cells: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, method: str = "horn") -> DataFrame:
-    """0 to 255. Method horn turns the azimuth into a mathematical angle; sobel, the exported column, takes it as it is."""
-    near = stencil(cells, "clamp" if method == "sobel" else "null")
+def _hillshade(method: str, cell: float, azimuth: float, altitude: float) -> Column:
     dx, dy = gradient(method, cell)
     tilt = F.atan(F.sqrt(dx * dx + dy * dy))
     if method == "sobel":
-        turn, sun = F.radians(_aspect(dx, dy, 0.0)), F.radians(F.lit(azimuth))
+        turn, sun = F.radians(_turn(dx, dy, 0.0)), F.radians(F.lit(azimuth))
     else:
         turn, sun = F.atan2(dy, -dx), F.radians(F.lit(360.0 - azimuth + 90.0))
     high = F.radians(F.lit(altitude))
     shade = 255.0 * (F.cos(high) * F.sin(tilt) * F.cos(turn - sun) + F.sin(high) * F.cos(tilt))
     whole = dx.isNotNull() & dy.isNotNull()
-    return near.select(*KEYS, _valid(F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(255.0), shade)))).alias("hillshade"))
+    return _valid(F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(255.0), shade))))
+
+
+def hillshade(cells: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, method: str = "horn") -> DataFrame:
+    """0 to 255. Method horn turns the azimuth into a mathematical angle; sobel, the exported column, takes it as it is."""
+    return stencil(cells, "clamp" if method == "sobel" else "null").select(*KEYS, _hillshade(method, cell, azimuth, altitude).alias("hillshade"))
 
 
 def curvature(cells: DataFrame, cell: float = 1.0, kind: str = "total", diagonal: bool = True) -> DataFrame:
@@ -99,11 +107,14 @@ def tpi(cells: DataFrame, size: int = 3) -> DataFrame:
 
 def tri(cells: DataFrame, size: int = 3) -> DataFrame:
     """Mean of the window's differences to the cell that are not zero; NULL if there is none."""
-    near = neighbourhood(cells.select(*KEYS, "z"), size // 2).where("z is not null")
+    return neighbourhood(cells.select(*KEYS, "z"), size // 2).where("z is not null").select(*KEYS, _tri(size).alias("tri"))
+
+
+def _tri(size: int) -> Column:
     gaps = [F.nullif(F.abs(F.col("near")[i] - F.col("z")), F.lit(0.0)) for i in range((2 * (size // 2) + 1) ** 2)]
     n = sum((F.when(g.isNotNull(), 1).otherwise(0) for g in gaps), F.lit(0))
     total = sum((F.coalesce(g, F.lit(0.0)) for g in gaps), F.lit(0.0))
-    return near.select(*KEYS, (total / F.nullif(n, F.lit(0))).alias("tri"))
+    return F.when(F.col("z").isNotNull(), total / F.nullif(n, F.lit(0)))
 
 
 def max_slope(cells: DataFrame, cell: float = 1.0, size: int = 3) -> DataFrame:
@@ -112,3 +123,22 @@ def max_slope(cells: DataFrame, cell: float = 1.0, size: int = 3) -> DataFrame:
     edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("height") - 1) | (F.col("c") == F.col("width") - 1)
     s = with_shape(s).select(*KEYS, F.when(edge, F.lit(0.0)).otherwise(F.col("s")).alias("s"))
     return moving(s, size, "s", powers=2).select(*KEYS, F.col("w_max").alias("max_slope_angle"))
+
+
+def exported(cells: DataFrame, cell: float = 1.0, size: int = 5) -> DataFrame:
+    """slope, aspect, hillshade, curvature, roughness, TPI, TRI and max_slope_angle as they are exported, without a join.
+
+    Each step keeps the columns that are there, so one stencil serves all that reads the cell's neighbours.
+    """
+    x, y = gradient("horn", 0.125)
+    out = ["slope", "aspect", "hillshade"]
+    near = stencil(cells.select(*KEYS, "z"), "clamp").select(*KEYS, "z", _slope("sobel", cell).alias("slope"), _aspect("sobel", cell).alias("aspect"), _hillshade("sobel", cell, 315.0, 45.0).alias("hillshade"), x.alias("_x"), y.alias("_y"))
+    near = stencil(near, "clamp", "_x").select(*KEYS, "z", *out, "_y", x.alias("_xx"))
+    near = stencil(near, "clamp", "_y").select(*KEYS, "z", *out, _valid(-(F.col("_xx") + y) / (4 * cell * cell)).alias("curvature"))
+    near = moving(near, size, powers=2).select(*KEYS, "z", *out, "curvature", F.col("w_std").alias("roughness"), (F.col("z") - F.col("w_mean")).alias("TPI"))
+    out += ["curvature", "roughness", "TPI"]
+    near = neighbourhood(near, size // 2).select(*KEYS, "z", *out, _tri(size).alias("TRI"))
+    near = with_shape(stencil(near).select(*KEYS, *out, "TRI", _slope("horn", cell).alias("_s")))
+    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("height") - 1) | (F.col("c") == F.col("width") - 1)
+    near = near.withColumn("_s", F.when(edge, F.lit(0.0)).otherwise(F.col("_s")))
+    return moving(near, size, "_s", powers=2).select(*KEYS, *out, "TRI", F.col("w_max").alias("max_slope_angle"))

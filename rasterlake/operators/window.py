@@ -21,6 +21,12 @@ def higher_order_stats(cells: DataFrame, size: int = 5) -> DataFrame:
     return moving(cells, size).select(*KEYS, F.col("w_skew").alias("skewness"), F.col("w_kurt").alias("kurtosis"))
 
 
+def moments(cells: DataFrame, size: int = 5) -> DataFrame:
+    """What basic_stats and higher_order_stats give, from one pass."""
+    names = {"mean": "w_mean", "stddev": "w_std", "min": "w_min", "max": "w_max", "valid_count": "w_n", "skewness": "w_skew", "kurtosis": "w_kurt"}
+    return moving(cells, size).select(*KEYS, *[F.col(c).alias(n) for n, c in names.items()])
+
+
 def _binned_entropy(v: np.ndarray, bins: np.ndarray, last: bool) -> np.ndarray:
     """Of each window, the entropy in bits over equal bins from its least to its greatest value; NaN below two values.
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_written: list[str] = []
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, which driver and executors share."""
-    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def _shared(spark: SparkSession) -> str:
@@ -24,11 +30,20 @@ def _shared(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of spark.checkpoint.dir; where that is unset, in a temporary one, but in local mode alone."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(_shared(df.sparkSession))
-    return df.checkpoint()
+    """df as a table written into the shared folder: the lineage ends there, and its size is known to the next plan."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes what was written, when the program ends and nothing can read it any more."""
+    with contextlib.suppress(Exception):  # the engine may be gone already
+        jvm = SparkContext._jvm
+        for path in _written:
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def successor_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:

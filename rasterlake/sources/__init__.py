@@ -108,6 +108,26 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source_file", F.input_file_name()).withColumn("file_category", tables.file_category(F.col("source_file")))
 
 
+# Fixed value: how a number begins that may be followed by anything.
+NUMBER = r"^\s*[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+
+
+def read_player(spark: SparkSession, path: str) -> DataFrame:
+    """A table for the player: lines split at every comma, a token that begins like a number being that number.
+
+    A column all of whose tokens are numbers is one of numbers. Any other keeps its text, and its numbers, NULL elsewhere, stand
+    in name_value beside it. Quotes mean nothing; an empty token is text.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, quote="", emptyValue="")
+    value = {c: F.nullif(F.regexp_extract(F.col(f"`{c}`"), f"({NUMBER[1:]})", 1), F.lit("")) for c in df.columns}
+    whole = {c: F.when(F.col(f"`{c}`").rlike(NUMBER), F.trim(v).try_cast("double")) for c, v in value.items()}
+    row = df.agg(*[F.count_if(whole[c].isNull()).alias(f"_{i}") for i, c in enumerate(df.columns)]).first()
+    out = []
+    for i, c in enumerate(df.columns):
+        out += [whole[c].alias(c)] if row[f"_{i}"] == 0 else [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c), whole[c].alias(f"{c}_value")]
+    return df.select(*out)
+
+
 def metadata(cells: DataFrame, features: DataFrame, names: list[str], groups: list[str], t: DataFrame | Transform | None = None) -> DataFrame:
     """(raster_id, json): one row a raster with its statistics, what was extracted of it and the range of its features.
 

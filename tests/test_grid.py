@@ -697,3 +697,24 @@ def test_player_over_ranges(spark):
     got = {(r.id, r.k): (r.v, r.s) for r in streaming.player_frames(rows, ["v", "s"], interval_ms=32).collect()}
     assert got == {(i, k): (pytest.approx(i * i + ((i + 1) ** 2 - i * i) * k / 2), f"s{i}") for i in range(199) for k in (0, 1)}
     assert streaming.player_frames(rows.limit(0), ["v"], interval_ms=32).count() == 0
+
+
+def test_player_files_and_scenes(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('id,v,name,mixed\n1,1.5,"a,7\n2,-2e1x,b,n/a\n3, .5,,3m\n')
+    got = sources.read_player(spark, str(tmp_path / "p.csv"))
+    assert got.dtypes == [("id", "double"), ("v", "double"), ("name", "string"), ("name_value", "double"), ("mixed", "string"), ("mixed_value", "double")]
+    assert [(r.id, r.v, r.name, r.mixed, r.mixed_value) for r in got.orderBy("id").collect()] == [(1.0, 1.5, '"a', "7", 7.0), (2.0, -20.0, "b", "n/a", None), (3.0, 0.5, "", "3m", 3.0)]
+    points = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.when(F.col("id") % 2 == 0, F.col("id") * 1.0).alias("z"))
+    scene = tables.scene_points(points, "z", 0.5, 3.0).collect()
+    assert 150 < len(scene) < 350 and all(p.height == 3 * p.color == 3 * p.x for p in scene)
+
+
+def test_exported_terrain_is_what_the_operators_give(spark, sample):
+    g = cells(spark, sample)
+    got = terrain.exported(g, 2.0, 5).cache()
+    single = {
+        "slope": terrain.slope(g, 2.0, "sobel"), "aspect": terrain.aspect(g, 2.0, "sobel"), "hillshade": terrain.hillshade(g, 2.0, method="sobel"), "curvature": terrain.curvature_sobel(g, 2.0),
+        "roughness": terrain.roughness(g, 5), "TPI": terrain.tpi(g, 5).withColumnRenamed("tpi", "TPI"), "TRI": terrain.tri(g, 5).withColumnRenamed("tri", "TRI"), "max_slope_angle": terrain.max_slope(g, 2.0, 5),
+    }
+    for k, df in single.items():
+        assert np.allclose(array(got, k, sample.shape), array(df, k, sample.shape), equal_nan=True), k
