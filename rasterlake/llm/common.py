@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of at most a few dozen bytes that a broadcast may hold; larger sides are shuffled.
@@ -34,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of this session small, since texts may be long."""
+    """Keeps the Arrow batches of this session small, since texts may be long.
+
+    The settings stay: results are worked out when they are read, and need them then.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -55,7 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once into the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing still to be read was made from."""
+    for table in tables:
+        drop_scratch(table.sparkSession, [table.scratch])
+        _scratch.remove(table.scratch)
 
 
 def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
@@ -66,6 +80,15 @@ def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def _clear() -> None:
+    """Deletes what is left when the program ends and nothing can read it any more."""
+    with contextlib.suppress(Exception):  # the engine may be gone already
+        jvm = SparkContext._jvm
+        for path in map(jvm.org.apache.hadoop.fs.Path, _scratch):
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def keyed_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Equi-join whose right side is broadcast if its counted rows are few, and shuffled otherwise."""
     n = right.count() if rows is None else rows
