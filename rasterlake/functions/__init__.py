@@ -102,19 +102,20 @@ def reflect(i: np.ndarray, n: int) -> np.ndarray:
     return np.where(i >= n, 2 * (n - 1) - i, i)
 
 
-def tiled(cells: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: list[str], before: int, after: int, tile: int = 64, value: str = "z", edge: str = "mirror") -> DataFrame:
+def tiled(cells: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: list[str], before: int, after: int, tile: int = 64, value: str = "z", edge: str = "mirror", placed: bool = False) -> DataFrame:
     """Runs a numpy kernel over tiles with a halo; (raster_id, r, c, columns) of all cells.
 
     kernel gets the padded values (NaN where missing; the border mirrored without its edge, or with edge="clamp"
     going on as its nearest cell) and which of them lie in the grid and have a value; it returns an array a
-    column over the tile itself. A cell is sent to the few tiles whose halo it is in; a task holds one
-    tile at a time, whatever the raster's size.
+    column over the tile itself. With placed it also gets the rows and columns of the padded values, which may lie
+    beyond the grid, and the grid's height and width. A cell is sent to the few tiles whose halo it is in; a task
+    holds one tile at a time, whatever the raster's size.
     """
     t, halo = tile, max(before, after)
-    placed = with_shape(cells.select(*KEYS, F.col(value).cast("double").alias("z")))
+    sized = with_shape(cells.select(*KEYS, F.col(value).cast("double").alias("z")))
     low = lambda i: F.greatest(F.floor((F.col(i) - halo) / t), F.lit(0))
     high = lambda i, n: F.least(F.floor((F.col(i) + halo) / t), F.floor((F.col(n) - 1) / t))
-    sent = placed.withColumn("tr", F.explode(F.sequence(low("r"), high("r", "height")))).withColumn("tc", F.explode(F.sequence(low("c"), high("c", "width"))))
+    sent = sized.withColumn("tr", F.explode(F.sequence(low("r"), high("r", "height")))).withColumn("tc", F.explode(F.sequence(low("c"), high("c", "width"))))
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
         height, width = int(part["height"].iloc[0]), int(part["width"].iloc[0])
@@ -127,7 +128,7 @@ def tiled(cells: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str,
         beyond = reflect if edge == "mirror" else lambda i, n: np.clip(i, 0, n - 1)
         values = own[np.ix_(beyond(rows, height) - lr, beyond(cols, width) - lc)]
         inside = ((rows >= 0) & (rows < height))[:, None] & ((cols >= 0) & (cols < width))[None, :]
-        found = kernel(values, inside & ~np.isnan(values))
+        found = kernel(values, inside & ~np.isnan(values), *((rows, cols, height, width) if placed else ()))
         rr, cc = np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij")
         out = {"raster_id": key[0], "r": rr.reshape(-1).astype(np.int32), "c": cc.reshape(-1).astype(np.int32)}
         # NaN stands for a missing number inside the kernels only

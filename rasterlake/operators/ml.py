@@ -21,18 +21,23 @@ def patches(cells: DataFrame, size: int = 7) -> DataFrame:
 
 
 def pca(vectors: DataFrame, k: int = 2, column: str = "patch", keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, list[float]]:
-    """pca_1 to pca_k of the standardised vectors, and the shares of variance; each axis' largest loading is positive."""
+    """pca_1 to pca_k of the standardised vectors, and the shares of variance; each axis' largest loading is positive.
+
+    Vectors may have one number only, as patches of one cell do; components beyond their length are NULL.
+    """
     rows = vectors.withColumn("_v", array_to_vector(column))
-    n = rows.count()
+    n, size = rows.agg(F.count("*"), F.max(F.size(column))).first()
+    none = [F.lit(None).cast("double").alias(f"pca_{i + 1}") for i in range(k)]
     if n < 2:
-        return vectors.select(*keys, *[F.lit(None).cast("double").alias(f"pca_{i + 1}") for i in range(k)]), []
+        return vectors.select(*keys, *none), []
+    k = min(k, size)
     scaled = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(rows).transform(rows)
     model = PCA(k=k, inputCol="_s", outputCol="_p").fit(scaled)
     axes = model.pc.toArray()
     # population deviations as in the usual scaler, and a sign that does not depend on the solver
     factor = np.sqrt(n / (n - 1)) * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
     out = model.transform(scaled).withColumn("_a", vector_to_array("_p"))
-    return out.select(*keys, *[(F.col("_a")[i] * float(factor[i])).alias(f"pca_{i + 1}") for i in range(k)]), [float(x) for x in model.explainedVariance]
+    return out.select(*keys, *[(F.col("_a")[i] * float(factor[i])).alias(f"pca_{i + 1}") for i in range(k)], *none[k:]), [float(x) for x in model.explainedVariance]
 
 
 def feature_pca(df: DataFrame, features: list[str], k: int = 2, keys: tuple[str, ...] = ("id",)) -> tuple[DataFrame, list[float]]:

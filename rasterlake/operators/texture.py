@@ -73,8 +73,8 @@ def localised_glcm(cells: DataFrame, size: int = 15, levels: int = 32) -> DataFr
     near = windowed(steep, size, lambda v: {k: v @ w for k, w in kernels.items()}, list(kernels), "g", edge="clamp")
     kind = {"contrast": "sharp", "dissimilarity": "sharp", "homogeneity": "mean", "energy": "mean", "correlation": "bell"}
     whole = glcm_properties(glcm(cells, levels))
-    out = near.join(F.broadcast(whole), "raster_id").join(cells.select(*KEYS, "z"), list(KEYS))
-    avg = {k: F.when(F.col(f"glcm_{k}") == 0, v).otherwise(F.col(f"glcm_{k}")) for k, v in TYPICAL.items()}
+    out = near.join(F.broadcast(whole), "raster_id", "left").join(cells.select(*KEYS, "z"), list(KEYS))
+    avg = {k: F.when(F.coalesce(f"glcm_{k}", F.lit(0.0)) == 0, v).otherwise(F.col(f"glcm_{k}")) for k, v in TYPICAL.items()}
     value = {k: F.least(F.lit(float(RANGES[k][1])), F.greatest(F.lit(float(RANGES[k][0])), avg[k] + 0.5 * avg[k] * F.col(kind[k]))) for k in TYPICAL}
     return out.select(*KEYS, *[F.when(F.col("z").isNotNull(), v).otherwise(0.0).alias(f"glcm_{k}") for k, v in value.items()])
 

@@ -711,10 +711,31 @@ def test_player_files_and_scenes(spark, tmp_path):
 
 def test_exported_terrain_is_what_the_operators_give(spark, sample):
     g = cells(spark, sample)
-    got = terrain.exported(g, 2.0, 5).cache()
+    got = terrain.exported(g, 2.0, 5, tile=8).cache()
     single = {
         "slope": terrain.slope(g, 2.0, "sobel"), "aspect": terrain.aspect(g, 2.0, "sobel"), "hillshade": terrain.hillshade(g, 2.0, method="sobel"), "curvature": terrain.curvature_sobel(g, 2.0),
         "roughness": terrain.roughness(g, 5), "TPI": terrain.tpi(g, 5).withColumnRenamed("tpi", "TPI"), "TRI": terrain.tri(g, 5).withColumnRenamed("tri", "TRI"), "max_slope_angle": terrain.max_slope(g, 2.0, 5),
     }
     for k, df in single.items():
         assert np.allclose(array(got, k, sample.shape), array(df, k, sample.shape), equal_nan=True), k
+
+
+@pytest.mark.parametrize("a", [[[1.0]], [[1.0, 2.0, 4.0]], [[1.0], [2.0], [3.0]], [[np.nan, np.nan], [np.nan, np.nan]]])
+def test_odd_shapes_of_the_newer_operators(spark, a):
+    g = cells(spark, a)
+    n = np.size(a)
+    for df in (terrain.exported(g), window.moments(g), window.fractal_variation(g), texture.localised_glcm(g, 3), spectral.spectral_sobel(g), spectral.scale_entropy(g, (1, 2), 4), spectral.entropy_ratios(g, (2, 3), 4), spectral.local_wavelet(g, 8), spectral.wavelet_coefficients(g, 2), spectral.wavelet_maps(g, 2)):
+        assert df.count() == n
+    assert spectral.wavelet_metrics(g, 2, "entropy").count() == 1
+    none = g.limit(0)
+    for df in (terrain.exported(none), window.moments(none), texture.localised_glcm(none, 3), spectral.spectral_sobel(none), spectral.scale_entropy(none, (1, 2), 4), spectral.wavelet_maps(none, 2), spectral.wavelet_metrics(none, 2), tables.raster_stats(none), tables.percentile_stretch(none, "z")):
+        assert df.count() == 0
+
+
+def test_principal_components_of_one_column(spark, sample):
+    got, shares = ml.pca(ml.patches(cells(spark, sample), 1))
+    z = (sample - np.nanmean(sample)) / np.nanstd(sample)
+    assert np.allclose(array(got, "pca_1", sample.shape), z, equal_nan=True) and got.where("pca_2 is not null").count() == 0 and shares == pytest.approx([1.0])
+    df = spark.createDataFrame([(i, float(i), float(2 * i), float(-i if i % 2 else i)) for i in range(40)] + [(99, None, 1.0, 2.0)], "id long, a double, b double, c double")
+    found, shares = ml.feature_pca(df, ["a", "b", "c"])
+    assert found.columns == ["id", "pca_1", "pca_2"] and found.count() == 40 and sum(shares) == pytest.approx(1.0)
