@@ -267,9 +267,47 @@ plain(
     f"WITH {_g()}, {_Q}, {_C}, {_GP}, {_GX}, {_GK}, {_GA} SELECT gy.r, gy.c, " + ", ".join(f"CASE WHEN gy.z IS NOT NULL THEN round(least({texture.RANGES[k][1]}.0, greatest({texture.RANGES[k][0]}.0, {k} + 0.5 * {k} * {w})), 6) ELSE 0.0 END + 0.0 AS glcm_{k}" for k, w in zip(texture.TYPICAL, ("sharp", "sharp", "mean", "mean", "bell"))) + " FROM gy JOIN gk USING (r, c) CROSS JOIN av",
     lambda g: texture.localised_glcm(g, 7), *[f"glcm_{k}" for k in texture.TYPICAL],
 )
-plain("lbp_r3", None, texture.lbp, "lbp")
-plain("glcm_local", None, texture.local_glcm, *[f"local_glcm_{v}" for v in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")])
-plain("keypoint_corners", None, lambda g: texture.keypoint_density(texture.corners(g)), "density")
+
+
+def _ring_points(radius: int = 3, points: int = 8) -> str:
+    """(point, row step, column step, weight) of the cells around each point on the circle; those without weight are left out."""
+    out = []
+    for k in range(points):
+        y, x = (round(radius * f(2 * _np.pi * k / points), 5) for f in (lambda a: -_np.sin(a), _np.cos))
+        y0, x0 = int(_np.floor(y)), int(_np.floor(x))
+        out += [(k, y0 + i, x0 + j, (abs(1 - i - (y - y0))) * abs(1 - j - (x - x0))) for i in (0, 1) for j in (0, 1)]
+    return ", ".join(f"({k}, {i}, {j}, {w!r}::DOUBLE)" for k, i, j, w in ((k, i, j, float(w)) for k, i, j, w in out) if w)
+
+
+plain(
+    "lbp_r3",
+    f"WITH {_g()}, im AS (SELECT r, c, z, coalesce(floor((z - (SELECT min(z) FROM g)) / ((SELECT max(z) FROM g) - (SELECT min(z) FROM g)) * 255), 0) AS i FROM g), pt AS (SELECT a.r, a.c, a.z, k, CASE WHEN sum(w * coalesce(b.i, 0)) - a.i > -1e-9 THEN 1 ELSE 0 END AS b FROM im a CROSS JOIN (VALUES {_ring_points()}) o(k, dr, dc, w) LEFT JOIN im b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c, a.z, a.i, k), "
+    "ls AS (SELECT r, c, z, list(b ORDER BY k) AS b FROM pt GROUP BY r, c, z) SELECT r, c, CASE WHEN z IS NOT NULL THEN CASE WHEN " + " + ".join(f"abs(b[{n + 1}] - b[{(n + 1) % 8 + 1}])" for n in range(8)) + " <= 2 THEN list_sum(b) ELSE 9 END END + 0.0 AS lbp FROM ls",
+    texture.lbp,
+    "lbp",
+)
+_PAIRS_IN = ", ".join(f"({a}, {y}, {x})" for a, (y, x) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))))
+plain(
+    "glcm_local",
+    f"WITH {_g()}, qq AS (SELECT r, c, z, coalesce(CAST(round_even((z - (SELECT min(z) FROM g)) / ((SELECT max(z) FROM g) - (SELECT min(z) FROM g)) * 15, 0) AS INTEGER), 0) AS q FROM g), "
+    # pairs that lie in the grid with a margin of windows around it, at the place of their first cell
+    f"bx AS (SELECT max(r) AS mr, max(c) AS mc FROM g), ex AS (SELECT CAST(y.i AS INTEGER) AS r, CAST(x.i AS INTEGER) AS c, coalesce(q, 0) AS q FROM bx, range(-3, 100000) y(i), range(-3, 1000) x(i) LEFT JOIN qq ON qq.r = y.i AND qq.c = x.i WHERE y.i <= mr + 3 AND x.i <= mc + 3), "
+    f"pp AS (SELECT p.r, p.c, a, dy, dx, p.q AS i, n.q AS j FROM ex p CROSS JOIN (VALUES {_PAIRS_IN}) o(a, dy, dx) JOIN ex n ON n.r = p.r + dy AND n.c = p.c + dx), "
+    "wp AS (SELECT r + sy AS r, c + sx AS c, a, i, j FROM pp, range(-3, 4) y(sy), range(-3, 4) x(sx) WHERE dy - sy <= 3 AND dx - sx BETWEEN -3 AND 3), "
+    "ct AS (SELECT r, c, a, i, j, count(*) AS k FROM (SELECT * FROM wp UNION ALL SELECT r, c, a, j, i FROM wp) GROUP BY ALL), "
+    "pr AS (SELECT r, c, a, sum(k) AS t, sum(k * i) / sum(k) AS m, sum(k * i * i) / sum(k) AS s2, sum(k * i * j) / sum(k) AS ij, sum(k * (i - j) * (i - j)) / sum(k) AS x1, sum(k * abs(i - j)) / sum(k) AS x2, sum(k / (1.0 + (i - j) * (i - j))) / sum(k) AS x3, sqrt(sum(k * k)) / sum(k) AS x4 FROM ct GROUP BY r, c, a), "
+    f"av AS (SELECT r, c, avg(x1) AS x1, avg(x2) AS x2, avg(x3) AS x3, avg(x4) AS x4, avg(CASE WHEN s2 - m * m < 1e-15 THEN 1.0 ELSE (ij - m * m) / (s2 - m * m) END) AS x5 FROM pr GROUP BY r, c), {_win(7)}, n AS (SELECT r, c, count(v) AS n FROM w GROUP BY r, c) "
+    "SELECT r, c, " + ", ".join(f"CASE WHEN n >= 4 THEN round(x{i}, 6) + 0.0 END AS local_glcm_{v}" for i, v in enumerate(("contrast", "dissimilarity", "homogeneity", "energy", "correlation"), 1)) + " FROM n JOIN av USING (r, c)",
+    texture.local_glcm,
+    *[f"local_glcm_{v}" for v in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")],
+)
+plain(
+    "keypoint_corners",
+    f"WITH {_g()}, {_near()}, pr AS (SELECT r, c, (z6 - z4) / 2 AS gx, (z8 - z2) / 2 AS gy FROM s), bs AS (SELECT a.r, a.c, sum(b.gx * b.gx) AS xx, sum(b.gx * b.gy) AS xy, sum(b.gy * b.gy) AS yy FROM pr a CROSS JOIN range(-1, 2) y(dr) CROSS JOIN range(-1, 2) x(dc) JOIN pr b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c), "
+    f"hm AS (SELECT r, c, xx * yy - xy * xy - 0.04 * (xx + yy) * (xx + yy) AS m FROM bs), p AS (SELECT r, c, CASE WHEN m > 0.01 * (SELECT max(m) FROM hm) THEN 1 ELSE 0 END AS z FROM hm), {_win(21, 'p')} SELECT r, c, CAST(sum(v) AS DOUBLE) AS density FROM w GROUP BY r, c",
+    lambda g: texture.keypoint_density(texture.corners(g)),
+    "density",
+)
 
 # ---------------------------------------------------------------- hydrology
 
@@ -310,13 +348,40 @@ query("drainage_network", f"{_DRAIN} SELECT r, c FROM nw")(lambda spark, d: _dra
 query("drainage_edges", f"{_DRAIN} SELECT CAST(a // 64 AS INTEGER) AS r, CAST(a % 64 AS INTEGER) AS c, CAST(b // 64 AS INTEGER) AS nr, CAST(b % 64 AS INTEGER) AS nc FROM de")(lambda spark, d: _drainage(spark, d)[1].select("r", "c", "nr", "nc"))
 query("reach_degrees", f"{_DRAIN}, {_DR} SELECT r, c, (SELECT count(*) FROM dr2 WHERE t = v AND s <> v) AS upstream_degree, (SELECT count(*) FROM dr2 WHERE s = v AND t <> v) AS downstream_degree FROM nw")(lambda spark, d: hydrology.graph_metrics(*_drainage(spark, d)).select("r", "c", "upstream_degree", "downstream_degree"))
 query("drainage_density", f"{_DRAIN} SELECT r, c, round((SELECT count(*) FROM de) * 1.0 / (SELECT count(*) * (count(*) - 1) FROM nw), 12) AS density FROM nw")(lambda spark, d: hydrology.graph_metrics(*_drainage(spark, d)).select("r", "c", F.round("density", 12).alias("density")))
-query("betweenness")(lambda spark, d: hydrology.graph_metrics(*_drainage(spark, d)).select("r", "c", "betweenness"))
+#: A walk of as many steps as it reaches cells meets each of them once, itself last if it is on a cycle; between it and the ends of the walk lies what comes after.
+_WALK = "rs AS (SELECT s, count(*) AS n, count(*) FILTER (s = t) AS own FROM dr2 GROUP BY s), wk AS (SELECT a AS s, b AS t, 1 AS k FROM de UNION ALL SELECT wk.s, de.b, k + 1 FROM wk JOIN rs ON rs.s = wk.s JOIN de ON de.a = wk.t WHERE k < n)"
+query("betweenness", f"{_DRAIN}, {_DR}, {_WALK}, th AS (SELECT t AS v, sum(n - own - k) AS pairs FROM wk JOIN rs USING (s) WHERE wk.s <> t GROUP BY t) SELECT r, c, round(coalesce(pairs, 0) / ((SELECT count(*) FROM nw) - 1.0) / ((SELECT count(*) FROM nw) - 2.0), 15) AS betweenness FROM nw LEFT JOIN th USING (v)")(
+    lambda spark, d: hydrology.graph_metrics(*_drainage(spark, d)).select("r", "c", F.round("betweenness", 15).alias("betweenness"))
+)
 query("drainage_thinned")(lambda spark, d: hydrology.thin(_drainage(spark, d)[0], emb(spark, d)).select("r", "c"))
 
 # ---------------------------------------------------------------- spectral
 
 plain("fft_local", None, spectral.fft_local, "fft_peak", "fft_mean", "fft_entropy")
-plain("fft_power", None, spectral.fft_power, "spectral_fft_peak", "spectral_fft_mean", "spectral_fft_entropy")
+def _mirror(i: str, n: str) -> str:
+    return f"CASE WHEN abs({i}) < {n} THEN abs({i}) ELSE 2 * ({n} - 1) - abs({i}) END"
+
+
+def _fft_sql(size: int) -> str:
+    """The transform of all windows one axis at a time: a sum over a row's weights and waves, then over a column's."""
+    h, hann = size // 2, 0.5 - 0.5 * _np.cos(2 * _np.pi * _np.arange(size) / (size - 1))
+    waves = ", ".join(f"({k}, {u}, {float(hann[k] * _np.cos(2 * _np.pi * u * k / size))!r}::DOUBLE, {float(-hann[k] * _np.sin(2 * _np.pi * u * k / size))!r}::DOUBLE)" for k in range(size) for u in range(-h, h))
+    return (
+        f"mx AS (SELECT max(r) + 1 AS nr, max(c) + 1 AS nc FROM g), tw AS (SELECT * FROM (VALUES {waves}) t(k, u, re, im)), "
+        f"ac AS (SELECT g.r, g.c, k, u, re, im, {_mirror(f'(g.c + k - {h})', 'nc')} AS place FROM g, mx, tw), rp AS (SELECT a.r, a.c, u, sum(coalesce(b.z, 0) * re) AS re, sum(coalesce(b.z, 0) * im) AS im FROM ac a JOIN g b ON b.r = a.r AND b.c = place GROUP BY a.r, a.c, u), "
+        f"ar AS (SELECT g.r, g.c, k, u AS v, re, im, {_mirror(f'(g.r + k - {h})', 'nr')} AS place FROM g, mx, tw), cp AS (SELECT a.r, a.c, p.u, v, sum(p.re * a.re - p.im * a.im) AS re, sum(p.re * a.im + p.im * a.re) AS im FROM ar a JOIN rp p ON p.c = a.c AND p.r = place GROUP BY a.r, a.c, p.u, v), "
+        "mg AS (SELECT r, c, u, v, sqrt(re * re + im * im) AS m, sqrt(u * u + v * v) AS d FROM cp), tt AS (SELECT r, c, sum(m) AS t FROM mg GROUP BY r, c), "
+        f"sn AS (SELECT a.r, a.c, count(b.z) AS seen FROM g a CROSS JOIN range({-h}, {h}) y(dr) CROSS JOIN range({-h}, {h}) x(dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c), "
+        f"ft AS (SELECT r, c, arg_max(d, m) FILTER (u <> 0 OR v <> 0) / sqrt({2 * h * h}) AS peak, sum(m / t * d) / sqrt({2 * h * h}) AS mean, -sum(m / t * log2(m / t + 1e-10)) / log2({size * size}) AS e FROM mg JOIN tt USING (r, c) GROUP BY r, c)"
+    )
+
+
+plain(
+    "fft_power",
+    f"WITH {_g()}, {_fft_sql(16)} SELECT g.r, g.c, " + ", ".join(f"CASE WHEN g.z IS NOT NULL AND 2 * seen >= 256 THEN round({v}, 6) + 0.0 END AS spectral_fft_{n}" for n, v in (("peak", "peak"), ("mean", "mean"), ("entropy", "e"))) + " FROM g JOIN ft USING (r, c) JOIN sn USING (r, c)",
+    spectral.fft_power,
+    "spectral_fft_peak", "spectral_fft_mean", "spectral_fft_entropy",
+)
 plain("mse_local", None, spectral.multiscale_entropy, "mse_1", "mse_2", "mse_4", "mse_8", "mse_slope")
 plain("wavelet_local", None, spectral.wavelet_local, "wavelet_local_entropy", "wavelet_local_energy_ratio")
 #: One level at a time, first along the rows, then the columns: coefficient k sums the values at 2k + 1 - j, mirrored half a cell beyond the ends.
