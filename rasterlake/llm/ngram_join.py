@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import blocks, buffers, connected_components, keyed_join, lean, lists, mix, prepare, shingle_sets, text_column, written
+from .common import blocks, buffers, connected_components, keyed_join, lean, lists, mix, prepare, release, shingle_sets, text_column, written
 
 #: A shingle of up to RARE sets is indexed alone; up to RARE * RARE in pairs; beyond in triples.
 RARE = 64
@@ -223,9 +223,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("key").agg(F.collect_list(F.struct("df", "token")).alias("tokens"))
     index = full.select("key", "n").join(shared, "key").mapInArrow(_signatures(num, den), "sig long, key long, n long, single long")
-    index = written(index, "index")
-    sizes = index.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    index = written(index.join(sizes, "sig"), "buckets")
+    signatures = written(index, "index")
+    sizes = signatures.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    index = written(signatures.join(sizes, "sig"), "buckets")
+    release(signatures)
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.join(full.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(full.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
@@ -247,6 +248,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     at = index.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("key").alias("head")).where("x <> y").select("sig", "head")
     at = written(at.join(mixed, "sig"), "mixed")
+    release(index)
     # Buckets with the same least member: what they cost one by one, and as one.
     singly = at.select("head", "sig", "size").distinct().groupBy("head").agg(F.count("*").alias("buckets"), F.sum(F.col("size") * F.col("size")).alias("cost"))
     jointly = at.select("head", "key").distinct().groupBy("head").agg(F.count("*").alias("members"))
@@ -258,6 +260,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = rows.select("joint", "bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "key", "n", "single", "comp", "bins")
     rows = rows.repartition("joint", "bucket", "lo", "hi").sortWithinPartitions("joint", "bucket", "lo", "hi")
     rest = verified(rows.mapInArrow(_bucket_pairs(num, den), "a long, b long").distinct())
+    release(at, full)
     comp = connected_components(links.union(rest))
 
     named = classes.select("key", "rep").join(comp.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("rep").alias("least"))
