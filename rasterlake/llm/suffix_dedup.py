@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import blocks, buffers, carried, keyed_join, lean, mix, powers, prefix_hash, prepare, text_column, written
+from .common import blocks, buffers, carried, keyed_join, lean, mix, powers, prefix_hash, prepare, release, text_column, written
 
 #: Segments of one anchor that a block may hold together; an anchor with more is split by its context.
 MOST = 4096
@@ -419,6 +419,7 @@ def repeated_substrings(docs: DataFrame, min_len: int = 100, id_col: str = "doc_
     marks = marks if more is None else marks.unionByName(more)
     marks = marks.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     marks = written(marks.mapInArrow(_merged, "id long, th long, marks binary"), "marks")
+    release(found, places, segs)
     out = _beside(src, marks, "marks", "left")
     of = {c.lower(): t for c, t in docs.dtypes}
     kinds = ", ".join(f"_c{i} {of[c.lower()]}" for i, c in enumerate(extra))
