@@ -408,13 +408,16 @@ query("wavelet_bands", f"WITH {_g()}, {_dwt_sql()} SELECT band, CAST(level AS IN
 query("wavelet_global", f"WITH {_g()}, {_dwt_sql()}, e AS (SELECT level, sum(w * w) AS energy FROM bd GROUP BY level) SELECT CAST(level AS INTEGER) AS level, round(energy, 2) AS energy, round(energy / (SELECT sum(energy) FROM e), 9) AS share FROM e")(
     lambda spark, d: spectral.wavelet_global(emb(spark, d)).select("level", F.round("energy", 2).alias("energy"), F.round("share", 9).alias("share"))
 )
-_ONE = {"energy": "SELECT level, sum(w * w) AS v FROM bd GROUP BY level", "variance": "SELECT level, avg(v) AS v FROM (SELECT level, band, var_pop(w) AS v FROM bd GROUP BY level, band) GROUP BY level"}
+_ONE = {
+    "energy": "SELECT level, sum(w * w) AS v FROM bd GROUP BY level",
+    "variance": "SELECT level, avg(v) AS v FROM (SELECT level, band, var_pop(w) AS v FROM bd GROUP BY level, band) GROUP BY level",
+    "entropy": "SELECT level, avg(v) AS v FROM (SELECT level, band, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS v FROM (SELECT level, band, round(w, 9) AS w, count(*) AS k FROM bd GROUP BY ALL) GROUP BY level, band) GROUP BY level",
+}
 for _mode, _sum in _ONE.items():
     _share = ", ".join(f"round((SELECT v FROM e WHERE level = {k}) / sum(v), 9) AS {n}" for k, n in enumerate(("wavelet_approx_ratio", "wavelet_detail_1_ratio", "wavelet_detail_2_ratio", "wavelet_detail_3_ratio")))
     query(f"wavelet_metrics_{_mode}", f"WITH {_g()}, {_dwt_sql()}, e AS ({_sum}) SELECT round(sum(v), 2) AS wavelet_{_mode}, {_share}, round(1 - (SELECT v FROM e WHERE level = 0) / sum(v), 9) AS wavelet_detail_ratio FROM e")(
         lambda spark, d, m=_mode: spectral.wavelet_metrics(emb(spark, d), mode=m).select(F.round(f"wavelet_{m}", 2).alias(f"wavelet_{m}"), *[F.round(c, 9).alias(c) for c in ("wavelet_approx_ratio", "wavelet_detail_1_ratio", "wavelet_detail_2_ratio", "wavelet_detail_3_ratio", "wavelet_detail_ratio")])
     )
-query("wavelet_metrics_entropy")(lambda spark, d: spectral.wavelet_metrics(emb(spark, d), mode="entropy").drop("raster_id"))
 _BLOCK = lambda f, level, band: f"LEFT JOIN bd {band}{level} ON {band}{level}.band = '{band}' AND {band}{level}.level = {level} AND {band}{level}.r = g.r // {f} AND {band}{level}.c = g.c // {f}"
 _BLOCKS = " ".join([_BLOCK(8, 0, "a"), *(_BLOCK(2 ** (4 - k), k, b) for k in (1, 2, 3) for b in "hvd")])
 plain(
