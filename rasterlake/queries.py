@@ -203,9 +203,10 @@ plain("basic_laplacian", f"WITH {_g()}, {_near()} SELECT r, c, z2 + z4 + z6 + z8
 plain("multi_resolution", f"WITH {_g()}, {_win(3, name='w3')}, {_win(9, name='w9')}, a AS (SELECT r, c, avg(v) m3, stddev_pop(v) s3 FROM w3 GROUP BY r, c), b AS (SELECT r, c, avg(v) m9, stddev_pop(v) s9 FROM w9 GROUP BY r, c) SELECT r, c, {_r('m3', 'mean_3')}, {_r('s3', 'stddev_3')}, {_r('m9', 'mean_9')}, {_r('s9', 'stddev_9')} FROM a JOIN b USING (r, c)", lambda g: window.multi_resolution(g, (3, 9)), "mean_3", "stddev_3", "mean_9", "stddev_9")
 #: All nine positions of each cell: the operator's offsets as literals, since at odd i they lie at halves.
 _T = ", ".join(f"({i}, {round(i * __import__('math').sin(__import__('math').radians(30)))}, {round(i * __import__('math').cos(__import__('math').radians(30)))})" for i in range(-4, 5))
-query("transect", f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN (VALUES {_T}) t(i, dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc WHERE b.z IS NOT NULL")(
-    lambda spark, d: _out(window.transect(emb(spark, d), 9, 30.0), "z", keys=("r", "c", "i"))
-)
+for _name in ("transect", "transect_whole"):  # the second is its name from before, when the first left out odd positions
+    query(_name, f"WITH {_g()} SELECT a.r, a.c, CAST(i AS INTEGER) AS i, b.z + 0.0 AS z FROM g a CROSS JOIN (VALUES {_T}) t(i, dr, dc) JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc WHERE b.z IS NOT NULL")(
+        lambda spark, d: _out(window.transect(emb(spark, d), 9, 30.0), "z", keys=("r", "c", "i"))
+    )
 
 
 _BG = "f AS (SELECT r, c, z IS NOT NULL AS valid, coalesce(z, 0) AS z FROM g), pl AS (SELECT a.r, a.c, a.z AS o, greatest(0, least((SELECT max(r) FROM g), a.r + dr)) AS nr, greatest(0, least((SELECT max(c) FROM g), a.c + dc)) AS nc FROM f a CROSS JOIN range(-2, 3) x(dr) CROSS JOIN range(-2, 3) y(dc)), w AS (SELECT pl.r, pl.c, o, b.z AS v FROM pl JOIN f b ON b.r = nr AND b.c = nc), k AS (SELECT r, c, avg(abs(v - o)) AS tri, max(o) - avg(v) AS tpi, max(v) - min(v) AS span, stddev_pop(v) AS sd, avg(v) AS mean, median(v) AS med FROM w GROUP BY r, c)"
