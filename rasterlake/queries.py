@@ -572,7 +572,7 @@ query("gather_by_id", f"WITH {_g()} SELECT CAST(r AS BIGINT) * 64 + c AS id, z A
 def _roundtrip(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = scratch_path(spark, "ascii")
     sources.write_ascii_grid(emb(spark, sf_dir).unionByName(ship(spark, sf_dir)), path, G.Transform(500.0, 900.0, 2.0, -2.0))
-    return sources.read_ascii_grid(spark, f"{path}/*/*.txt")
+    return sources.join_parts(*sources.read_ascii_grid(spark, f"{path}/*/*.txt"))
 
 
 query("ascii_roundtrip", f"WITH e AS (WITH {_g()} SELECT * FROM g), s AS (WITH {SHIP} SELECT r, c, z FROM g) SELECT 'emb' AS raster_id, r, c, z + 0.0 AS z FROM e UNION ALL SELECT 'ship', r, c, z + 0.0 FROM s")(
