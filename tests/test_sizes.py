@@ -9,7 +9,7 @@ from test_grid import cells
 from test_oracle import BASE, duck, normal  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["ascii_headers"])
+@pytest.mark.parametrize("name", ["ascii_roundtrip", "ascii_headers"])
 def test_rasters_in_parts_are_whole_again(spark, duck, monkeypatch, name):  # noqa: F811
     from rasterlake.queries import QUERIES, SQL
 
