@@ -44,8 +44,11 @@ def grid(df: DataFrame, z: str = "z", nodata: float | None = None, raster_id: st
 def densify(df: DataFrame) -> DataFrame:
     """Adds the cells that df lacks, with a NULL z, between the least and greatest row and column of each raster."""
     box = df.groupBy("raster_id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    cells = box.select("raster_id", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select("raster_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return cells.join(df, list(KEYS), "left")
+    rows = box.select("raster_id", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1")
+    # rows go to many tasks before they become cells: one task would hold all the cells that come of one row of box
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "raster_id", "r")
+    cells = rows.select("raster_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    return cells.hint("merge").join(df, list(KEYS), "left")  # they look as small as box to the planner, which else broadcasts them
 
 
 def shape(cells: DataFrame) -> DataFrame:
@@ -59,13 +62,19 @@ def with_shape(cells: DataFrame) -> DataFrame:
 
 def coordinates(cells: DataFrame, t: Transform | DataFrame = Transform()) -> DataFrame:
     """id (row-major), x and y of every cell; t is one transform, or a table of them with a row a raster (see transforms)."""
+    return _located(cells.select(*KEYS, "z"), t).select(*KEYS, "z", F.col("_id").alias("id"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+
+
+def _located(cells: DataFrame, t: Transform | DataFrame) -> DataFrame:
+    """cells with _id, _x and _y; only what has one row a raster is joined."""
+    own = cells.join(shape(cells).select("raster_id", F.col("width").alias("_width")), "raster_id")
     if isinstance(t, Transform):
-        own, at = cells, {f: F.lit(float(getattr(t, f))) for f in TRANSFORM}
+        at = {f: F.lit(float(getattr(t, f))) for f in TRANSFORM}
     else:
-        own, at = cells.join(t.select("raster_id", *[F.col(f).alias(f"_{f}") for f in TRANSFORM]), "raster_id"), {f: F.col(f"_{f}") for f in TRANSFORM}
+        own, at = own.join(t.select("raster_id", *[F.col(f).alias(f"_{f}") for f in TRANSFORM]), "raster_id"), {f: F.col(f"_{f}") for f in TRANSFORM}
     x = at["x0"] + at["dx"] * F.col("c") + at["rot_x"] * F.col("r")
     y = at["y0"] + at["rot_y"] * F.col("c") + at["dy"] * F.col("r")
-    return with_shape(own).select(*KEYS, "z", (F.col("r").cast("long") * F.col("width") + F.col("c")).alias("id"), x.alias("x"), y.alias("y"))
+    return own.withColumns({"_id": F.col("r").cast("long") * F.col("_width") + F.col("c"), "_x": x, "_y": y})
 
 
 def transforms(heads: DataFrame) -> DataFrame:
@@ -81,8 +90,8 @@ def feature_table(cells: DataFrame, features: list[str], t: Transform | DataFram
     """
     zero = set(features if zeroed is None else zeroed) if nan_policy == "zero" else set()
     v = [F.coalesce(F.col(f), F.lit(0.0)).alias(f) if f in zero else F.col(f) for f in features]
-    located = coordinates(cells.select(*KEYS, "z"), t).drop("z").join(cells, list(KEYS))
-    return located.where("z is not null").select("raster_id", "id", "x", "y", F.col("z").alias("elevation"), *v)
+    located = _located(cells, t).where("z is not null")
+    return located.select("raster_id", F.col("_id").alias("id"), F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("z").alias("elevation"), *v)
 
 
 def gather(features: DataFrame, cells: DataFrame, column: str, out: str | None = None) -> DataFrame:

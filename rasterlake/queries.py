@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterlake import extract, grid as G, sources
 from rasterlake.operators import basic, hydrology, ml, spatial, spectral, tables, terrain, texture, window
-from rasterlake.plans import scratch_path
+from rasterlake.plans import cut, scratch_path
 from rasterlake.streaming import player_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,8 +585,9 @@ _TWO = f"e AS (WITH {_g()} SELECT 'emb' AS raster_id, r, c, z FROM g), s AS (WIT
 
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both, t = emb(spark, sf_dir).unionByName(ship(spark, sf_dir)), G.Transform(500.0, 900.0, 2.0, -2.0)
-    table = G.feature_table(both.withColumn("half", F.col("z") / 2), ["half"], t)
+    # both are read several times: written once, they are not made anew each time
+    both, t = cut(emb(spark, sf_dir).unionByName(ship(spark, sf_dir))), G.Transform(500.0, 900.0, 2.0, -2.0)
+    table = cut(G.feature_table(both.withColumn("half", F.col("z") / 2), ["half"], t))
     meta = sources.with_feature_stats(sources.metadata(both, table, ["half"], ["own"], t), table, ["half", "elevation"])
     at = lambda path, kind: F.get_json_object("json", f"$.{path}").cast(kind)
     return meta.select(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake import sources
+from rasterlake import grid as G, sources
 from test_grid import cells
 from test_oracle import BASE, duck, normal  # noqa: F401
 
@@ -33,3 +33,17 @@ def test_only_parts_are_joined(spark, tmp_path, monkeypatch):
     assert {r.raster_id: (r.nrows, r.ncols) for r in heads.collect()} == {k: v.shape for k, v in given.items()}
     assert heads.where("raster_id = 'a'").select("yll", "y0").first() == (-5.0, 0.0)
     assert got.count() == df.count() == got.join(df.withColumnRenamed("z", "y"), ["raster_id", "r", "c"]).where(F.col("z").eqNullSafe(F.col("y"))).count()
+
+
+def test_cells_are_not_joined_with_themselves(spark):
+    """Cells that come of one row a raster look small to the planner, which then broadcast all of them."""
+    df = cells(spark, np.arange(12.0).reshape(3, 4)).where("c <> 2 or r = 1")
+    dense = G.densify(df)
+    table = G.feature_table(dense.withColumn("height", F.col("z") * 2), ["height"], G.Transform(5.0, 9.0, 2.0, -2.0))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert all("strategy=merge" in x for x in plan.split("\n") if "Join " in x and "(r#" in x), plan
+    assert sum("Join " in x and "(r#" in x for x in plan.split("\n")) == 1, plan
+    assert "Repartition" in plan.split("explode(sequence(r0")[0].rsplit("explode(sequence(c0", 1)[1]
+    got = {(r.id, r.x, r.y, r.elevation, r.height) for r in table.collect()}
+    assert got == {(4 * r + c, 5.0 + 2 * c, 9.0 - 2 * r, 4.0 * r + c, 2 * (4.0 * r + c)) for r in range(3) for c in range(4) if c != 2 or r == 1}
+    assert dense.count() == 12 and dense.where("z is null").count() == 2
