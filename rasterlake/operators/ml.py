@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.functions import neighbourhood
 from rasterlake.grid import KEYS
-from rasterlake.plans import cut
+from rasterlake.plans import batches_of, cut
 
 
 def patches(cells: DataFrame, size: int = 7) -> DataFrame:
@@ -109,10 +109,15 @@ def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, colu
     return rows.join(labels, "id").select("cell.*", F.col("cluster").alias("cluster_label"))
 
 
+#: Bytes of vectors that stand in one row while the network is fitted, and how many such rows Python gets at a time.
+PACK, PACKS = 1 << 18, 16
+
+
 def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 200, seed: int = 42, column: str = "patch") -> DataFrame:
     """autoencoder_latent_1 to _k: a network of one hidden layer each way, fitted on all rows and applied to them.
 
     Each step sums the gradients of all rows by partition; only the small weights and their gradients meet the driver.
+    Vectors are packed, as one number after the other is slow to send; a task holds PACKS packs at a time.
     """
     names = [f"autoencoder_latent_{i + 1}" for i in range(k)]
     rows = cut(vectors.select(*KEYS, column))
@@ -126,9 +131,11 @@ def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 2
     def pack(batches):
         for part in batches:
             if len(part):
-                yield pd.DataFrame({"x": [((np.stack(part[column].to_numpy()) - mean) / std).tobytes()]})
+                x, size = (np.stack(part[column].to_numpy()) - mean) / std, max(1, PACK // (8 * width))
+                yield pd.DataFrame({"x": [x[i : i + size].tobytes() for i in range(0, len(x), size)]})
 
-    packed = cut(rows.select(column).mapInPandas(pack, "x binary"))
+    # small row groups, since a whole one is decoded at a time
+    packed = cut(rows.select(column).mapInPandas(pack, "x binary"), **{"parquet.block.size": str(64 * PACK)})
     sizes, rng = [width, hidden, k, hidden, width], np.random.default_rng(seed)
     w = [rng.normal(0, (2 / (a + b)) ** 0.5, (a, b)) for a, b in zip(sizes, sizes[1:])]
     b = [np.zeros(n) for n in sizes[1:]]
@@ -155,7 +162,8 @@ def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 2
 
     ends = np.cumsum([p.size for p in w + b])[:-1]
     for t in range(1, steps + 1):
-        sums = sum(np.frombuffer(r.g) for r in packed.mapInPandas(gradients, "g binary").collect())
+        with batches_of(rows.sparkSession, PACKS):
+            sums = sum(np.frombuffer(r.g) for r in packed.mapInPandas(gradients, "g binary").collect())
         for j, (p, g) in enumerate(zip(w + b, np.split(sums, ends))):
             g = g.reshape(p.shape)
             m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g

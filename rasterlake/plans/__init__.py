@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,13 +30,25 @@ def _shared(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """df as a table written into the shared folder: the lineage ends there, and its size is known to the next plan."""
     path = scratch_path(df.sparkSession, "cut")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python gets so many rows at a time in what is run meanwhile, for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @atexit.register
 def _clear() -> None:
     """Deletes what was written, when the program ends and nothing can read it any more."""

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake import grid as G, sources
+from rasterlake import grid as G, plans, sources
+from rasterlake.operators import ml
 from test_grid import cells
 from test_oracle import BASE, duck, normal  # noqa: F401
 
@@ -47,3 +48,20 @@ def test_cells_are_not_joined_with_themselves(spark):
     got = {(r.id, r.x, r.y, r.elevation, r.height) for r in table.collect()}
     assert got == {(4 * r + c, 5.0 + 2 * c, 9.0 - 2 * r, 4.0 * r + c, 2 * (4.0 * r + c)) for r in range(3) for c in range(4) if c != 2 or r == 1}
     assert dense.count() == 12 and dense.where("z is null").count() == 2
+
+
+def test_autoencoder_holds_few_vectors_at_a_time(spark, monkeypatch):
+    """Rows of packed vectors are small, and so are the batches of them; the result doesn't depend on either."""
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([("t", i, 0, p.tolist()) for i, p in enumerate(rng.normal(size=(500, 3)))], "raster_id string, r int, c int, patch array<double>").coalesce(1)
+    want = {r.r: (r.autoencoder_latent_1, r.autoencoder_latent_2) for r in ml.autoencoder(v, hidden=4, steps=2).collect()}
+    written, asked = [], []
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ml, "cut", lambda df, **options: written.append(plans.cut(df, **options)) or written[-1])
+    monkeypatch.setattr(ml, "batches_of", lambda s, rows: asked.append(rows) or plans.batches_of(s, rows))
+    monkeypatch.setattr(ml, "PACK", 480)
+    got = {r.r: (r.autoencoder_latent_1, r.autoencoder_latent_2) for r in ml.autoencoder(v, hidden=4, steps=2).collect()}
+    sizes = [len(r.x) for t in written if "x" in t.columns for r in t.collect()]
+    assert max(sizes) == 480 and sum(sizes) == 500 * 3 * 8 and asked == [ml.PACKS] * 2 and spark.conf.get(name) == before
+    assert set(got) == set(want) and np.allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)])
