@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
@@ -56,43 +59,105 @@ def clusters(vectors: DataFrame, k: int = 3, column: str = "patch", seed: int =
     return model.transform(rows).select(*KEYS, label.alias("cluster_label"))
 
 
-def nearest(vectors: DataFrame, k: int, column: str = "patch", id_col: str = "id", block: int = 8192) -> DataFrame:
+#: Rows of packed vectors that Python gets at a time.
+PACKS = 16
+#: Vectors of a pack that is sent around, and into how many tasks at most the vectors that ask are dealt.
+SENT, ASKING = 4096, 64
+
+
+def _closest(k: int, ia: np.ndarray, a: np.ndarray, packs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ia, id, squared distance) of the k vectors of all packs nearest to each of a; packs ascend by their ids.
+
+    Single precision only rules out what is farther than the k-th so far by more than its error; the rest is measured again.
+    """
+    best_gap, best_id = np.full((len(a), k), np.inf), np.full((len(a), k), np.iinfo(np.int64).max)
+    centre = a.mean(axis=0)
+    a0, width = a - centre, a.shape[1]
+    error, top = 8 * (width + 4) * 2.0**-24, np.abs(a0).max(initial=0)
+    for ib, b in packs:
+        b0 = b - centre
+        unit = max(top, np.abs(b0).max(initial=0)) or 1.0
+        # who has k equals of lesser ids is done, as only greater ids follow
+        live = np.flatnonzero((best_gap[:, -1] > 0) | (best_id[:, -1] > ib.min()))
+        q = a0[live] / unit
+        square, others = (q * q).sum(axis=1), ((b0 / unit) ** 2).sum(axis=1)
+        slack = error * (square + others.max())
+        left = np.concatenate([-2 * q, square[:, None], np.ones((len(q), 1))], axis=1).astype(np.float32)
+        right = np.concatenate([b0 / unit, np.ones((len(b), 1)), others[:, None]], axis=1).astype(np.float32).T.copy()
+        most = best_gap[live, -1] / unit**2
+        if len(b) > k + 1 and np.isinf(most).any():  # one more, which may be the vector itself
+            some = right[:, : max(1024, k + 2)]
+            most = np.minimum(most, np.concatenate([np.partition(left[i : i + 64] @ some, k, axis=1)[:, k] for i in range(0, len(q), 64)]) + slack)
+        left[:, width] = square - most - slack - error * most
+        # columns up to a multiple of 8 that nobody is near, so that eight answers are looked at in one
+        right = np.concatenate([right, np.repeat(np.array([[0.0]] * (width + 1) + [[np.inf]], np.float32), -len(b) % 8, axis=1)], axis=1)
+        at, to, wide = [], [], right.shape[1]
+        far, hit = np.empty((64, wide), np.float32), np.empty((64, wide), bool)
+        for i in range(0, len(q), 64):
+            m = min(64, len(q) - i)
+            np.less_equal(np.matmul(left[i : i + m], right, out=far[:m]), 0, out=hit[:m])
+            eight = np.flatnonzero(hit[:m].reshape(-1).view(np.uint64))
+            x, y = np.nonzero(hit[:m].reshape(-1, 8)[eight])
+            x, y = np.divmod(8 * eight[x] + y, wide)
+            at.append(live[i + x])
+            to.append(y)
+        at, to = np.concatenate(at or [np.zeros(0, int)]), np.concatenate(to or [np.zeros(0, int)])
+        other = ia[at] != ib[to]
+        at, to = at[other], to[other]
+        gap = ((a[at] - b[to]) ** 2).sum(axis=1)
+        good = gap <= best_gap[at, -1]
+        at, to, gap = at[good], to[good], gap[good]
+        rows = np.unique(at)
+        at, gap, ids = np.concatenate([np.repeat(rows, k), at]), np.concatenate([best_gap[rows].ravel(), gap]), np.concatenate([best_id[rows].ravel(), ib[to]])
+        order = np.lexsort((ids, gap, at))
+        at, gap, ids = at[order], gap[order], ids[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        best_gap[rows], best_id[rows] = gap[first].reshape(-1, k), ids[first].reshape(-1, k)
+    at, place = np.nonzero(np.isfinite(best_gap))
+    return at, best_id[at, place], best_gap[at, place]
+
+
+def nearest(vectors: DataFrame, k: int, column: str = "patch", id_col: str = "id", block: int = 16384) -> DataFrame:
     """(src, dst, gap): the k nearest other vectors of each by squared distance; of equals the least id. Exact.
 
-    Vectors are dealt into blocks by a hash of the id, and every two blocks meet in one task: the work grows with the
-    square of the rows, but a task holds two blocks and a strip of their distances only.
+    Vectors are packed by ranges of ids. A task holds a block of them that ask, with their nearest so far, while the packs of
+    all vectors pass by: the work grows with the square of the rows, what is sent with the rows times the blocks.
     """
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v"), own.alias("own")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = rows.select("id", "v", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        sides = [(g["id"].to_numpy(), np.stack(g["v"].to_numpy())) for s in dict.fromkeys(key) if len(g := part[part["own"] == s])]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for (ia, a), (ib, b) in [(sides[0], sides[0])] if len(set(key)) == 1 else [(x, y) for x in sides for y in sides if x is not y]:
-            square = (b * b).sum(axis=1)
-            for i in range(0, len(a), 256):
-                far = square - 2 * (a[i : i + 256] @ b.T)  # less the row's own square, which orders nothing
-                if ia is ib:
-                    far[np.arange(len(far)), np.arange(i, i + len(far))] = np.inf
-                m = min(k, len(b) - (ia is ib))
-                if not m:
-                    continue
-                # all that is as near as the m-th, so that equals are told apart by id and not by their place
-                at, to = np.nonzero(far <= np.partition(far, m - 1, axis=1)[:, m - 1 : m])
-                order = np.lexsort((ib[to], far[at, to], at))
-                at, to = at[order], to[order]
-                first = np.arange(len(at)) - np.searchsorted(at, at) < m
-                at, to = at[first] + i, to[first]
-                out.append((ia[at], ib[to], ((a[at] - b[to]) ** 2).sum(axis=1)))
-        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("src", "dst", "gap"))})
-
-    found = rows.groupBy("lo", "hi").applyInPandas(run, "src long, dst long, gap double")
-    best = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "dst"))), 1, k).alias("best"))
-    return best.select("src", F.explode("best").alias("b")).select("src", "b.dst", "b.gap")
+    spark, n = vectors.sparkSession, vectors.count()
+    size = max(1, min(SENT, block // 4))
+    each = max(block, -(-n // ASKING)) // size  # packs of a block
+
+    def pack(batches):
+        for part in batches:
+            part = part.sort_values("id")
+            ids, x = part["id"].to_numpy(np.int64), part["v"].to_numpy()
+            for i in range(0, len(ids), size):
+                yield pd.DataFrame({"low": [ids[i]], "ids": [ids[i : i + size].tobytes()], "x": [np.stack(x[i : i + size]).astype(float).tobytes()]})
+
+    ranged = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v")).repartitionByRange(max(1, -(-n // max(size, 8192))), "id").sortWithinPartitions("id")
+    packs = cut(ranged.mapInPandas(pack, "low long, ids binary, x binary"))
+    owners = cut(packs.select("low", F.expr(f"cast((row_number() over (order by low) - 1) div {each} as int)").alias("own")))
+    blocks = owners.agg(F.max("own")).first()[0]
+    blocks = 0 if blocks is None else blocks + 1
+    asks = packs.join(owners, "low").select("own", F.lit(0).alias("kind"), "low", "ids", "x")
+    passing = packs.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("own"), F.lit(1).alias("kind"), "low", "ids", "x")
+    dealt = asks.unionByName(passing).repartitionById(max(1, blocks), F.col("own")).sortWithinPartitions("own", "kind", "low")
+
+    def run(batches):
+        rows = ((kind, np.frombuffer(ids, np.int64), np.frombuffer(x)) for part in batches for kind, ids, x in zip(part["kind"], part["ids"], part["x"]))
+        own, first = [], None
+        for kind, ids, x in rows:
+            if kind:
+                first = (ids, x.reshape(len(ids), -1))
+                break
+            own.append((ids, x.reshape(len(ids), -1)))
+        if own:
+            ia, a = np.concatenate([i for i, _ in own]), np.concatenate([x for _, x in own])
+            at, to, gap = _closest(k, ia, a, chain([first], ((ids, x.reshape(len(ids), -1)) for _, ids, x in rows)))
+            yield pd.DataFrame({"src": ia[at], "dst": to, "gap": gap})
+
+    with batches_of(spark, PACKS):
+        return cut(dealt.mapInPandas(run, "src long, dst long, gap double"))
 
 
 def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, column: str = "patch") -> DataFrame:
@@ -109,8 +174,8 @@ def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, colu
     return rows.join(labels, "id").select("cell.*", F.col("cluster").alias("cluster_label"))
 
 
-#: Bytes of vectors that stand in one row while the network is fitted, and how many such rows Python gets at a time.
-PACK, PACKS = 1 << 18, 16
+#: Bytes of vectors that stand in one row while the network is fitted.
+PACK = 1 << 18
 
 
 def autoencoder(vectors: DataFrame, k: int = 2, hidden: int = 32, steps: int = 200, seed: int = 42, column: str = "patch") -> DataFrame:

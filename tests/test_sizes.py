@@ -65,3 +65,21 @@ def test_autoencoder_holds_few_vectors_at_a_time(spark, monkeypatch):
     sizes = [len(r.x) for t in written if "x" in t.columns for r in t.collect()]
     assert max(sizes) == 480 and sum(sizes) == 500 * 3 * 8 and asked == [ml.PACKS] * 2 and spark.conf.get(name) == before
     assert set(got) == set(want) and np.allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)])
+
+
+def test_nearest_sends_packs_and_not_pairs_of_blocks(spark, monkeypatch):
+    """Exact with ties and copies, whatever the sizes of packs and blocks; vectors pass in packs, so few rows are written."""
+    rng = np.random.default_rng(6)
+    x, k = np.concatenate([rng.integers(0, 4, (150, 3)), np.full((30, 3), 2), rng.integers(0, 900, (120, 3))]) + 1e6, 5
+    ids = rng.choice(10**15, len(x), replace=False)
+    v = spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, x)], "id long, patch array<double>")
+    written = []
+    monkeypatch.setattr(ml, "cut", lambda df, **options: written.append(plans.cut(df, **options)) or written[-1])
+    got = {}
+    for r in ml.nearest(v, k, block=64).collect():
+        got.setdefault(r.src, set()).add((r.gap, r.dst))
+    for i, p in zip(ids, x):
+        assert got[i] == set(sorted((float(g), int(j)) for g, j in zip(((x - p) ** 2).sum(1), ids) if j != i)[:k])
+    packed = [t for t in written if "x" in t.columns]
+    assert len(packed) == 1 and packed[0].count() < 40 and max(len(r.ids) for r in packed[0].collect()) <= 16 * 8
+    assert written[-1].count() == k * len(x)  # only the nearest are written, not those of each block
