@@ -36,6 +36,50 @@ def test_only_parts_are_joined(spark, tmp_path, monkeypatch):
     assert got.count() == df.count() == got.join(df.withColumnRenamed("z", "y"), ["raster_id", "r", "c"]).where(F.col("z").eqNullSafe(F.col("y"))).count()
 
 
+@pytest.mark.parametrize("rows", [3, 4096])
+def test_written_cells_keep_their_place_and_value(spark, tmp_path, monkeypatch, rows):
+    """Rows and cells that are not there, whole parts of them too, and cells with the value that stands for missing ones."""
+    monkeypatch.setattr(sources, "FILE_ROWS", rows)
+    a, b = np.arange(55.0).reshape(11, 5) - 30, np.full((2, 2), -9999.0)
+    a[10, 1], a[0, 4], b[1, 0] = np.nan, -9999, np.nan
+    gone = "raster_id = 'a' and (r in (1, 3, 4, 5, 9) or r = 2 and c in (0, 2, 4) or r = 7 and c < 4)"
+    df = cells(spark, a, "a").where(f"not ({gone})").unionByName(cells(spark, b, "b")).unionByName(cells(spark, a[1:], "c"))
+    sources.write_ascii_grid(df, str(tmp_path / "in"))
+    got, heads = sources.join_parts(*sources.read_ascii_grid(spark, str(tmp_path / "in/*/*.txt")))
+    want = {(n, i, j): v[i, j] for n, v in (("a", a), ("b", b), ("c", a[1:])) for i in range(v.shape[0]) for j in range(v.shape[1])}
+    for r in cells(spark, a, "a").where(gone).collect():
+        want[("a", r.r, r.c)] = np.nan
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.raster_id, r.r, r.c): r.z for r in rows} == {k: None if np.isnan(v) else v for k, v in want.items()}
+    assert {r.raster_id: r.nodata for r in heads.collect()} == {"a": -19999.0, "b": -19999.0, "c": -9999.0}
+    lines = [x for f in (tmp_path / "in").glob("raster_id=*/*.txt") for x in f.read_text().split("\n")]
+    assert sum(len(x.split()) for x in lines if x and not x[0].isalpha()) == len(want)  # nothing is left to the reader
+    for i, wrong in enumerate(["c = 0 and r = 5", "r = 5"]):
+        with pytest.raises(Exception, match="twice"):
+            sources.write_ascii_grid(df.unionByName(df.where(f"raster_id = 'c' and {wrong}")), str(tmp_path / f"twice{i}"))
+        with pytest.raises(Exception, match="before row"):
+            sources.write_ascii_grid(df.withColumn("r" if i else "c", F.expr(f"if(raster_id = 'c', {'r - 1' if i else 'c - 1'}, {'r' if i else 'c'})")), str(tmp_path / f"before{i}"))
+
+
+def test_roundtrip_of_odd_vectors(spark, duck, tmp_path, monkeypatch):  # noqa: F811
+    """Gaps in vec_id, components that are -0.9999 or NULL."""
+    import duckdb
+
+    from rasterlake.queries import QUERIES, SQL
+
+    monkeypatch.setattr(sources, "FILE_ROWS", 50)
+    duck.execute(f"""copy (select vec_id + 130 * (vec_id // 40) as vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i) % 97 = 0 THEN CAST(-0.9999 AS FLOAT) WHEN (vec_id + i) % 89 <> 0 THEN x END) as embedding, label
+        from embeddings where vec_id % 7 <> 3) to '{tmp_path}/embeddings.parquet' (format parquet)""")
+    duck.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    own = duckdb.connect()
+    for t in ("embeddings", "lineitem"):
+        own.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df, cur = QUERIES["ascii_roundtrip"](spark, str(tmp_path)), own.execute(SQL["ascii_roundtrip"])
+    cols = [c[0] for c in cur.description]
+    want = normal(cur.fetchall(), cols)
+    assert normal([tuple(r) for r in df.collect()], df.columns) == want and sum(-9999.0 in r for r in want) > 100
+
+
 def test_cells_are_not_joined_with_themselves(spark):
     """Cells that come of one row a raster look small to the planner, which then broadcast all of them."""
     df = cells(spark, np.arange(12.0).reshape(3, 4)).where("c <> 2 or r = 1")
