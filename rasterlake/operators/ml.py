@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlake.functions import neighbourhood
 from rasterlake.grid import KEYS
@@ -61,117 +59,379 @@ def clusters(vectors: DataFrame, k: int = 3, column: str = "patch", seed: int =
 
 #: Rows of packed vectors that Python gets at a time.
 PACKS = 16
-#: Vectors of a pack that is sent around, and into how many tasks at most the vectors that ask are dealt.
-SENT, ASKING = 4096, 64
-
-
-def _closest(k: int, ia: np.ndarray, a: np.ndarray, packs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in ia, id, squared distance) of the k vectors of all packs nearest to each of a; packs ascend by their ids.
-
-    Single precision only rules out what is farther than the k-th so far by more than its error; the rest is measured again.
+#: Vectors of a pack that is sent around, of a leaf of its tree, and hits that wait before the nearest so far are settled.
+SENT, LEAF, WAITING = 16384, 256, 1 << 18
+#: Vectors that a task takes in before it packs them, at most that ask in a task, and tasks that they are dealt into where they suffice.
+TAKEN, ASKING, TASKS = 1 << 17, 1 << 19, 24
+
+
+def _order(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of x in which all but the last of each run of size vectors are the cells of a tree that halves the widest column."""
+    order, todo = np.arange(len(x)), [(0, len(x))]
+    while todo:
+        a, b = todo.pop()
+        if b - a > size:
+            part, m = x[order[a:b]], (-(-(b - a) // size) + 1) // 2 * size
+            order[a:b] = order[a:b][np.argpartition(part[:, part.std(axis=0).argmax()], m)]
+            todo += [(a, a + m), (a + m, b)]
+    return order
+
+
+def _tree(x: np.ndarray, a: int, b: int) -> tuple:
+    """(from, to, least, greatest, kids): boxes around x[a:b], halved down to LEAF."""
+    if b - a <= LEAF:
+        return a, b, x[a:b].min(axis=0), x[a:b].max(axis=0), ()
+    m = a + (-(-(b - a) // LEAF) + 1) // 2 * LEAF
+    kids = _tree(x, a, m), _tree(x, m, b)
+    return a, b, np.minimum(kids[0][2], kids[1][2]), np.maximum(kids[0][3], kids[1][3]), kids
+
+
+class _Nearest:
+    """The k nearest of vectors x among those of packs (ids, vectors, place of the first in all); of equals the least id. Exact.
+
+    Boxes farther than the k-th so far are left out, then vectors, by single precision and more than its error; the rest is
+    measured in double. compared counts pairs of vectors met.
     """
-    best_gap, best_id = np.full((len(a), k), np.inf), np.full((len(a), k), np.iinfo(np.int64).max)
-    centre = a.mean(axis=0)
-    a0, width = a - centre, a.shape[1]
-    error, top = 8 * (width + 4) * 2.0**-24, np.abs(a0).max(initial=0)
-    for ib, b in packs:
-        b0 = b - centre
-        unit = max(top, np.abs(b0).max(initial=0)) or 1.0
-        # who has k equals of lesser ids is done, as only greater ids follow
-        live = np.flatnonzero((best_gap[:, -1] > 0) | (best_id[:, -1] > ib.min()))
-        q = a0[live] / unit
-        square, others = (q * q).sum(axis=1), ((b0 / unit) ** 2).sum(axis=1)
+
+    def __init__(self, k: int, ids: np.ndarray, x: np.ndarray):
+        n = len(ids)
+        self.k, self.ids, self.x, self.waiting, self.count, self.compared = k, ids, x, [], 0, 0
+        self.turned, self.centre = x.T.copy(), x.mean(axis=0)
+        self.unit = np.abs(x - self.centre).max() or 1.0
+        self.small = ((self.turned - self.centre[:, None]) / self.unit).astype(np.float32)
+        self.gap, self.far, self.near = np.full((n, k), np.inf), np.full(n, np.inf), np.full(n, np.inf, np.float32)
+        self.who, self.at = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -1)
+
+    def inside(self, node: tuple, pack: tuple, start: int) -> None:
+        """Vectors of a pack, which are x from start, ask each other: first in a leaf, then across the halves around it."""
+        a, b, _, _, kids = node
+        if kids:
+            for kid in kids:
+                self.inside(kid, pack, start)
+            for kid, other in (kids, kids[::-1]):
+                self.visit(np.arange(kid[0], kid[1]) + start, other, pack)
+        else:
+            self.compare(np.arange(a, b) + start, node, pack)
+        self.settle()
+
+    def visit(self, rows: np.ndarray, node: tuple, pack: tuple, q: np.ndarray | None = None) -> None:
+        lo, hi, kids = node[2:]
+        if q is None:
+            for i in range(0, len(rows), 32768):
+                self.visit(rows[i : i + 32768], node, pack, self.small[:, rows[i : i + 32768]])
+            return
+        low, high = (((v - self.centre) / self.unit)[:, None] for v in (lo, hi))
+        wider = 2.0**-21 * max(1, -low.min(), high.max())  # what single precision may be off
+        gap = np.maximum((low - wider).astype(np.float32) - q, q - (high + wider).astype(np.float32))
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        keep = np.flatnonzero(gap.sum(axis=0) <= self.near[rows])
+        if not len(keep):
+            return
+        rows = rows[keep]
+        if not kids:
+            self.compare(rows, node, pack)
+        else:
+            q = q[:, keep]
+            for kid in kids:
+                self.visit(rows, kid, pack, q)
+
+    def compare(self, rows: np.ndarray, node: tuple, pack: tuple) -> None:
+        (a, b, lo, hi, _), (ids, x, first) = node, pack
+        k, width, size = self.k, x.shape[1], b - a
+        self.compared += len(rows) * size
+        centre = ((lo + hi) / 2)[:, None]
+        q0, y0 = self.turned[:, rows] - centre, x[a:b].T - centre
+        unit = max(np.abs(q0).max(), np.abs(y0).max()) or 1.0
+        q0 /= unit
+        y0 /= unit
+        square, others = (q0 * q0).sum(axis=0), (y0 * y0).sum(axis=0)
+        error = 8 * (width + 4) * 2.0**-24
         slack = error * (square + others.max())
-        left = np.concatenate([-2 * q, square[:, None], np.ones((len(q), 1))], axis=1).astype(np.float32)
-        right = np.concatenate([b0 / unit, np.ones((len(b), 1)), others[:, None]], axis=1).astype(np.float32).T.copy()
-        most = best_gap[live, -1] / unit**2
-        if len(b) > k + 1 and np.isinf(most).any():  # one more, which may be the vector itself
-            some = right[:, : max(1024, k + 2)]
-            most = np.minimum(most, np.concatenate([np.partition(left[i : i + 64] @ some, k, axis=1)[:, k] for i in range(0, len(q), 64)]) + slack)
-        left[:, width] = square - most - slack - error * most
         # columns up to a multiple of 8 that nobody is near, so that eight answers are looked at in one
-        right = np.concatenate([right, np.repeat(np.array([[0.0]] * (width + 1) + [[np.inf]], np.float32), -len(b) % 8, axis=1)], axis=1)
-        at, to, wide = [], [], right.shape[1]
-        far, hit = np.empty((64, wide), np.float32), np.empty((64, wide), bool)
-        for i in range(0, len(q), 64):
-            m = min(64, len(q) - i)
-            np.less_equal(np.matmul(left[i : i + m], right, out=far[:m]), 0, out=hit[:m])
-            eight = np.flatnonzero(hit[:m].reshape(-1).view(np.uint64))
-            x, y = np.nonzero(hit[:m].reshape(-1, 8)[eight])
-            x, y = np.divmod(8 * eight[x] + y, wide)
-            at.append(live[i + x])
-            to.append(y)
-        at, to = np.concatenate(at or [np.zeros(0, int)]), np.concatenate(to or [np.zeros(0, int)])
-        other = ia[at] != ib[to]
-        at, to = at[other], to[other]
-        gap = ((a[at] - b[to]) ** 2).sum(axis=1)
-        good = gap <= best_gap[at, -1]
-        at, to, gap = at[good], to[good], gap[good]
-        rows = np.unique(at)
-        at, gap, ids = np.concatenate([np.repeat(rows, k), at]), np.concatenate([best_gap[rows].ravel(), gap]), np.concatenate([best_id[rows].ravel(), ib[to]])
-        order = np.lexsort((ids, gap, at))
-        at, gap, ids = at[order], gap[order], ids[order]
-        first = np.arange(len(at)) - np.searchsorted(at, at) < k
-        best_gap[rows], best_id[rows] = gap[first].reshape(-1, k), ids[first].reshape(-1, k)
-    at, place = np.nonzero(np.isfinite(best_gap))
-    return at, best_id[at, place], best_gap[at, place]
-
-
-def nearest(vectors: DataFrame, k: int, column: str = "patch", id_col: str = "id", block: int = 16384) -> DataFrame:
-    """(src, dst, gap): the k nearest other vectors of each by squared distance; of equals the least id. Exact.
-
-    Vectors are packed by ranges of ids. A task holds a block of them that ask, with their nearest so far, while the packs of
-    all vectors pass by: the work grows with the square of the rows, what is sent with the rows times the blocks.
+        right = np.zeros((width + 2, size + -size % 8), np.float32)
+        right[:width, :size], right[width, :size], right[width + 1, :size], right[width + 1, size:] = y0, 1, others, 1e30
+        left = np.empty((width + 2, len(rows)), np.float32)
+        left[:width], left[width], left[width + 1] = -2 * q0, square, 1
+        most = np.minimum(self.far[rows] / unit**2, 1e25)
+        if size > k + 1 and (most > 1e24).any():  # one more, which may be the vector itself
+            most = np.minimum(most, np.partition(left.T @ right[:, :size], k, axis=1)[:, k] + slack)
+        left[width] = square - most - slack - error * most
+        for i in range(0, len(rows), 2048):
+            hit = (left[:, i : i + 2048].T @ right <= 0).reshape(-1)
+            eight = np.flatnonzero(hit.view(np.uint64))
+            f, t = np.nonzero(hit.reshape(-1, 8)[eight])
+            f, t = np.divmod(8 * eight[f] + t, right.shape[1])
+            f, t = rows[i + f], a + t
+            gap = ((self.x[f] - x[t]) ** 2).sum(axis=1)
+            good = (gap <= self.far[f]) & (self.ids[f] != ids[t])
+            f, t = f[good], t[good]
+            self.waiting.append((f, gap[good], ids[t], first + t))
+            self.count += len(f)
+            if self.count > WAITING:
+                self.settle()
+
+    def settle(self) -> None:
+        """Takes the hits that wait into the k nearest."""
+        if self.count:
+            k, (f, gap, who, at) = self.k, (np.concatenate(p) for p in zip(*self.waiting))
+            rows = np.unique(f)
+            f, gap, who, at = np.concatenate([np.repeat(rows, k), f]), np.concatenate([self.gap[rows].ravel(), gap]), np.concatenate([self.who[rows].ravel(), who]), np.concatenate([self.at[rows].ravel(), at])
+            order = np.lexsort((who, gap, f))
+            f = f[order]
+            order = order[np.arange(len(f)) - np.searchsorted(f, f) < k]
+            self.gap[rows], self.who[rows], self.at[rows] = gap[order].reshape(-1, k), who[order].reshape(-1, k), at[order].reshape(-1, k)
+            self.far[rows] = self.gap[rows, -1]
+            self.near[rows] = self.far[rows] / self.unit**2 * (1 + 1e-5)
+        self.waiting, self.count = [], 0
+
+
+def _raw(x: np.ndarray) -> tuple[str, bytes]:
+    """Type and bytes of x in the smallest type that holds all of its numbers."""
+    with np.errstate(all="ignore"):
+        kind = next((t for t in ("i2", "f4") if (x.astype(t) == x).all()), "f8")
+    return kind, x.astype(kind).tobytes()
+
+
+def _packs(vectors: DataFrame, k: int, column: str, id_col: str, block: int) -> DataFrame:
+    """(own, at, spare, ids, kind, x): vectors without NaN or infinities in packs of those that lie together.
+
+    own is the task they ask in, at the place of the first in the order of all packs. Of equal vectors, those that have k + 1 with
+    lesser ids are nobody's neighbours and spare: they only ask. A sample of at most about 16384 vectors draws the
+    cells that the rows are dealt into, and nothing else hangs on it.
     """
-    spark, n = vectors.sparkSession, vectors.count()
-    size = max(1, min(SENT, block // 4))
-    each = max(block, -(-n // ASKING)) // size  # packs of a block
+    n = vectors.count()
+    each = -(-n // max(-(-n // block), min(TASKS, n // 8192), 1))
+    size = max(1, min(SENT, each // 4))
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
+    cells = 1 << max(0, -(-n // TAKEN) - 1).bit_length()
+    splits = []
+    if cells > 1:
+        sample = np.array([r.v for r in given.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, n // 16384))) == 0).select("v").collect()], float)
+        todo = [sample[np.isfinite(sample).all(axis=1)]]
+        while len(todo) < cells:
+            cut_at = []
+            for part in todo:
+                d = int(part.std(axis=0).argmax()) if len(part) else 0
+                cut_at.append((d, float(np.median(part[:, d])) if len(part) else 0.0))
+            splits.append(cut_at)
+            todo = [half for part, (d, v) in zip(todo, cut_at) for half in (part[part[:, d] <= v], part[part[:, d] > v])]
+
+    def deal(batches):
+        for part in batches:
+            ids, x = part.column("id").to_numpy(zero_copy_only=False), part.column("v").flatten().to_numpy(zero_copy_only=False)
+            x = x.astype(float).reshape(len(ids), -1)
+            fine = np.isfinite(x).all(axis=1)
+            ids, x = ids[fine], x[fine]
+            cell = np.zeros(len(ids), int)
+            for cut_at in splits:
+                d, v = np.array([c[0] for c in cut_at], int)[cell], np.array([c[1] for c in cut_at])[cell]
+                cell = 2 * cell + (x[np.arange(len(x)), d] > v)
+            order = np.argsort(cell, kind="stable")
+            ends = np.flatnonzero(np.diff(cell[order], append=-1)) + 1
+            rows = [(int(cell[o[0]]), ids[o].tobytes(), *_raw(x[o])) for o in np.split(order, ends[:-1]) if len(o)]
+            yield pa.RecordBatch.from_pydict(dict(zip(("cell", "ids", "kind", "x"), map(list, zip(*rows)))) if rows else {c: [] for c in ("cell", "ids", "kind", "x")}, pa.schema([("cell", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("x", pa.binary())]))
 
     def pack(batches):
+        held, seq = [], 0
+
+        def out():
+            nonlocal seq
+            ids, x = (np.concatenate(p) for p in zip(*held))
+            order = np.lexsort((ids, (x * np.random.default_rng(1).random(x.shape[1])).sum(axis=1)))
+            ids, x = ids[order], x[order]
+            new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
+            rank = np.arange(len(ids)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            for spare in (False, True):
+                mine = (rank > k) == spare
+                i, v = ids[mine], x[mine]
+                order = _order(v, size)
+                for a in range(0, len(i), size):
+                    o = order[a : a + size]
+                    o = o[_order(v[o], LEAF)]
+                    yield pd.DataFrame([(cell, seq, spare, len(o), i[o].tobytes(), *_raw(v[o]))], columns=["cell", "seq", "spare", "n", "ids", "kind", "x"])
+                    seq += 1
+
+        cell = None
         for part in batches:
-            part = part.sort_values("id")
-            ids, x = part["id"].to_numpy(np.int64), part["v"].to_numpy()
-            for i in range(0, len(ids), size):
-                yield pd.DataFrame({"low": [ids[i]], "ids": [ids[i : i + size].tobytes()], "x": [np.stack(x[i : i + size]).astype(float).tobytes()]})
-
-    ranged = vectors.select(F.col(id_col).alias("id"), F.col(column).alias("v")).repartitionByRange(max(1, -(-n // max(size, 8192))), "id").sortWithinPartitions("id")
-    packs = cut(ranged.mapInPandas(pack, "low long, ids binary, x binary"))
-    owners = cut(packs.select("low", F.expr(f"cast((row_number() over (order by low) - 1) div {each} as int)").alias("own")))
-    blocks = owners.agg(F.max("own")).first()[0]
-    blocks = 0 if blocks is None else blocks + 1
-    asks = packs.join(owners, "low").select("own", F.lit(0).alias("kind"), "low", "ids", "x")
-    passing = packs.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("own"), F.lit(1).alias("kind"), "low", "ids", "x")
-    dealt = asks.unionByName(passing).repartitionById(max(1, blocks), F.col("own")).sortWithinPartitions("own", "kind", "low")
+            for now, ids, kind, x in zip(part["cell"], part["ids"], part["kind"], part["x"]):
+                if held and (now != cell or sum(len(i) for i, _ in held) >= 2 * TAKEN):
+                    yield from out()
+                    held = []
+                seq, cell = (seq if now == cell else 0), now
+                ids = np.frombuffer(ids, np.int64)
+                held.append((ids, np.frombuffer(x, kind).astype(float).reshape(len(ids), -1)))
+        if held:
+            yield from out()
+
+    dealt = given.mapInArrow(deal, "cell int, ids binary, kind string, x binary").repartitionById(cells, F.col("cell")).sortWithinPartitions("cell")
+    packs = cut(dealt.mapInPandas(pack, "cell int, seq long, spare boolean, n long, ids binary, kind string, x binary"))
+    order = Window.orderBy("cell", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = packs.select("cell", "seq", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("at")).withColumn("own", F.expr(f"cast(at div {max(1, each)} as int)"))
+    return packs.join(F.broadcast(cut(placed)), ["cell", "seq"]).select("own", "at", "spare", "ids", "kind", "x")
+
+
+def _asked(vectors: DataFrame, k: int, column: str, id_col: str, block: int, tell, schema: str) -> DataFrame:
+    """What tell(task, its first place, firsts of all tasks, _Nearest) yields, of tasks that hold the vectors that ask while the packs of all pass by."""
+    packs = _packs(vectors, k, column, id_col, block)
+    firsts = np.array([r.at for r in packs.groupBy("own").agg(F.min("at").alias("at")).orderBy("own").collect()] or [0])
+    # own ones come first, then those of tasks that lie near
+    dealt = packs.withColumnRenamed("own", "of").withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(len(firsts) - 1)))).where("own = of or not spare")
+    dealt = dealt.withColumn("turn", F.col("own").bitwiseXOR(F.col("of"))).repartitionById(len(firsts), F.col("own")).sortWithinPartitions("own", "turn", "at")
 
     def run(batches):
-        rows = ((kind, np.frombuffer(ids, np.int64), np.frombuffer(x)) for part in batches for kind, ids, x in zip(part["kind"], part["ids"], part["x"]))
-        own, first = [], None
-        for kind, ids, x in rows:
-            if kind:
-                first = (ids, x.reshape(len(ids), -1))
-                break
-            own.append((ids, x.reshape(len(ids), -1)))
-        if own:
-            ia, a = np.concatenate([i for i, _ in own]), np.concatenate([x for _, x in own])
-            at, to, gap = _closest(k, ia, a, chain([first], ((ids, x.reshape(len(ids), -1)) for _, ids, x in rows)))
-            yield pd.DataFrame({"src": ia[at], "dst": to, "gap": gap})
-
-    with batches_of(spark, PACKS):
-        return cut(dealt.mapInPandas(run, "src long, dst long, gap double"))
+        mine, found = [], None
+
+        def begin():
+            found = _Nearest(k, np.concatenate([p[0] for p, _ in mine]), np.concatenate([p[1] for p, _ in mine]))
+            rows, held = np.arange(len(found.ids)), [(p, _tree(p[1], 0, len(p[1])), p[2] - mine[0][0][2]) for p, spare in mine if not spare]
+            for pack, tree, start in held:
+                found.inside(tree, pack, start)
+            for pack, tree, start in held:
+                found.visit(np.concatenate([rows[:start], rows[start + len(pack[0]) :]]), tree, pack)
+                found.settle()
+            return found
+
+        for part in batches:
+            for own, turn, at, spare, ids, kind, x in zip(*(part[c] for c in ("own", "turn", "at", "spare", "ids", "kind", "x"))):
+                ids = np.frombuffer(ids, np.int64)
+                pack = ids, np.frombuffer(x, kind).astype(float).reshape(len(ids), -1), at
+                if turn == 0:
+                    mine.append((pack, spare))
+                    continue
+                found = found or begin()
+                found.visit(np.arange(len(found.ids)), _tree(pack[1], 0, len(ids)), pack)
+                found.settle()
+        if mine:
+            yield from tell(int(own), mine[0][0][2], firsts, found or begin())
+
+    with batches_of(vectors.sparkSession, PACKS):
+        return cut(dealt.select("own", "turn", "at", "spare", "ids", "kind", "x").mapInPandas(run, schema))
+
+
+def nearest(vectors: DataFrame, k: int, column: str = "patch", id_col: str = "id", block: int = ASKING) -> DataFrame:
+    """(src, dst, gap): the k nearest other vectors of each by squared distance; of equals the least id. Exact.
+
+    A task holds a block of vectors that ask and lie together, with their nearest so far, while the packs of all vectors pass by,
+    each a tree of boxes. What is sent grows with the rows times the blocks; vectors are compared only where boxes are near.
+    """
+
+    def tell(own, first, firsts, found):
+        for i in range(0, len(found.ids), 65536):
+            f, place = np.nonzero(np.isfinite(found.gap[i : i + 65536]))
+            yield pd.DataFrame({"src": found.ids[i + f], "dst": found.who[i + f, place], "gap": found.gap[i + f, place]})
+
+    return _asked(vectors, k, column, id_col, block, tell, "src long, dst long, gap double")
+
+
+def _walked(vectors: DataFrame, k: int, steps: int, column: str, block: int = ASKING) -> DataFrame:
+    """(id, value): degrees in the graph of k nearest after steps of averaging over links; a link weighs as often as it is named.
+
+    A task keeps its part of the graph by places of its vectors, and gets from other tasks those values that its links end at.
+    """
+
+    def tell(own, first, firsts, found):
+        yield pd.DataFrame({"own": [own], "kind": [3], "other": [-1], "a": [found.ids.tobytes()], "b": [b""]})
+        f, place = np.nonzero(found.at >= 0)
+        to = found.at[f, place]
+        other = np.searchsorted(firsts, to, side="right") - 1
+        order = np.argsort(other, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
+            if len(part):
+                o = int(other[part[0]])
+                ends = f[part].astype(np.int32).tobytes(), (to[part] - firsts[o]).astype(np.int32).tobytes()
+                yield pd.DataFrame({"own": [own, o], "kind": [0, 0], "other": [o, own], "a": ends, "b": ends[::-1]})
+
+    schema = "own int, kind int, other int, a binary, b binary"
+    links = _asked(vectors, k, column, "id", block, tell, schema)
+    tasks = links.agg(F.max("own")).first()[0]
+    tasks = 1 if tasks is None else tasks + 1
+
+    def dealt(df):
+        return df.repartitionById(tasks, F.col("own")).sortWithinPartitions("own", "kind", "other")
+
+    def rows(batches):
+        for part in batches:
+            yield from zip(part["own"], part["kind"], part["other"], part["a"], part["b"])
+
+    def tie(batches):
+        """Degrees and ends of links as places among the values that come in, and which values others need."""
+        mine, ends, base, ids, last = [], [], 0, b"", []
+
+        def need():
+            theirs = np.concatenate([t for _, _, t in last])
+            wanted, at = np.unique(theirs, return_inverse=True)
+            mine.append(np.concatenate([m for _, m, _ in last]))
+            ends.append((base + at).astype(np.int32))
+            return len(wanted), pd.DataFrame({"own": [last[0][0]], "kind": [1], "other": [own], "a": [wanted.tobytes()], "b": [b""]})
+
+        own = None
+        for own, kind, other, a, b in rows(batches):
+            if kind == 3:
+                ids = a
+                continue
+            if last and last[0][0] != other:
+                size, sent = need()
+                base, last = base + size, []
+                yield sent
+            last.append((other, np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)))
+        if last:
+            yield need()[1]
+        if own is not None:
+            m, e = (np.concatenate(p or [np.zeros(0, np.int32)]) for p in (mine, ends))
+            degree = np.bincount(m, minlength=len(ids) // 8).astype(np.int32)
+            yield pd.DataFrame({"own": [own, own], "kind": [0, 3], "other": [-1, -1], "a": [e[np.argsort(m, kind="stable")].tobytes(), ids], "b": [degree.tobytes(), b""]})
+
+    def step(batches, first, final):
+        ends = degree = ids = None
+        wanted, values = [], []
+        for own, kind, other, a, b in rows(batches):
+            if kind == 0:
+                ends, degree = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+            elif kind == 1:
+                wanted.append((other, np.frombuffer(a, np.int32)))
+            elif kind == 2:
+                values.append(np.frombuffer(a))
+            else:
+                ids = np.frombuffer(a, np.int64)
+        if degree is None:
+            return
+        v = degree.astype(float)
+        if not first and values:
+            v = np.bincount(np.repeat(np.arange(len(degree)), degree), np.concatenate(values)[ends], len(degree)) / np.maximum(degree, 1)
+        if final:
+            yield pd.DataFrame({"id": ids, "value": v})
+        else:
+            for other, at in wanted:
+                yield pd.DataFrame({"own": [other], "kind": [2], "other": [own], "a": [v[at].tobytes()], "b": [b""]})
+
+    with batches_of(vectors.sparkSession, PACKS):
+        state = cut(dealt(links).mapInPandas(tie, schema))
+        graph = state.where("kind < 2")
+        sent = dealt(graph).mapInPandas(lambda x: step(x, True, False), schema)
+        for _ in range(steps - 1):
+            sent = dealt(graph.unionByName(sent)).mapInPandas(lambda x: step(x, False, False), schema)
+        return cut(dealt(state.where("kind <> 1").unionByName(sent)).mapInPandas(lambda x: step(x, False, True), "id long, value double"))
 
 
 def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, column: str = "patch") -> DataFrame:
-    """Clusters by power iteration over the graph of nearest neighbours among the vectors, wherever in the grid they are.
+    """Clusters by 20 steps of power iteration over the graph of nearest neighbours among the vectors, wherever in the grid they are.
 
-    A vector counts among its own neighbours; a link weighs 1 if both ends name each other, and a half otherwise.
+    A vector counts among its own neighbours; a link weighs 1 if both ends name each other, and a half otherwise. Labels
+    follow the order of the values that the iteration ends at; vectors with NaN or infinities have none.
     """
     rows = cut(vectors.select(F.struct(*KEYS).alias("cell"), column, F.xxhash64(*KEYS).alias("id")))
     if rows.limit(2).count() < 2:
         return rows.select("cell.*", F.lit(0).alias("cluster_label"))
-    ends = nearest(rows, neighbours - 1, column).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    edges = cut(ends.groupBy("src", "dst").agg((F.count("*") / 2).alias("weight")))
-    labels = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight").assignClusters(edges)
-    return rows.join(labels, "id").select("cell.*", F.col("cluster").alias("cluster_label"))
+    values = _walked(rows, neighbours - 1, 20, column)
+    mean, std = values.agg(F.avg("value"), F.stddev_pop("value")).first()
+    points = values.select("id", array_to_vector(F.array((F.col("value") - (mean or 0.0)) / (std or 1.0))).alias("_v"))
+    if not std:
+        return rows.join(points, "id", "left").select("cell.*", F.when(F.col("_v").isNotNull(), 0).alias("cluster_label"))
+    model = KMeans(k=k, seed=42, featuresCol="_v", predictionCol="_c", maxIter=50).fit(points)
+    order = np.argsort([float(c[0]) for c in model.clusterCenters()])
+    label = F.element_at(F.create_map(*[F.lit(int(x)) for i, c in enumerate(order) for x in (c, i)]), F.col("_c"))
+    return rows.join(model.transform(points).select("id", label.alias("cluster_label")), "id", "left").select("cell.*", "cluster_label")
 
 
 #: Bytes of vectors that stand in one row while the network is fitted.

@@ -127,3 +127,62 @@ def test_nearest_sends_packs_and_not_pairs_of_blocks(spark, monkeypatch):
     packed = [t for t in written if "x" in t.columns]
     assert len(packed) == 1 and packed[0].count() < 40 and max(len(r.ids) for r in packed[0].collect()) <= 16 * 8
     assert written[-1].count() == k * len(x)  # only the nearest are written, not those of each block
+
+
+def _brute(ids, x, k):
+    return [sorted((float(g), int(j)) for g, j in zip(((x - p) ** 2).sum(1), ids) if j != i)[:k] for i, p in zip(ids, x)]
+
+
+def test_nearest_compares_few_pairs():
+    """Most vectors are never compared, and yet the nearest are exact; far outliers, which spoil single precision, change nothing."""
+    rng = np.random.default_rng(8)
+    x, k = rng.normal(size=(6000, 3)).round(3), 6
+    for far in (0, 1e12):
+        x[17] += far
+        order = ml._order(x, ml.LEAF)
+        ids, v = order.astype(np.int64) * 7, x[order]
+        found = ml._Nearest(k, ids[:4000], v[:4000])
+        found.inside(ml._tree(v[:4000], 0, 4000), (ids[:4000], v[:4000], 0), 0)
+        found.visit(np.arange(4000), ml._tree(v[4000:], 0, 2000), (ids[4000:], v[4000:], 4000))
+        found.settle()
+        assert found.compared < 0.3 * 4000 * 6000
+        for i in range(0, 4000, 97):
+            want = sorted((float(g), int(j)) for g, j in zip(((v[i] - v) ** 2).sum(1), ids) if j != ids[i])[:k]
+            assert list(zip(found.gap[i].tolist(), found.who[i].tolist())) == want and ids[found.at[i]].tolist() == [j for _, j in want]
+
+
+@pytest.mark.parametrize("taken", [1 << 17, 64])
+def test_nearest_of_copies_in_cells(spark, monkeypatch, taken):
+    """Many copies only ask; vectors are dealt into cells; those that aren't finite are left out."""
+    monkeypatch.setattr(ml, "TAKEN", taken)
+    rng = np.random.default_rng(9)
+    x, k = np.concatenate([rng.integers(0, 50, (150, 2)), np.full((90, 2), 7), np.zeros((9, 2))]).astype(float) / 3, 4
+    ids = rng.permutation(len(x)) * 11
+    odd = [(-1, [np.nan, 1.0]), (-2, [np.inf, 1.0])]
+    v = spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, x)] + odd, "id long, patch array<double>")
+    got = {}
+    for r in ml.nearest(v, k, block=64).collect():
+        got.setdefault(r.src, []).append((r.gap, r.dst))
+    assert {i: sorted(p) for i, p in got.items()} == dict(zip(ids.tolist(), _brute(ids, x, k)))
+
+
+def test_spectral_values_are_those_of_the_whole_graph(spark):
+    """20 steps over links between tasks are those of the dense matrix; every row is there, and labels follow the values."""
+    rng = np.random.default_rng(10)
+    x, k = rng.integers(0, 90, (200, 3)).astype(float), 5
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, patch array<double>")
+    w = np.zeros((200, 200))
+    for i, best in enumerate(_brute(range(200), x, k)):
+        w[i, [j for _, j in best]] = 1
+    w = w + w.T
+    want = w.sum(axis=1)
+    for _ in range(20):
+        want = w @ want / w.sum(axis=1)
+    got = {r.id: r.value for r in ml._walked(v, k, 20, "patch", block=32).collect()}
+    assert sorted(got) == list(range(200)) and np.allclose([got[i] for i in range(200)], want, rtol=1e-12)
+
+    odd = spark.createDataFrame([("t", i, 0, p.tolist()) for i, p in enumerate(x)] + [("t", 900, 0, [np.nan] * 3)], "raster_id string, r int, c int, patch array<double>")
+    labels = {r.r: r.cluster_label for r in ml.spectral_clusters(odd).collect()}
+    assert len(labels) == 201 and labels.pop(900) is None and set(labels.values()) == {0, 1, 2}
+    same = odd.withColumn("patch", F.array(F.lit(1.0)))
+    assert {r.cluster_label for r in ml.spectral_clusters(same).collect()} <= {0, 1, 2} and ml.spectral_clusters(same).count() == 201
