@@ -60,7 +60,9 @@ def clusters(vectors: DataFrame, k: int = 3, column: str = "patch", seed: int =
 #: Rows of packed vectors that Python gets at a time.
 PACKS = 16
 #: Vectors of a pack that is sent around, of a leaf of its tree, and hits that wait before the nearest so far are settled.
-SENT, LEAF, WAITING = 16384, 256, 1 << 18
+SENT, LEAF, WAITING = 16384, 512, 1 << 18
+#: Vectors whose links stand in one row of the graph, and rows of it that Python gets at a time.
+LINKED, ROWS = 1 << 15, 2
 #: Vectors that a task takes in before it packs them, at most that ask in a task, and tasks that they are dealt into where they suffice.
 TAKEN, ASKING, TASKS = 1 << 17, 1 << 19, 24
 
@@ -157,8 +159,8 @@ class _Nearest:
         if size > k + 1 and (most > 1e24).any():  # one more, which may be the vector itself
             most = np.minimum(most, np.partition(left.T @ right[:, :size], k, axis=1)[:, k] + slack)
         left[width] = square - most - slack - error * most
-        for i in range(0, len(rows), 2048):
-            hit = (left[:, i : i + 2048].T @ right <= 0).reshape(-1)
+        for i in range(0, len(rows), 1024):
+            hit = (left[:, i : i + 1024].T @ right <= 0).reshape(-1)
             eight = np.flatnonzero(hit.view(np.uint64))
             f, t = np.nonzero(hit.reshape(-1, 8)[eight])
             f, t = np.divmod(8 * eight[f] + t, right.shape[1])
@@ -359,11 +361,10 @@ def _walked(vectors: DataFrame, k: int, steps: int, column: str, block: int = AS
         mine, ends, base, ids, last = [], [], 0, b"", []
 
         def need():
-            theirs = np.concatenate([t for _, _, t in last])
-            wanted, at = np.unique(theirs, return_inverse=True)
+            wanted, at = np.unique(np.concatenate([t for _, _, t in last]), return_inverse=True)
             mine.append(np.concatenate([m for _, m, _ in last]))
             ends.append((base + at).astype(np.int32))
-            return len(wanted), pd.DataFrame({"own": [last[0][0]], "kind": [1], "other": [own], "a": [wanted.tobytes()], "b": [b""]})
+            return len(wanted), pd.DataFrame({"own": [last[0][0]], "kind": [2], "other": [own], "a": [wanted.tobytes()], "b": [b""]})
 
         own = None
         for own, kind, other, a, b in rows(batches):
@@ -378,40 +379,44 @@ def _walked(vectors: DataFrame, k: int, steps: int, column: str, block: int = AS
         if last:
             yield need()[1]
         if own is not None:
-            m, e = (np.concatenate(p or [np.zeros(0, np.int32)]) for p in (mine, ends))
-            degree = np.bincount(m, minlength=len(ids) // 8).astype(np.int32)
-            yield pd.DataFrame({"own": [own, own], "kind": [0, 3], "other": [-1, -1], "a": [e[np.argsort(m, kind="stable")].tobytes(), ids], "b": [degree.tobytes(), b""]})
-
-    def step(batches, first, final):
-        ends = degree = ids = None
-        wanted, values = [], []
+            mine, ends = (np.concatenate(p or [np.zeros(0, np.int32)]) for p in (mine, ends))
+            degree = np.bincount(mine, minlength=len(ids) // 8).astype(np.int32)
+            ends = ends[np.argsort(mine, kind="stable")]
+            to = 0
+            for i in range(0, len(degree), LINKED):
+                some = degree[i : i + LINKED]
+                start, to = to, to + int(some.sum())
+                yield pd.DataFrame({"own": [own], "kind": [1], "other": [i], "a": [ends[start:to].tobytes()], "b": [some.tobytes()]})
+            yield pd.DataFrame({"own": [own], "kind": [3], "other": [-1], "a": [ids], "b": [b""]})
+
+    def step(batches, first):
+        """Values come in, then links, then what others want or the ids."""
+        values, parts, v = [], [], None
         for own, kind, other, a, b in rows(batches):
             if kind == 0:
-                ends, degree = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
-            elif kind == 1:
-                wanted.append((other, np.frombuffer(a, np.int32)))
-            elif kind == 2:
                 values.append(np.frombuffer(a))
+            elif kind == 1:
+                degree = np.frombuffer(b, np.int32)
+                if not first and values:
+                    values = [np.concatenate(values)] if len(values) > 1 else values
+                    sums = np.bincount(np.repeat(np.arange(len(degree)), degree), values[0][np.frombuffer(a, np.int32)], len(degree))
+                    parts.append(sums / np.maximum(degree, 1))
+                else:
+                    parts.append(degree.astype(float))
             else:
-                ids = np.frombuffer(a, np.int64)
-        if degree is None:
-            return
-        v = degree.astype(float)
-        if not first and values:
-            v = np.bincount(np.repeat(np.arange(len(degree)), degree), np.concatenate(values)[ends], len(degree)) / np.maximum(degree, 1)
-        if final:
-            yield pd.DataFrame({"id": ids, "value": v})
-        else:
-            for other, at in wanted:
-                yield pd.DataFrame({"own": [other], "kind": [2], "other": [own], "a": [v[at].tobytes()], "b": [b""]})
+                v = np.concatenate(parts) if v is None else v
+                if kind == 3:
+                    yield pd.DataFrame({"id": np.frombuffer(a, np.int64), "value": v})
+                else:
+                    yield pd.DataFrame({"own": [other], "kind": [0], "other": [own], "a": [v[np.frombuffer(a, np.int32)].tobytes()], "b": [b""]})
 
-    with batches_of(vectors.sparkSession, PACKS):
+    with batches_of(vectors.sparkSession, ROWS):
         state = cut(dealt(links).mapInPandas(tie, schema))
-        graph = state.where("kind < 2")
-        sent = dealt(graph).mapInPandas(lambda x: step(x, True, False), schema)
+        graph = state.where("kind in (1, 2)")
+        sent = dealt(graph).mapInPandas(lambda x: step(x, True), schema)
         for _ in range(steps - 1):
-            sent = dealt(graph.unionByName(sent)).mapInPandas(lambda x: step(x, False, False), schema)
-        return cut(dealt(state.where("kind <> 1").unionByName(sent)).mapInPandas(lambda x: step(x, False, True), "id long, value double"))
+            sent = dealt(graph.unionByName(sent)).mapInPandas(lambda x: step(x, False), schema)
+        return cut(dealt(state.where("kind in (1, 3)").unionByName(sent)).mapInPandas(lambda x: step(x, False), "id long, value double"))
 
 
 def spectral_clusters(vectors: DataFrame, k: int = 3, neighbours: int = 10, column: str = "patch") -> DataFrame:
